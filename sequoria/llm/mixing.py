@@ -113,7 +113,7 @@ o AS (
          coalesce(sum({MOST_COPIES} * n) OVER (ORDER BY {MOST_COPIES} * n / w::DOUBLE, source NULLS LAST ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS full_before,
          sum(w) OVER (ORDER BY {MOST_COPIES} * n / w::DOUBLE, source NULLS LAST ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS w_after,
          sum(n) OVER () AS total FROM s),
-u AS (SELECT coalesce(min(CASE WHEN (total - full_before) / w_after::DOUBLE <= level THEN (total - full_before) / w_after::DOUBLE END), 0) AS unit FROM o),
+u AS (SELECT coalesce(arg_min((total - full_before) / w_after::DOUBLE, level) FILTER (WHERE (total - full_before) / w_after::DOUBLE <= level), 0) AS unit FROM o),
 t AS (SELECT source, n, CAST(least(unit * w, {MOST_COPIES} * n) AS DOUBLE) AS target FROM s, u),
 p AS (SELECT *, CASE WHEN n = 0 THEN 0 ELSE CAST(least(floor(target / n), {MOST_COPIES}) AS BIGINT) END AS whole FROM t),
 g AS (SELECT d.source, h, sum(size) AS size FROM d GROUP BY d.source, h),
