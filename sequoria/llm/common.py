@@ -10,6 +10,7 @@ import numpy as np
 import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 #: White space of the word rule `[^\x20\x09-\x0D]+`, as a Java character class and as characters.
 SPACE_CLASS = r"[\x20\x09-\x0D]"
@@ -50,6 +51,23 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+#: Rows of a few numbers each that are broadcast at most, some 16 MB.
+BROADCAST_ROWS = 1_000_000
+
+
+def small_side(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
+    """The table with a broadcast hint if it is counted to be small; else it is joined by a shuffle. df is materialised."""
+    return F.broadcast(df) if df.count() <= rows else df
+
+
+def output_schema(df: DataFrame, more: str) -> StructType:
+    """df's columns and further ones; those of df that have such a name are an error, not an overwrite."""
+    extra = StructType.fromDDL(more)
+    if clash := {f.name.lower() for f in extra} & {c.lower() for c in df.columns}:
+        raise ValueError(f"columns {sorted(clash)} are there already")
+    return StructType([*df.schema.fields, *extra.fields])
+
+
 def ascii_lower(text: Column) -> Column:
     """A-Z to a-z, all else as it is."""
     return F.translate(text, ASCII_UPPER, ASCII_LOWER)

@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import importable_on_workers
+from .common import importable_on_workers, output_schema
 
 #: Characters of labelled text of each language, and documents that they are taken from.
 SAMPLE_CHARS, SAMPLE_DOCS = 16_384, 64
@@ -183,20 +183,25 @@ def samples(docs: DataFrame, learn: Column, chars: int = SAMPLE_CHARS, n_docs: i
     return {k: s[:most] for k, v in out.items() if (s := "".join(v)).strip()}
 
 
+PREDICTED = "lang_pred string, score double"
+
+
 def identify(docs: DataFrame, model: dict[str, str]) -> DataFrame:
-    """(doc_id, lang_pred, score) for every row of docs (doc_id, text).
+    """docs (text, any other columns) with lang_pred and score added, for every row.
 
     lang_pred is `und` with score 0 if the text is null or has no letter, or if nothing was learned. score is the
     winner's share when each language weighs 2 to minus its excess bits of 16 characters. Ties go to the first name.
+    Columns of docs named lang_pred or score are an error.
     """
     importable_on_workers(docs.sparkSession)
-    held = docs.sparkSession.sparkContext.broadcast(model)
+    held, at = docs.sparkSession.sparkContext.broadcast(model), docs.columns.index("text")
+    schema = output_schema(docs, PREDICTED)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for i in range(0, batch.num_rows, 1024):
                 part = batch.slice(i, 1024)
-                langs, scores = predict(part.column(1).to_pylist(), held.value)
-                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(langs, pa.string()), pa.array(scores, pa.float64())], names=["doc_id", "lang_pred", "score"])
+                langs, scores = predict(part.column(at).to_pylist(), held.value)
+                yield pa.RecordBatch.from_arrays([*part.columns, pa.array(langs, pa.string()), pa.array(scores, pa.float64())], names=[*part.schema.names, "lang_pred", "score"])
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "doc_id long, lang_pred string, score double")
+    return docs.mapInArrow(run, schema)

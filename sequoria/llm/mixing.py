@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import WORD_PATTERN, materialize
+from .common import WORD_PATTERN, materialize, small_side
 
 #: Weights by rank of the source; they repeat.
 WEIGHTS = (5, 2, 1)
@@ -91,8 +91,8 @@ def mix(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, most: int = MOST_CO
 
 def mixed_documents(docs: DataFrame) -> DataFrame:
     """The mix itself: every row of docs as often as it is taken, with its own columns."""
-    ids = mix(docs).select("doc_id", "copies").distinct()
-    joined = docs.alias("d").join(ids.alias("m"), F.col("d.doc_id").cast("long").eqNullSafe(F.col("m.doc_id"))).filter("copies > 0")
+    ids = materialize(mix(docs).filter("copies > 0").select("doc_id", "source", "copies").distinct(), "copies")
+    joined = docs.alias("d").join(small_side(ids).alias("m"), F.col("d.doc_id").cast("long").eqNullSafe(F.col("m.doc_id")) & F.col("d.source").eqNullSafe(F.col("m.source")))
     if "_copy" in docs.columns:
         raise ValueError("docs has a column _copy")
     return joined.withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("copies")))).select("d.*")

@@ -17,7 +17,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import importable_on_workers, materialize
+from .common import importable_on_workers, materialize, output_schema
 
 #: Labelled documents that the fit may use, taken by order of a hash; size of the hashed feature space.
 SAMPLE_ROWS, FEATURES = 6_000, 2**15
@@ -139,22 +139,27 @@ def train(docs: DataFrame, grades: DataFrame, n_grades: int = GRADES, rows: int
     return fit([(np.asarray(ids[int(i)].values), np.asarray(vals[int(i)].values), grade[int(i)].as_py()) for i in order], n_grades)
 
 
+JUDGED = "expected_grade double, tail_probability double, selected boolean"
+
+
 def classify(docs: DataFrame, model: Model, tail: int = 1, threshold: float = 0.5) -> DataFrame:
-    """(doc_id, expected_grade, tail_probability, selected) for every row of docs (doc_id, text).
+    """docs (text, any other columns) with expected_grade, tail_probability and selected added, for every row.
 
     selected: P(grade >= tail) >= threshold. A null, empty or blank text has no words and is judged by that alone.
+    Columns of docs with one of the three names are an error.
     """
     importable_on_workers(docs.sparkSession)
-    held = docs.sparkSession.sparkContext.broadcast(model)
+    held, at = docs.sparkSession.sparkContext.broadcast(model), docs.columns.index("text")
+    schema = output_schema(docs, JUDGED)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = held.value
         for batch in batches:
             expected, tails = [], []
-            for x in batch.column(1).cast(pa.binary()):
+            for x in batch.column(at).cast(pa.binary()):
                 f, v = features(x.as_py())
                 up = own.tails(float(own.weights[f] @ v))
                 expected.append(float(up.sum())), tails.append(float(up[tail - 1]))
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(expected), pa.array(tails), pa.array([x >= threshold for x in tails])], names=["doc_id", "expected_grade", "tail_probability", "selected"])
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(expected, pa.float64()), pa.array(tails, pa.float64()), pa.array([x >= threshold for x in tails], pa.bool_())], names=[*batch.schema.names, "expected_grade", "tail_probability", "selected"])
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "doc_id long, expected_grade double, tail_probability double, selected boolean")
+    return docs.mapInArrow(run, schema)

@@ -32,8 +32,8 @@ def op4_one_permutation(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op5_cross_parsing(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
     held_out = crc_mod(F.col("doc_id"), 3) == 1
-    out = langid.identify(docs, langid.samples(docs, ~held_out))
-    return out.select("doc_id", held_out.alias("held_out"), "lang_pred", "score")
+    out = langid.identify(docs.select("doc_id", "text"), langid.samples(docs, ~held_out))
+    return out.select(F.col("doc_id").cast("long").alias("doc_id"), held_out.alias("held_out"), "lang_pred", "score")
 
 
 def op6_ppm(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -51,7 +51,7 @@ def op8_hash_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op9_ordinal_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    return quality.classify(docs, quality.train(docs, quality.graded(table(spark, sf_dir, "labels"))))
+    return quality.classify(docs, quality.train(docs, quality.graded(table(spark, sf_dir, "labels")))).drop("text")
 
 
 def op10_boosted_urls(spark: SparkSession, sf_dir: str) -> DataFrame:
