@@ -6,43 +6,33 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sequoria.llm import bpe, hyperminhash, langid, mixing, quality
-from sequoria.llm.common import crc_mod, materialize, table
+from sequoria.llm.common import crc_mod, materialize, small_side, table
 
 #: The columns of documents, which all stages but the last return.
 COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
 
 
-def _keyed(docs: DataFrame) -> DataFrame:
-    """doc_id as `key`; a row without id gets a negative one from its text, so that it takes part."""
-    key = F.coalesce(F.col("doc_id").cast("long"), -F.abs(F.xxhash64("text") % F.lit(2**62)) - 1)
-    return docs.select(*COLUMNS).withColumn("key", key)
-
-
-def _keep(docs: DataFrame, kept: DataFrame) -> DataFrame:
-    """Rows of docs whose key is in kept (doc_id)."""
-    return _keyed(docs).join(kept.select(F.col("doc_id").alias("key")).distinct(), "key", "left_semi").select(*COLUMNS)
-
-
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drops documents whose language is undetermined: null text, or no letter."""
     model = langid.samples(docs, crc_mod(F.col("doc_id"), 3) != 1)
-    found = langid.identify(_keyed(docs).select(F.col("key").alias("doc_id"), "text"), model)
-    return _keep(docs, found.filter(F.col("lang_pred") != langid.UNDETERMINED))
+    return langid.identify(docs.select(*COLUMNS), model).filter(F.col("lang_pred") != langid.UNDETERMINED).select(*COLUMNS)
 
 
 def good(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drops documents of which a grade above the lowest is unlikely (under one half)."""
     model = quality.train(docs, quality.graded(table(spark, sf_dir, "labels")))
-    found = quality.classify(_keyed(docs).select(F.col("key").alias("doc_id"), "text"), model)
-    return _keep(docs, found.filter("selected"))
+    return quality.classify(docs.select(*COLUMNS), model).filter("selected").select(*COLUMNS)
 
 
 def once(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keeps one document of each group of near copies; of rows with one id, one."""
-    found = hyperminhash.near_duplicates(_keyed(docs).select(F.col("key").alias("doc_id"), "text"))
-    found = materialize(found.filter("kept").select("doc_id"), "kept")
-    kept = _keyed(docs).join(found.distinct(), F.col("key") == found.doc_id, "left_semi")
-    if found.count() != found.distinct().count():  # repeated ids are rare: only then the texts move
+    # a row without id gets a negative one from its text, so that it takes part
+    key = F.coalesce(F.col("doc_id").cast("long"), -F.abs(F.xxhash64("text") % F.lit(2**62)) - 1)
+    keyed = docs.select(*COLUMNS, key.alias("key"))
+    found = materialize(hyperminhash.near_duplicates(keyed.select(F.col("key").alias("doc_id"), "text")).filter("kept").select("doc_id"), "kept")
+    ids = materialize(found.distinct().withColumnRenamed("doc_id", "key"), "ids")
+    kept = keyed.join(small_side(ids), "key", "left_semi")
+    if found.count() != ids.count():  # repeated ids are rare: only then the texts move
         kept = kept.dropDuplicates(["key"])
     return kept.select(*COLUMNS)
 
