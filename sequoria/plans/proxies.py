@@ -30,7 +30,9 @@ def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     """doc_id, raw (any letters), seq (the alphabet), source, role, cyclization_type, label (null if there is none)."""
     docs = table(spark, sf_dir, "documents").select("doc_id", F.upper(F.regexp_replace(F.coalesce("text", F.lit("")), "[^A-Za-z]", "")).alias("letters"), "source", "lang")
     docs = docs.withColumn("clean", F.regexp_replace("letters", f"[^{ALPHABET}]", ""))
-    docs = docs.select("doc_id", spaced(F.col("letters")).alias("raw"), spaced(F.col("clean")).alias("seq"), "source", F.when(F.col("source").rlike("[05]$"), "core").otherwise("pretrain").alias("role"), F.when(F.col("lang") == "en", "head_to_tail").when(F.col("lang") == "de", "disulfide").when(F.col("lang") == "fr", "sidechain").otherwise("").alias("cyclization_type"))
+    # the generator is a barrier: filters and joins on expressions of seq are not rewritten in terms of the whole text
+    made = F.explode(F.array(F.struct(spaced(F.col("letters")).alias("raw"), spaced(F.col("clean")).alias("seq")))).alias("made")
+    docs = docs.select("doc_id", "source", "lang", made).select("doc_id", "made.raw", "made.seq", "source", F.when(F.col("source").rlike("[05]$"), "core").otherwise("pretrain").alias("role"), F.when(F.col("lang") == "en", "head_to_tail").when(F.col("lang") == "de", "disulfide").when(F.col("lang") == "fr", "sidechain").otherwise("").alias("cyclization_type"))
     labels = table(spark, sf_dir, "labels").select("doc_id", F.col("quality").alias("label"), "toxic")
     return docs.join(labels, "doc_id", "left")
 

@@ -117,9 +117,9 @@ def _parsed(spark, sf_dir):
     return rows.withColumn("p", M.parsed(F.col("raw"), F.col("unit"), F.col("weight"))).select("*", "p.*").drop("p")
 
 
-@query(_PARSED + " SELECT ord, raw, unit, round(mic, 6) AS mic, label, censor, reason FROM labelled")
+@query(_PARSED + " SELECT ord, raw, unit, round(mic, 4) AS mic, label, censor, reason FROM labelled")
 def parse_measurement(spark, sf_dir):
-    return _parsed(spark, sf_dir).select("ord", "raw", "unit", F.round("mic", 6).alias("mic"), "label", "censor", "reason")
+    return _parsed(spark, sf_dir).select("ord", "raw", "unit", F.round("mic", 4).alias("mic"), "label", "censor", "reason")
 
 
 @query(_PARSED + " SELECT censor, label, CAST(count(*) AS BIGINT) AS n FROM labelled GROUP BY ALL")
@@ -153,10 +153,10 @@ def _checked(spark, sf_dir):
     return out, good
 
 
-@query(_CORE + " SELECT entity, any_label AS label, n, round(least, 6) AS mic, ord FROM places WHERE nth = 1")
+@query(_CORE + " SELECT entity, any_label AS label, n, round(least, 4) AS mic, ord FROM places WHERE nth = 1")
 def entity_rollup(spark, sf_dir):
     _, good = _checked(spark, sf_dir)
-    return C.roll_up(good.filter("not conflict")).withColumn("mic", F.round("mic", 6))
+    return C.roll_up(good.filter("not conflict")).withColumn("mic", F.round("mic", 4))
 
 
 @query(_CORE + " SELECT ord, entity, target FROM agreed WHERE conflict")
