@@ -1,0 +1,165 @@
+"""Each operator against a plain implementation, with nulls, empty and long texts, ties, repeats and empty tables."""
+
+from __future__ import annotations
+
+import hashlib
+import random
+
+import numpy as np
+import pytest
+from pyspark.sql import functions as F
+
+from sequoria.llm import bpe, components, fingerprint, hnsw, hyperminhash, langid, licenses, mixing, ppm, quality, urlfilter
+
+WORDS = ["alpha", "beta", "gamma", "delta", "eps", "zeta", "eta", "theta", "iota", "kappa"]
+
+
+def text(seed: int, n: int) -> str:
+    r = random.Random(seed)
+    return " ".join(r.choice(WORDS) + str(r.randrange(50)) for _ in range(n))
+
+
+@pytest.fixture(scope="module")
+def docs(spark):
+    base = text(1, 120).split()
+    near = " ".join(base[:-1] + ["other"])
+    rows = [(1, " ".join(base)), (2, near), (3, " ".join(base).upper()), (4, text(2, 80)), (5, None), (6, ""), (7, " \n\t"), (8, "two words"), (9, "Two  words"), (10, text(3, 30_000)), (4, text(2, 80))]
+    return spark.createDataFrame([(i, t, "en", f"s{i % 3}" if i != 5 else None, 9) for i, t in rows], "doc_id long, text string, lang string, source string, n_chars long")
+
+
+def shingles(t):
+    w = (t or "").encode().lower().split()
+    return {b" ".join(w[i : i + 5]) for i in range(max(1, len(w) - 4))} if w else set()
+
+
+def test_near_duplicates(spark, docs):
+    got = {r.doc_id: r for r in hyperminhash.near_duplicates(docs).collect()}
+    assert {k: r.component_id for k, r in got.items()} == {1: 1, 2: 1, 3: 1, 4: 4, 5: 5, 6: 6, 7: 7, 8: 8, 9: 8, 10: 10}
+    assert all(got[r.doc_id].n_shingles == len(shingles(r.text)) for r in docs.collect())
+    assert hyperminhash.near_duplicates(docs.limit(0)).count() == 0
+
+
+def test_components(spark):
+    edges = [(i, i + 1) for i in range(20)] + [(100, 101), (101, 100), (5, 5)]
+    got = dict(map(tuple, components.connected_components(spark.createDataFrame(edges, "a long, b long")).collect()))
+    assert got == {**dict.fromkeys(range(21), 0), 100: 100, 101: 100}
+
+
+def test_bpe_matches_the_library_and_round_trips(spark, docs):
+    import tiktoken
+
+    path, pattern = bpe.tokenizer()
+    own = tiktoken.Encoding("own", pat_str=pattern, mergeable_ranks=bpe.load_ranks(path), special_tokens={})
+    want = sorted((r.doc_id, len(ids := own.encode_ordinary(r.text or "")), hashlib.sha256(" ".join(map(str, ids)).encode()).hexdigest(), hashlib.sha256((r.text or "").encode()).hexdigest()) for r in docs.collect())
+    assert sorted(map(tuple, bpe.encode(docs, path, pattern).collect())) == want
+
+
+def test_stitching(spark):
+    import regex
+
+    form = regex.compile(bpe.tokenizer()[1])
+    r = random.Random(5)
+    for _ in range(200):
+        t = "".join(r.choice(" \n\tab'sdlv12!?é漢") for _ in range(r.randrange(400)))
+        assert bpe.pretokens(t, form, chunk=r.choice([5, 17, 40]), overlap=r.choice([6, 12, 30])) == form.findall(t)
+
+
+def test_fingerprints(spark, docs):
+    got = fingerprint.fingerprints(docs.filter("doc_id <> 4").drop("lang")).collect()
+    rows = sorted(((r.doc_id, r.text or "") for r in docs.filter("doc_id <> 4").collect()), reverse=True)
+    by = {r.doc_id: r for r in got}
+    for k, (i, t) in enumerate(rows):
+        after, half = rows[(k + 1) % len(rows)][1], len(t) // 2
+        edited = t[: len(t) - half] + after[:half]
+        assert by[i].edited_sha256 == hashlib.sha256(edited.encode()).hexdigest()
+        a, b = shingles(t), shingles(edited)
+        assert abs(by[i].near_edited - (len(a & b) / len(a | b) if a | b else 1.0)) < 0.2
+    assert by[5].fingerprint == by[6].fingerprint == ""
+
+
+def test_language(spark):
+    model = {"a": "abc abd acb abc bca " * 50, "b": "xyz xzy yxz zyx " * 50}
+    df = spark.createDataFrame([(1, "abc acb abd"), (2, "ZYX xyz"), (3, None), (4, "12 !"), (5, "")], "doc_id long, text string")
+    got = {r.doc_id: r for r in langid.identify(df, model).collect()}
+    assert [got[i].lang_pred for i in range(1, 6)] == ["a", "b", "und", "und", "und"]
+    assert all(0 <= r.score <= 1 for r in got.values())
+
+
+def plain_ppm(train, texts, order=ppm.ORDER):
+    from collections import Counter, defaultdict
+
+    counts = [defaultdict(Counter) for _ in range(order + 1)]
+    for t in train:
+        s = b"\n" * order + t + b"\n"
+        for i in range(order, len(s)):
+            for k in range(order + 1):
+                counts[k][s[i - k : i]][s[i]] += 1
+    for t in texts:
+        s, total = b"\n" * order + t + b"\n", 0.0
+        for i in range(order, len(s)):
+            out = set()
+            for k in range(order, -1, -1):
+                c = {a: n for a, n in counts[k].get(s[i - k : i], {}).items() if a not in out}
+                if not c:
+                    continue
+                n, d = sum(c.values()), len(c)
+                total += np.log10((c.get(s[i]) or d) / (n + d))
+                if s[i] in c:
+                    break
+                out |= set(c)
+            else:
+                total -= np.log10(256 - len(out))
+        yield total
+
+
+def test_ppm(spark, docs):
+    rows = docs.filter("doc_id < 10").dropDuplicates(["doc_id"])
+    got = {r.doc_id: r for r in ppm.score(rows, F.col("doc_id") % 4 != 1).collect()}
+    texts = {r.doc_id: ppm.canonical((r.text or "").encode()) for r in rows.collect()}
+    ids = sorted(texts)
+    for i, want in zip(ids, plain_ppm([texts[i] for i in ids if i % 4 != 1], [texts[i] for i in ids]), strict=True):
+        assert abs(got[i].score - want) < 1e-8
+        assert got[i].n_tokens == len(texts[i].split()) + 1
+
+
+def test_licenses(spark):
+    df = spark.createDataFrame([(1, "RELEASED under the MIT licence!"), (2, "x\nReleased under the MIT License.\nCopyright 2020 A"), (3, None), (4, "")], "doc_id long, text string")
+    got = {r.doc_id: r for r in licenses.scan(df, licenses.known_licenses(spark)).collect()}
+    assert (got[1].text_license, got[2].text_license, got[2].line_licenses, got[2].n_license_lines) == ("MIT", None, "MIT", 1)
+    assert (got[3].text_license, got[4].line_licenses) == (None, "")
+
+
+def test_mix(spark, docs):
+    got = mixing.mix(docs).collect()
+    assert len(got) == docs.count() and all(r.taken <= 3 * r.size for r in got)
+    goal = mixing.targets([("a", 100), ("b", 1000), (None, 10)])
+    assert abs(sum(goal.values()) - 1110) < 1e-9 and goal["a"] == 300 and goal[None] == 30
+    assert sorted(map(tuple, mixing.mix(docs.repartition(3)).collect()), key=str) == sorted(map(tuple, got), key=str)
+
+
+def test_quality():
+    rows = [(*quality.features(t.encode()), g) for k in range(60) for t, g in ((text(k, 40), 2), ("SHOUT!! " * 30, 0), (text(k, 20) + " bad bad words words", 1))]
+    model = quality.fit(rows, 3)
+    assert (np.diff(model.thresholds) > 0).all()
+    right = sum(round(model.tails(float(model.weights[f] @ v)).sum()) == g for f, v, g in rows)
+    assert right > 0.95 * len(rows)
+
+
+def test_urls(spark):
+    urls = ["https://www.a.example.com/en/1?x=2#y", "HTTP://WWW.Example.COM/en/", "no scheme", None, "http://b.net/fr/2", "http://x.org?q"]
+    got = {r.page_id: r for r in urlfilter.judge(spark.createDataFrame(list(enumerate(urls)), "page_id long, url string")).collect()}
+    assert [(got[i].host, got[i].path, got[i].rule) for i in range(6)] == [("www.a.example.com", "/en/1", "example.com/en/"), ("www.example.com", "/en/", "www.example.com/en/"), ("", "", None), ("", "", None), ("b.net", "/fr/2", "net/fr/"), ("x.org", "", None)]
+
+
+def test_vectors(spark):
+    r = np.random.default_rng(3)
+    base = r.normal(size=(40, 16))
+    x = np.vstack([base, base[:10] + 0.02 * r.normal(size=(10, 16)), np.repeat(base[:1], 5, axis=0)])
+    rows = [(i, [float(a) for a in v], i % 2) for i, v in enumerate(x)] + [(100, None, 0), (101, [0.0] * 16, 0), (102, [float("nan")] * 16, 1)]
+    got = {g.vec_id: g for g in hnsw.near_duplicates(spark.createDataFrame(rows, "vec_id long, embedding array<float>, label int")).collect()}
+    u = x.astype(np.float32).astype(float)
+    u /= np.linalg.norm(u, axis=1)[:, None]
+    links = (u @ u.T >= 0.98) & (np.arange(len(x))[:, None] % 2 == np.arange(len(x))[None] % 2)
+    np.fill_diagonal(links, False)
+    assert [got[i].n_links for i in range(len(x))] == links.sum(1).tolist()
+    assert all(got[i].n_links == 0 and got[i].kept for i in (100, 101, 102))
