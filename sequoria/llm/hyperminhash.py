@@ -111,41 +111,64 @@ def _likely(regs: np.ndarray, n: np.ndarray, i0: int, i1: int, num: int, den: in
     return equal, may
 
 
-def _best_pairs(num: int, den: int, cut: float):
+def _best_partner(num: int, den: int, cut: float, sure: float):
+    """For each member of a bucket one partner: the least id that is surely a link, else the likeliest."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for key, _, _, rep, n, raw, _ in _groups(batches, 3):
+        for _, _, _, rep, n, raw in _groups(batches, 3):
             if len(rep) < 2:
                 continue
             regs, n, ids = np.frombuffer(b"".join(raw), np.uint16).reshape(len(rep), REGISTERS), np.asarray(n), np.asarray(rep)
-            got = set()
-            for i0 in range(0, len(rep), 256):
-                i1 = min(i0 + 256, len(rep))
+            by_id = np.argsort(ids, kind="stable")
+            regs, n, ids = regs[by_id], n[by_id], ids[by_id]
+            out = []
+            for i0 in range(0, len(ids), 256):
+                i1 = min(i0 + 256, len(ids))
                 equal, may = _likely(regs, n, i0, i1, num, den, cut)
-                best = np.where(may, equal, 0)
-                j = best.argmax(axis=1)
-                for i, k, ok in zip(range(i0, i1), j.tolist(), may[np.arange(i1 - i0), j].tolist(), strict=True):
-                    if ok and ids[i] != ids[k]:
-                        got.add((int(min(ids[i], ids[k])), int(max(ids[i], ids[k]))))
-            if got:
-                yield pa.RecordBatch.from_arrays([pa.array([x[0] for x in got], pa.int64()), pa.array([x[1] for x in got], pa.int64())], names=["a", "b"])
+                equal = np.where(may, equal, 0)
+                safe = may & (estimate(equal) >= sure)
+                some = safe.any(axis=1)
+                j = np.where(some, safe.argmax(axis=1), equal.argmax(axis=1))
+                at = np.arange(i1 - i0)
+                ok = may[at, j] & (ids[i0:i1] != ids[j])
+                out.append((ids[i0:i1][ok], ids[j][ok], np.where(some, REGISTERS + 1, equal[at, j])[ok]))
+            cols = [np.concatenate(x).astype(np.int64) for x in zip(*out, strict=True)]
+            if len(cols[0]):
+                yield pa.RecordBatch.from_arrays([pa.array(x) for x in cols], names=["a", "b", "rank"])
 
     return run
 
 
 def _open_members(num: int, den: int, cut: float):
+    """What the links so far leave open in a bucket: its few likely pairs across components, as rows with other; where
+    those outnumber the members, the members, to be verified together."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        names = ["key", "lo", "hi", "rep", "comp", "other"]
+        types = [pa.int64(), pa.int32(), pa.int32(), pa.int64(), pa.int64(), pa.int64()]
         for key, lo, hi, rep, n, raw, comp in _groups(batches, 3):
             if len(set(comp)) < 2:
                 continue
-            regs, n, comps = np.frombuffer(b"".join(raw), np.uint16).reshape(len(rep), REGISTERS), np.asarray(n), np.asarray(comp)
-            keep = np.zeros(len(rep), bool)
+            regs, n, comps, ids = np.frombuffer(b"".join(raw), np.uint16).reshape(len(rep), REGISTERS), np.asarray(n), np.asarray(comp), np.asarray(rep)
+            keep, pairs, count = np.zeros(len(rep), bool), [], 0
             for i0 in range(0, len(rep), 256):
                 i1 = min(i0 + 256, len(rep))
                 _, may = _likely(regs, n, i0, i1, num, den, cut)
-                keep[i0:i1] = (may & (comps[i0:i1, None] != comps[None, :])).any(axis=1)
-            k = np.flatnonzero(keep)
-            if len(k):
-                yield pa.RecordBatch.from_arrays([pa.array([key[0]] * len(k), pa.int64()), pa.array([lo[0]] * len(k), pa.int32()), pa.array([hi[0]] * len(k), pa.int32()), pa.array(np.asarray(rep)[k], pa.int64()), pa.array(comps[k], pa.int64())], names=["key", "lo", "hi", "rep", "comp"])
+                may &= comps[i0:i1, None] != comps[None, :]
+                keep[i0:i1] = may.any(axis=1)
+                count += int(may.sum())
+                if count <= 2 * len(rep):
+                    i, j = np.nonzero(may)
+                    pairs.append((i + i0, j))
+            if count <= 2 * len(rep):
+                i, j = (np.concatenate(x) for x in zip(*pairs, strict=True))
+                i, j = i[ids[i] < ids[j]], j[ids[i] < ids[j]]
+                cols = [[None] * len(i)] * 3 + [ids[i], [None] * len(i), ids[j]]
+            else:
+                k = np.flatnonzero(keep)
+                cols = [[key[0]] * len(k), [lo[0]] * len(k), [hi[0]] * len(k), ids[k], comps[k], [None] * len(k)]
+            if len(cols[3]):
+                yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(cols, types, strict=True)], names=names)
 
     return run
 
@@ -213,12 +236,27 @@ def _block_links(num: int, den: int):
     return run
 
 
+def _texts(docs: DataFrame, ids: DataFrame) -> DataFrame:
+    """One text for each of the ids; of several rows with one id, the least text."""
+    return docs.join(ids.distinct(), "doc_id", "left_semi").groupBy("doc_id").agg(F.min("text").alias("text"))
+
+
+def _verified(docs: DataFrame, pairs: DataFrame, num: int, den: int) -> DataFrame:
+    """The (a, b) pairs that are links on full sets; each pair is verified once."""
+    pairs = materialize(pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "pairs")
+    texts = materialize(_texts(docs, pairs.select(F.explode(F.array("a", "b")).alias("doc_id"))), "texts")
+    both = pairs.join(texts.select(F.col("doc_id").alias("b"), F.col("text").alias("text_b")), "b").join(texts.select(F.col("doc_id").alias("a"), F.col("text").alias("text_a")), "a")
+    return materialize(both.select("a", "b", "text_a", "text_b").mapInArrow(_verify(num, den), "a long, b long"), "links")
+
+
 def near_duplicates(docs: DataFrame, numerator: int = 85, denominator: int = 100) -> DataFrame:
     """(doc_id, n_shingles, component_id, kept) for every row of docs (doc_id, text; other columns are ignored).
 
     Two documents are linked if denominator * |A and B| >= numerator * |A or B| on their 5-word shingle sets.
     Null, empty or blank texts have an empty set, link with nothing and are kept. Repeated rows share a component.
-    A row without doc_id gets its class's component, if that has one, and kept false. An empty table gives no rows.
+    Rows that share a doc_id
+    share a component; texts that differ under one doc_id are judged by the least of them. A row without doc_id gets its class's
+    component, if that has one, and kept false. An empty table gives no rows.
 
     A pair at the threshold 0.85 shares none of the 16 bands with a chance of 7e-6, less above it. Pairs whose
     estimate lies 4.5 standard deviations under the threshold are not verified.
@@ -242,22 +280,24 @@ def near_duplicates(docs: DataFrame, numerator: int = 85, denominator: int = 100
     def by_bucket(df: DataFrame) -> DataFrame:
         return df.repartition("key", "lo", "hi").sortWithinPartitions("key", "lo", "hi")
 
-    pairs = by_bucket(members.withColumn("comp", F.lit(0).cast("long"))).mapInArrow(_best_pairs(numerator, denominator, cut), "a long, b long").distinct()
-    pairs = materialize(pairs, "pairs")
-    ends = pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct()
-    # one row for each end: a repeated id counts once, with any of its texts that has the class
-    texts = docs.join(ends, "doc_id", "left_semi").groupBy("doc_id").agg(F.min("text").alias("text"))
-    texts = materialize(texts, "texts")
-    both = pairs.join(texts.select(F.col("doc_id").alias("b"), F.col("text").alias("text_b")), "b").join(texts.select(F.col("doc_id").alias("a"), F.col("text").alias("text_a")), "a")
-    first = connected_components(both.select("a", "b", "text_a", "text_b").mapInArrow(_verify(numerator, denominator), "a long, b long"))
-    first = materialize(first, "components")
+    sure = min(1.0, threshold + 2 * (threshold * (1 - threshold) / REGISTERS) ** 0.5)
+    found = by_bucket(members).mapInArrow(_best_partner(numerator, denominator, cut, sure), "a long, b long, rank long")
+    # one partner for each text, over all its buckets: a hub where one is sure, else the likeliest
+    found = found.groupBy("a").agg(F.min_by("b", F.struct(-F.col("rank"), F.col("b"))).alias("b"))
+    first = materialize(connected_components(_verified(docs, found, numerator, denominator)), "components")
     held = members.join(first.withColumnRenamed("node", "rep"), "rep", "left").withColumn("comp", F.coalesce("component", "rep")).drop("component")
     mixed_keys = held.groupBy("key", "lo", "hi").agg(F.min("comp").alias("x"), F.max("comp").alias("y")).filter("x <> y").select("key", "lo", "hi")
     still = by_bucket(held.join(mixed_keys, ["key", "lo", "hi"]).select("key", "lo", "hi", "rep", "n", "registers", "comp"))
-    still = materialize(still.mapInArrow(_open_members(numerator, denominator, cut), "key long, lo int, hi int, rep long, comp long"), "open")
-    more = docs.withColumnRenamed("doc_id", "rep").join(still.select("rep").distinct(), "rep", "left_semi").groupBy("rep").agg(F.min("text").alias("text"))
-    late = by_bucket(still.join(more, "rep").select("key", "lo", "hi", "rep", "comp", "text")).mapInArrow(_block_links(numerator, denominator), "a long, b long")
-    second = connected_components(late)
+    still = materialize(still.mapInArrow(_open_members(numerator, denominator, cut), "key long, lo int, hi int, rep long, comp long, other long"), "open")
+    crowds = still.filter("other is null")
+    more = _texts(docs, crowds.select(F.col("rep").alias("doc_id"))).withColumnRenamed("doc_id", "rep")
+    late = by_bucket(crowds.join(more, "rep").select("key", "lo", "hi", "rep", "comp", "text")).mapInArrow(_block_links(numerator, denominator), "a long, b long")
+    pairs = still.filter("other is not null").select(F.col("rep").alias("a"), F.col("other").alias("b"))
+    for end in ("a", "b"):
+        step = first.select(F.col("node").alias(end), "component")
+        pairs = pairs if end == "b" else _verified(docs, pairs, numerator, denominator)
+        pairs = pairs.join(step, end, "left").withColumn(end, F.coalesce("component", end)).drop("component")
+    second = connected_components(late.union(pairs.select("a", "b")))
     label = classes.select("class_a", "class_b", "rep").join(first.withColumnRenamed("node", "rep"), "rep", "left").withColumn("c", F.coalesce("component", "rep")).select("class_a", "class_b", "c")
     label = label.join(second.select(F.col("node").alias("c"), F.col("component").alias("d")), "c", "left").select("class_a", "class_b", F.coalesce("d", "c").alias("component"))
     out = sketch.select("doc_id", "n_shingles", "class_a", "class_b").join(label, ["class_a", "class_b"], "left")
