@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import importable_on_workers, materialize, mixed, shingle_hashes
+from .common import importable_on_workers, materialize, mixed, shingle_hashes, small_side
 from .components import connected_components
 
 REGISTERS, MANTISSA, ROWS = 64, 10, 4
@@ -238,7 +238,8 @@ def _block_links(num: int, den: int):
 
 def _texts(docs: DataFrame, ids: DataFrame) -> DataFrame:
     """One text for each of the ids; of several rows with one id, the least text."""
-    return docs.join(ids.distinct(), "doc_id", "left_semi").groupBy("doc_id").agg(F.min("text").alias("text"))
+    ids = materialize(ids.distinct(), "ids")
+    return docs.join(small_side(ids), "doc_id", "left_semi").groupBy("doc_id").agg(F.min("text").alias("text"))
 
 
 def _verified(docs: DataFrame, pairs: DataFrame, num: int, den: int) -> DataFrame:
