@@ -21,7 +21,8 @@ DETAIL = """id bigint, dbaaspId string, sequence string, url string,
 
 def fasta(spark: SparkSession, path: str) -> DataFrame:
     """(file, record_id, sequence) of FASTA files. Wrapped lines are joined, blank ones skipped; the id is the first
-    token of the header. Text before a file's first header is an error. A file is split between tasks at records.
+    token of the header. A file is split between tasks at records, so text before a file's first header cannot be told
+    from a record here; `headerless` names such files, and `labelled_fasta` refuses them.
     """
     raw = spark.read.option("lineSep", "\n>").text(path).select("value", F.col("_metadata.file_name").alias("file"))
     raw = raw.withColumn("value", F.regexp_replace("value", "^﻿", ""))
@@ -50,7 +51,9 @@ def split_of_file(name: Column) -> Column:
 
 
 def labelled_fasta(spark: SparkSession, path: str, source: str) -> DataFrame:
-    """A folder of FASTA files whose names hold label and split."""
+    """A folder of FASTA files whose names hold label and split. A file with text before its first header is an error."""
+    if bad := headerless(spark, path).first():
+        raise ValueError(f"sequence before FASTA header in {bad.file}")
     rows, file = fasta(spark, path), F.col("file")
     return rows.select("sequence", label_of_file(file).alias("label"), F.lit(source).alias("source"), file.alias("source_dataset"), F.col("record_id").alias("source_record_id"), split_of_file(file).alias("original_split"))
 

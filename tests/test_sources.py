@@ -19,6 +19,8 @@ def test_fasta(spark, tmp_path):
     assert R.headerless(spark, str(tmp_path / "*.fa")).count() == 0
     (tmp_path / "bad_amp_.fa").write_text("KLV\n>x\nAA\n")
     assert [r.file for r in R.headerless(spark, str(tmp_path / "*.fa")).collect()] == ["bad_amp_.fa"]
+    with pytest.raises(ValueError, match="before FASTA header in bad_amp_"):
+        R.labelled_fasta(spark, str(tmp_path / "*.fa"), "s")
 
 
 def test_unnamed_files_fail(spark, tmp_path):
