@@ -12,12 +12,13 @@ import base64
 import hashlib
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import importable_on_workers
+from .common import importable_on_workers, lean
 
 #: Characters of a chunk, and how far it reads on into the next one.
 CHUNK, OVERLAP = 65_536, 2_048
@@ -180,7 +181,7 @@ def _encoded(path: str, pattern: str, pieces_of, with_ids: bool):
                     sha.append(hashlib.sha256(out[1:].encode()).hexdigest())
                     back.append(hashlib.sha256(decode(out, table)).hexdigest())
                     if with_ids:
-                        ids.append([int(x) for x in out[1:].split(" ")] if out else [])
+                        ids.append(np.fromstring(out, np.int32, sep=" "))
                 cols = [part.column(0), pa.array(n, pa.int64()), pa.array(sha, pa.string()), pa.array(back, pa.string())]
                 names = [part.schema.names[0], "n_tokens", "ids_sha256", "decoded_sha256"]
                 if with_ids:
@@ -235,12 +236,12 @@ def encode(docs: DataFrame, path: str, pattern: str, with_ids: bool = False) ->
     out = "n_tokens long, ids_sha256 string, decoded_sha256 string" + ", token_ids array<int>" * with_ids
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     is_long = F.coalesce(F.length("text") > CHUNK + OVERLAP, F.lit(False))
-    short = docs.filter(~is_long).mapInArrow(_encoded(path, pattern, _short, with_ids), f"doc_id long, {out}")
+    short = docs.filter(~is_long).mapInArrow(lean(_encoded(path, pattern, _short, with_ids)), f"doc_id long, {out}")
     large = docs.filter(is_long).withColumn("key", F.sha2("text", 256))
-    once = large.select("key", "text").dropDuplicates(["key"]).mapInArrow(_chunks, "key string, k int, text string, last boolean")
-    marked = once.repartition("key", "k").mapInArrow(_marked(path, pattern), "key string, k int, text string, marks array<int>")
+    once = large.select("key", "text").dropDuplicates(["key"]).mapInArrow(lean(_chunks), "key string, k int, text string, last boolean")
+    marked = once.repartition("key", "k").mapInArrow(lean(_marked(path, pattern)), "key string, k int, text string, marks array<int>")
     stitched = marked.groupBy("key").agg(F.collect_list(F.struct("k", "text", "marks")).alias("chunks"))
-    done = stitched.mapInArrow(_encoded(path, pattern, _stitched, with_ids), f"key string, {out}")
+    done = stitched.mapInArrow(lean(_encoded(path, pattern, _stitched, with_ids)), f"key string, {out}")
     return short.unionByName(large.select("doc_id", "key").join(done, "key").drop("key"))
 
 

@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import importable_on_workers, materialize, mixed, shingle_hashes, small_side
+from .common import importable_on_workers, lean, materialize, mixed, shingle_hashes, small_side
 from .components import connected_components
 
 REGISTERS, MANTISSA, ROWS = 64, 10, 4
@@ -72,7 +72,7 @@ def _sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def sketches(docs: DataFrame) -> DataFrame:
     """(doc_id, text) in; set size, class key of the whole set, registers and band keys out. No set: nulls."""
     importable_on_workers(docs.sparkSession)
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(_sketch, SKETCH)
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(lean(_sketch), SKETCH)
 
 
 def _groups(batches: Iterator[pa.RecordBatch], keys: int) -> Iterator[list[list]]:
@@ -247,7 +247,7 @@ def _verified(docs: DataFrame, pairs: DataFrame, num: int, den: int) -> DataFram
     pairs = materialize(pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "pairs")
     texts = materialize(_texts(docs, pairs.select(F.explode(F.array("a", "b")).alias("doc_id"))), "texts")
     both = pairs.join(texts.select(F.col("doc_id").alias("b"), F.col("text").alias("text_b")), "b").join(texts.select(F.col("doc_id").alias("a"), F.col("text").alias("text_a")), "a")
-    return materialize(both.select("a", "b", "text_a", "text_b").mapInArrow(_verify(num, den), "a long, b long"), "links")
+    return materialize(both.select("a", "b", "text_a", "text_b").mapInArrow(lean(_verify(num, den)), "a long, b long"), "links")
 
 
 def near_duplicates(docs: DataFrame, numerator: int = 85, denominator: int = 100) -> DataFrame:
@@ -282,17 +282,17 @@ def near_duplicates(docs: DataFrame, numerator: int = 85, denominator: int = 100
         return df.repartition("key", "lo", "hi").sortWithinPartitions("key", "lo", "hi")
 
     sure = min(1.0, threshold + 2 * (threshold * (1 - threshold) / REGISTERS) ** 0.5)
-    found = by_bucket(members).mapInArrow(_best_partner(numerator, denominator, cut, sure), "a long, b long, rank long")
+    found = by_bucket(members).mapInArrow(lean(_best_partner(numerator, denominator, cut, sure)), "a long, b long, rank long")
     # one partner for each text, over all its buckets: a hub where one is sure, else the likeliest
     found = found.groupBy("a").agg(F.min_by("b", F.struct(-F.col("rank"), F.col("b"))).alias("b"))
     first = materialize(connected_components(_verified(docs, found, numerator, denominator)), "components")
     held = members.join(first.withColumnRenamed("node", "rep"), "rep", "left").withColumn("comp", F.coalesce("component", "rep")).drop("component")
     mixed_keys = held.groupBy("key", "lo", "hi").agg(F.min("comp").alias("x"), F.max("comp").alias("y")).filter("x <> y").select("key", "lo", "hi")
     still = by_bucket(held.join(mixed_keys, ["key", "lo", "hi"]).select("key", "lo", "hi", "rep", "n", "registers", "comp"))
-    still = materialize(still.mapInArrow(_open_members(numerator, denominator, cut), "key long, lo int, hi int, rep long, comp long, other long"), "open")
+    still = materialize(still.mapInArrow(lean(_open_members(numerator, denominator, cut)), "key long, lo int, hi int, rep long, comp long, other long"), "open")
     crowds = still.filter("other is null")
     more = _texts(docs, crowds.select(F.col("rep").alias("doc_id"))).withColumnRenamed("doc_id", "rep")
-    late = by_bucket(crowds.join(more, "rep").select("key", "lo", "hi", "rep", "comp", "text")).mapInArrow(_block_links(numerator, denominator), "a long, b long")
+    late = by_bucket(crowds.join(more, "rep").select("key", "lo", "hi", "rep", "comp", "text")).mapInArrow(lean(_block_links(numerator, denominator)), "a long, b long")
     pairs = still.filter("other is not null").select(F.col("rep").alias("a"), F.col("other").alias("b"))
     for end in ("a", "b"):
         step = first.select(F.col("node").alias(end), "component")

@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import importable_on_workers, output_schema
+from .common import importable_on_workers, lean, output_schema
 
 #: Characters of labelled text of each language, and documents that they are taken from.
 SAMPLE_CHARS, SAMPLE_DOCS = 16_384, 64
@@ -204,4 +204,4 @@ def identify(docs: DataFrame, model: dict[str, str]) -> DataFrame:
                 langs, scores = predict(part.column(at).to_pylist(), held.value)
                 yield pa.RecordBatch.from_arrays([*part.columns, pa.array(langs, pa.string()), pa.array(scores, pa.float64())], names=[*part.schema.names, "lang_pred", "score"])
 
-    return docs.mapInArrow(run, schema)
+    return docs.mapInArrow(lean(run), schema)

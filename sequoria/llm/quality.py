@@ -17,7 +17,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import importable_on_workers, materialize, output_schema
+from .common import importable_on_workers, lean, materialize, output_schema
 
 #: Labelled documents that the fit may use, taken by order of a hash; size of the hashed feature space.
 SAMPLE_ROWS, FEATURES = 6_000, 2**15
@@ -133,7 +133,7 @@ def train(docs: DataFrame, grades: DataFrame, n_grades: int = GRADES, rows: int
             cols = [batch.column(0), batch.column(2), pa.array([f for f, _ in got], pa.list_(pa.int32())), pa.array([v for _, v in got], pa.list_(pa.float32()))]
             yield pa.RecordBatch.from_arrays(cols, names=["doc_id", "grade", "ids", "vals"])
 
-    made = both.mapInArrow(run, "doc_id long, grade int, ids array<int>, vals array<float>").toArrow()
+    made = both.mapInArrow(lean(run), "doc_id long, grade int, ids array<int>, vals array<float>").toArrow()
     order = np.argsort(made.column("doc_id").to_numpy(), kind="stable")
     ids, vals, grade = made.column("ids"), made.column("vals"), made.column("grade")
     return fit([(np.asarray(ids[int(i)].values), np.asarray(vals[int(i)].values), grade[int(i)].as_py()) for i in order], n_grades)
@@ -162,4 +162,4 @@ def classify(docs: DataFrame, model: Model, tail: int = 1, threshold: float = 0.
                 expected.append(float(up.sum())), tails.append(float(up[tail - 1]))
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(expected, pa.float64()), pa.array(tails, pa.float64()), pa.array([x >= threshold for x in tails], pa.bool_())], names=[*batch.schema.names, "expected_grade", "tail_probability", "selected"])
 
-    return docs.mapInArrow(run, schema)
+    return docs.mapInArrow(lean(run), schema)
