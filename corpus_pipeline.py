@@ -25,11 +25,14 @@ def good(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def once(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps one document of each group of near copies; of rows with one id, one."""
+    """Keeps one document of each group of near copies; of rows with one id, one.
+
+    Near copies have a Jaccard of 0.8 or more on their 5-word shingle sets, the general rule; op3's own contract has 0.85.
+    """
     # a row without id gets a negative one from its text, so that it takes part
     key = F.coalesce(F.col("doc_id").cast("long"), -F.abs(F.xxhash64("text") % F.lit(2**62)) - 1)
     keyed = docs.select(*COLUMNS, key.alias("key"))
-    found = materialize(hyperminhash.near_duplicates(keyed.select(F.col("key").alias("doc_id"), "text")).filter("kept").select("doc_id"), "kept")
+    found = materialize(hyperminhash.near_duplicates(keyed.select(F.col("key").alias("doc_id"), "text"), 80, 100).filter("kept").select("doc_id"), "kept")
     ids = materialize(found.distinct().withColumnRenamed("doc_id", "key"), "ids")
     kept = keyed.join(small_side(ids), "key", "left_semi")
     if found.count() != ids.count():  # repeated ids are rare: only then the texts move

@@ -163,3 +163,16 @@ def test_vectors(spark):
     np.fill_diagonal(links, False)
     assert [got[i].n_links for i in range(len(x))] == links.sum(1).tolist()
     assert all(got[i].n_links == 0 and got[i].kept for i in (100, 101, 102))
+
+
+def test_pipeline_drops_near_copies_from_080_on(spark):
+    import corpus_pipeline
+
+    base = [f"w{i}" for i in range(104)]  # 100 shingles; other last words leave 100 - k of 100 + k
+    ends = {1: 0, 2: 9, 3: 11, 4: 13}  # Jaccard with 1: 91/109 = 0.83, 89/111 = 0.802, 87/113 = 0.77
+    rows = [(i, " ".join(base[: 104 - k] + [f"{i}x{j}" for j in range(k)]), "en", "s", 9) for i, k in ends.items()]
+    sets = {i: shingles(t) for i, t, *_ in rows}
+    near = [i for i in sets if i > 1 and 5 * len(sets[1] & sets[i]) >= 4 * len(sets[1] | sets[i])]
+    assert near == [2, 3]
+    frame = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
+    assert sorted(r.doc_id for r in corpus_pipeline.once(spark, frame, "").collect()) == [1, 4]
