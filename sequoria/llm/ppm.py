@@ -5,8 +5,9 @@ to the next shorter one; the escape is estimated from the number of distinct suc
 that the longer context had are excluded there. The pretrained code length of a text is the sum over its bytes and its
 end. A unigram base with add-one counts is computed beside it.
 
-What a worker holds is bounded: at most MODEL_GRAMS grams of each order, the most frequent ones, and at most
-FREQUENT_WORDS words; the counts themselves come from all training rows, and all other words are looked up by a join.
+The trie is never cut: it stands in tables, and the cost of each distinct gram that any row holds is computed there once.
+What a worker holds is bounded: the costs of the MODEL_GRAMS most frequent grams at most, and FREQUENT_WORDS words; all
+other grams and words are looked up by a join, so the bounds do not change the results.
 """
 
 from __future__ import annotations
@@ -17,11 +18,12 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import ascii_lower, importable_on_workers, materialize, words
+from .common import ascii_lower, importable_on_workers, lean, materialize, small_side, words
 
 ORDER = 4
 MODEL_GRAMS, FREQUENT_WORDS = 2**19, 300_000
@@ -44,7 +46,7 @@ def grams(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     at = np.arange(len(owner)) + ORDER * (owner + 1)
     code = np.zeros(len(raw), np.int64)
     for k in range(ORDER + 1):
-        code[k:] |= raw[: len(raw) - k].astype(np.int64) << (8 * k)
+        code[k:] |= np.left_shift(raw[: len(raw) - k], 8 * k, dtype=np.int64)
     return code[at], owner
 
 
@@ -61,17 +63,20 @@ def _blocks(column: pa.Array) -> Iterator[list[bytes]]:
 
 
 def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    codes, counts = np.empty(0, np.int64), np.empty(0, np.int64)
+    """Of (text, held_out): each code, how often it stands in training rows, and in all rows."""
+    codes, counts = np.empty(0, np.int64), np.empty((2, 0), np.int64)
     for batch in batches:
-        for block in _blocks(batch.column(0)):
-            c, n = np.unique(grams(block)[0], return_counts=True)
-            codes, inverse = np.unique(np.concatenate([codes, c]), return_inverse=True)
-            counts = np.bincount(inverse, np.concatenate([counts, n])).astype(np.int64)
-            if len(codes) > GATHERED:
-                yield pa.RecordBatch.from_arrays([pa.array(codes), pa.array(counts)], names=["code", "n"])
-                codes, counts = codes[:0], counts[:0]
+        held_out = batch.column(1)
+        for learned, part in ((1, batch.column(0).filter(pc.invert(held_out))), (0, batch.column(0).filter(held_out))):
+            for block in _blocks(part):
+                c, n = np.unique(grams(block)[0], return_counts=True)
+                codes, inverse = np.unique(np.concatenate([codes, c]), return_inverse=True)
+                counts = np.stack([np.bincount(inverse, np.concatenate([old, n * by])) for old, by in zip(counts, (learned, 1), strict=True)]).astype(np.int64)
+                if len(codes) > GATHERED:
+                    yield pa.RecordBatch.from_arrays([pa.array(codes), pa.array(counts[0]), pa.array(counts[1])], names=["code", "n", "times"])
+                    codes, counts = codes[:0], counts[:, :0]
     if len(codes):
-        yield pa.RecordBatch.from_arrays([pa.array(codes), pa.array(counts)], names=["code", "n"])
+        yield pa.RecordBatch.from_arrays([pa.array(codes), pa.array(counts[0]), pa.array(counts[1])], names=["code", "n", "times"])
 
 
 class Index:
@@ -110,111 +115,90 @@ class Index:
         return out
 
 
-class Trie:
-    """Contexts of each order with their successors; costs are base-10 logarithms of probabilities."""
-
-    def __init__(self, levels: list[tuple[np.ndarray, np.ndarray]]):
-        """levels[k]: codes (context of k bytes, symbol) and counts."""
-        self.grams, self.counts, self.contexts, self.n, self.d, self.parent, self.taken = [], [], [], [], [], [], []
-        sorted_contexts: list[np.ndarray] = []
-        for k, (codes, counts) in enumerate(levels):
-            order = np.argsort(codes)
-            codes, counts = codes[order].astype(np.int64), counts[order].astype(np.float64)
-            ctx, where = np.unique(codes >> 8, return_inverse=True)
-            sorted_contexts.append(ctx)
-            self.grams.append(Index(codes))
-            self.counts.append(counts)
-            self.contexts.append(Index(ctx))
-            self.n.append(np.bincount(where, counts, len(ctx)))
-            self.d.append(np.bincount(where, minlength=len(ctx)).astype(np.float64))
-            if k:
-                mask = (1 << (8 * (k - 1))) - 1
-                self.parent.append(self.contexts[k - 1].find(ctx & mask))
-                below = self.grams[k - 1].find(codes & ((1 << (8 * k)) - 1))
-                self.taken.append(np.bincount(where, self.counts[k - 1][below], len(ctx)))
-            else:
-                self.parent.append(np.full(len(ctx), -1))
-                self.taken.append(np.zeros(len(ctx)))
-        top = len(levels) - 1
-        codes = np.sort(levels[top][0]).astype(np.int64)
-        ctx = self.contexts[top].find(codes >> 8)
-        #: Of the longest order, where no escape is needed.
-        self.direct = np.log10(self.counts[top]) - np.log10(self.n[top][ctx] + self.d[top][ctx])
-
-    def costs(self, codes: np.ndarray) -> np.ndarray:
-        top = len(self.grams) - 1
-        at = self.grams[top].find(codes)
-        out = np.where(at >= 0, self.direct[at] if len(self.direct) else 0.0, 0.0)
-        open_ = np.flatnonzero(at < 0)
-        code = codes[open_]
-        total, above = np.zeros(len(open_)), np.full(len(open_), -1)  # above: context of order k + 1 that was escaped from
-        for k in range(top, -1, -1):
-            if not len(open_):
-                break
-            gram, ctx_code = code & ((1 << (8 * (k + 1))) - 1), (code >> 8) & ((1 << (8 * k)) - 1)
-            if k < top:
-                ctx = np.where(above >= 0, self.parent[k + 1][above], self.contexts[k].find(ctx_code))
-                nx, dx = np.where(above >= 0, self.taken[k + 1][above], 0.0), np.where(above >= 0, self.d[k + 1][above], 0.0)
-            else:
-                ctx, nx, dx = self.contexts[k].find(ctx_code), np.zeros(len(open_)), np.zeros(len(open_))
-            known = ctx >= 0
-            n, d = np.where(known, self.n[k][ctx], 0.0) - nx, np.where(known, self.d[k][ctx], 0.0) - dx
-            g = self.grams[k].find(gram)
-            hit = known & (g >= 0)
-            some = known & (d > 0)
-            with np.errstate(divide="ignore", invalid="ignore"):
-                total = np.where(hit, total + np.log10(self.counts[k][g]) - np.log10(n + d), np.where(some, total + np.log10(d) - np.log10(n + d), total))
-            out[open_[hit]] = total[hit]
-            above = np.where(known, ctx, -1)
-            keep = ~hit
-            open_, code, total, above = open_[keep], code[keep], total[keep], above[keep]
-        if len(open_):
-            seen = np.where(above >= 0, self.d[0][above] if len(self.d[0]) else 0.0, 0.0)
-            out[open_] = total - np.log10(np.maximum(256 - seen, 1))
-        return out
+def _suffix(code: Column, size: int) -> Column:
+    """The last `size` bytes of a code."""
+    return code.bitwiseAND(F.lit((1 << (8 * size)) - 1))
 
 
-def train_trie(docs: DataFrame) -> list[tuple[np.ndarray, np.ndarray]]:
-    """Counts of grams of each order over all rows of docs (text), the most frequent MODEL_GRAMS at most of an order.
+def gram_costs(docs: DataFrame) -> DataFrame:
+    """(code, times, cost): every distinct gram of the longest order in docs (text, held_out), how often it occurs, and
+    the base-10 logarithm of its probability by the trie of all training rows.
 
-    Grams are summed in each task, then by key; shorter orders are sums of longer ones. One count bound holds for all
-    orders, so each kept context has its shorter ones.
+    The trie is tables: the grams of each order with their counts, and of each context the sum of them (n), their
+    number (d) and the counts that its successors have one order below (taken). No order is cut. Codes that training
+    rows hold need the longest order only; the others walk down the orders, a join with each.
     """
     importable_on_workers(docs.sparkSession)
-    found = docs.select("text").mapInArrow(_counted, "code long, n long")
-    levels = {ORDER: materialize(found.groupBy("code").agg(F.sum("n").alias("n")), "grams")}
+    found = docs.select("text", F.coalesce("held_out", F.lit(True)).alias("held_out")).mapInArrow(lean(_counted), "code long, n long, times long")
+    all_codes = materialize(found.groupBy("code").agg(F.sum("n").alias("n"), F.sum("times").alias("times")), "codes")
+    levels = {ORDER: materialize(all_codes.filter("n > 0").select("code", "n"), "grams")}
     for k in range(ORDER - 1, -1, -1):
-        levels[k] = materialize(levels[k + 1].groupBy(F.col("code").bitwiseAND(F.lit((1 << (8 * (k + 1))) - 1)).alias("code")).agg(F.sum("n").alias("n")), "grams")
-    least = 1
-    for df in levels.values():
-        steps = sorted(df.groupBy(F.floor(F.log2("n") * 4).alias("q")).count().collect(), reverse=True)
-        held = 0
-        for q, count in steps:
-            held += count
-            if held > MODEL_GRAMS:
-                least = max(least, int(np.ceil(2 ** ((q + 1) / 4))))
-                break
-    out = []
-    for k in range(ORDER + 1):
-        got = levels[k].filter(F.col("n") >= least).toArrow()
-        out.append((got.column("code").to_numpy(), got.column("n").to_numpy()))
-    return out
+        levels[k] = materialize(levels[k + 1].groupBy(_suffix(F.col("code"), k + 1).alias("code")).agg(F.sum("n").alias("n")), "grams")
+    contexts = {}
+    for k, df in levels.items():
+        below = F.lit(0).cast("long").alias("below")
+        if k:
+            lower = levels[k - 1].select(F.col("code").alias("lower"), F.col("n").alias("below"))
+            df, below = df.withColumn("lower", _suffix(F.col("code"), k)).join(small_side(lower), "lower"), F.col("below")
+        df = df.select(F.shiftright("code", 8).alias("ctx"), "n", below)
+        contexts[k] = materialize(df.groupBy("ctx").agg(F.sum("n").alias("n"), F.count("*").alias("d"), F.sum("below").alias("taken")), "contexts")
+    top = contexts[ORDER].select("ctx", (F.col("n") + F.col("d")).alias("all"))
+    seen = all_codes.filter("n > 0").withColumn("ctx", F.shiftright("code", 8)).join(small_side(top), "ctx")
+    seen = seen.select("code", "times", (F.log10("n") - F.log10("all")).alias("cost"))
+    zero = F.lit(0).cast("long")
+    # nx, dx: what the context above took of n and d; total: the logarithms so far; hit: the symbol was found
+    open_ = all_codes.filter("n = 0").select("code", "times", F.lit(0.0).alias("total"), F.lit(False).alias("hit"), zero.alias("nx"), zero.alias("dx"))
+    for k in range(ORDER, -1, -1):
+        here = contexts[k].select(F.col("ctx"), F.col("n").alias("cn"), F.col("d").alias("cd"), "taken")
+        open_ = open_.withColumn("ctx", _suffix(F.shiftright("code", 8), k)).join(small_side(here), "ctx", "left")
+        if k == ORDER:
+            open_ = open_.withColumn("g", F.lit(None).cast("long"))  # no training row holds them
+        else:
+            got = levels[k].select(F.col("code").alias("gram"), F.col("n").alias("g"))
+            open_ = open_.withColumn("gram", _suffix(F.col("code"), k + 1)).join(small_side(got), "gram", "left")
+        n, d = F.col("cn") - F.col("nx"), F.col("cd") - F.col("dx")
+        step = F.when(F.col("hit"), 0.0).when(F.col("g").isNotNull(), F.log10("g") - F.log10(n + d)).when(d > 0, F.log10(d) - F.log10(n + d)).otherwise(0.0)
+        open_ = open_.select("code", "times", (F.col("total") + step).alias("total"), (F.col("hit") | F.col("g").isNotNull()).alias("hit"), F.coalesce("taken", zero).alias("nx"), F.coalesce("cd", zero).alias("dx"))
+    none = F.log10(F.greatest(F.lit(256) - F.col("dx"), F.lit(1)))  # dx: the distinct bytes of all training rows
+    return materialize(seen.union(open_.select("code", "times", F.when(F.col("hit"), F.col("total")).otherwise(F.col("total") - none))), "costs")
+
+
+def most_frequent(df: DataFrame, by: str, most: int) -> int:
+    """A bound on the whole-number column `by` that at most `most` rows of df reach."""
+    held = 0
+    for q, n in sorted(df.groupBy(F.floor(F.log2(by) * 4).alias("q")).count().collect(), reverse=True):
+        held += n
+        if held > most:
+            return int(np.ceil(2 ** ((q + 1) / 4)))
+    return 1
 
 
 _MODELS: dict[str, tuple] = {}
 
 
-def worker_model(value: tuple) -> tuple[Trie, dict[bytes, float], float]:
-    """Trie, logarithms of the frequent words' counts and of the end's; a worker keeps the last model."""
-    levels, names, times, ends, mark = value
+def worker_model(value: tuple) -> tuple[Index, np.ndarray, dict[bytes, float], float]:
+    """Index of the frequent grams and their costs, logarithms of the frequent words' counts and of the end's; a worker
+    keeps the last model."""
+    codes, costs, names, times, ends, mark = value
     if mark not in _MODELS:
         _MODELS.clear()
         logs = dict(zip(names, np.log10(np.asarray(times, float) + 1).tolist(), strict=True))
-        _MODELS[mark] = Trie(levels), logs, float(np.log10(ends + 1))
+        _MODELS[mark] = Index(codes), costs, logs, float(np.log10(ends + 1))
     return _MODELS[mark]
 
 
-SCORED = "uid long, doc_id long, held_out boolean, n_tokens long, known long, logs double, score double, rare array<string>, times array<int>"
+def gram_scores(block: list[bytes], index: Index, costs: np.ndarray) -> tuple[np.ndarray, list[np.ndarray], list[np.ndarray]]:
+    """Of each text: the sum of the costs that are held, and the grams that are not, with how often each occurs."""
+    codes, owner = grams(block)
+    at = index.find(codes)
+    sums = np.bincount(owner, np.where(at >= 0, costs[at], 0.0), len(block)) if len(costs) else np.zeros(len(block))
+    miss = np.flatnonzero(at < 0)
+    ends = np.searchsorted(owner[miss], np.arange(len(block) + 1))
+    pairs = [np.unique(codes[miss[a:b]], return_counts=True) for a, b in zip(ends[:-1], ends[1:], strict=True)]
+    return sums, [c for c, _ in pairs], [n for _, n in pairs]
+
+
+SCORED = "uid long, doc_id long, held_out boolean, n_tokens long, known long, logs double, score double, rare array<string>, times array<int>, grams array<long>, gram_times array<long>"
 
 
 def score(docs: DataFrame, learn: Column) -> DataFrame:
@@ -234,25 +218,25 @@ def score(docs: DataFrame, learn: Column) -> DataFrame:
     total, distinct = counts.agg(F.coalesce(F.sum("c"), F.lit(0)), F.count("*")).first()
     ends = training.count()
     n_train, vocabulary = total + ends, distinct + (ends > 0)
-    bound, held = 1, 0
-    for q, n in sorted(counts.groupBy(F.floor(F.log2("c") * 4).alias("q")).count().collect(), reverse=True):
-        held += n
-        if held > FREQUENT_WORDS:
-            bound = int(np.ceil(2 ** ((q + 1) / 4)))
-            break
+    bound = most_frequent(counts, "c", FREQUENT_WORDS)
     top = counts.filter(F.col("c") >= bound).toArrow()
-    model = spark.sparkContext.broadcast((train_trie(training), top.column("word").cast(pa.binary()).to_pylist(), top.column("c").to_pylist(), ends, uuid.uuid4().hex))
+    costs = gram_costs(docs)
+    gram_bound = most_frequent(costs, "times", MODEL_GRAMS)
+    held = costs.filter(F.col("times") >= gram_bound).toArrow()
+    model = spark.sparkContext.broadcast((held.column("code").to_numpy(), held.column("cost").to_numpy(), top.column("word").cast(pa.binary()).to_pylist(), top.column("c").to_pylist(), ends, uuid.uuid4().hex))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        trie, logs, end_log = worker_model(model.value)
+        index, gram_cost, logs, end_log = worker_model(model.value)
         uid = (TaskContext.get().partitionId() if TaskContext.get() else 0) << 40
         for batch in batches:
             for start in range(0, batch.num_rows, 1024):
                 part = batch.slice(start, 1024)
-                scores, cols = [], [[] for _ in range(5)]
+                scores, open_grams, open_times, cols = [], [], [], [[] for _ in range(5)]
                 for block in _blocks(part.column(1)):
-                    codes, owner = grams(block)
-                    scores += np.bincount(owner, trie.costs(codes), len(block)).tolist()
+                    sums, missed, missed_times = gram_scores(block, index, gram_cost)
+                    scores += sums.tolist()
+                    open_grams += missed
+                    open_times += missed_times
                     for text in block:
                         each = text.split(b" ") if text else []
                         got = [logs.get(w) for w in each]
@@ -262,12 +246,18 @@ def score(docs: DataFrame, learn: Column) -> DataFrame:
                             col.append(x)
                 n = part.num_rows
                 rare = pa.array(cols[3], pa.list_(pa.binary())).cast(pa.list_(pa.string()))
-                yield pa.RecordBatch.from_arrays([pa.array(range(uid, uid + n), pa.int64()), part.column(0), part.column(2), pa.array(cols[0], pa.int64()), pa.array(cols[1], pa.int64()), pa.array(cols[2], pa.float64()), pa.array(scores, pa.float64()), rare, pa.array(cols[4], pa.list_(pa.int32()))], names=["uid", "doc_id", "held_out", "n_tokens", "known", "logs", "score", "rare", "times"])
+                yield pa.RecordBatch.from_arrays([pa.array(range(uid, uid + n), pa.int64()), part.column(0), part.column(2), pa.array(cols[0], pa.int64()), pa.array(cols[1], pa.int64()), pa.array(cols[2], pa.float64()), pa.array(scores, pa.float64()), rare, pa.array(cols[4], pa.list_(pa.int32())), pa.array(open_grams, pa.list_(pa.int64())), pa.array(open_times, pa.list_(pa.int64()))], names=["uid", "doc_id", "held_out", "n_tokens", "known", "logs", "score", "rare", "times", "grams", "gram_times"])
                 uid += n
 
-    scored = materialize(docs.select("doc_id", "text", "held_out").mapInArrow(run, SCORED), "scores")
+    scored = materialize(docs.select("doc_id", "text", "held_out").mapInArrow(lean(run), SCORED), "scores")
     rare = scored.select("uid", F.explode(F.arrays_zip("rare", "times")).alias("x")).select("uid", F.col("x.rare").alias("word"), F.col("x.times").alias("times"))
     more = rare.join(counts.filter(F.col("c") < bound), "word").groupBy("uid").agg(F.sum("times").alias("more"), F.sum(F.col("times") * F.log10(F.col("c") + 1)).alias("more_logs"))
     base = F.col("logs") + F.coalesce("more_logs", F.lit(0.0)) - F.col("n_tokens") * F.lit(float(np.log10(n_train + vocabulary + 1)))
-    return scored.drop("rare", "times").join(more, "uid", "left").select("doc_id", "held_out", "n_tokens", (F.col("known") + F.coalesce("more", F.lit(0))).cast("long").alias("n_known"), F.lit(int(n_train)).cast("long").alias("train_tokens"), base.alias("base_score"), "score")
-
+    out = scored.drop("rare", "times", "grams", "gram_times").join(more, "uid", "left")
+    score_ = F.col("score")
+    if gram_bound > 1:  # else all grams are broadcast
+        open_ = scored.select("uid", F.explode(F.arrays_zip("grams", "gram_times")).alias("x")).select("uid", F.col("x.grams").alias("code"), F.col("x.gram_times").alias("by"))
+        rest = costs.filter(F.col("times") < gram_bound).select("code", "cost")
+        out = out.join(open_.join(rest, "code").groupBy("uid").agg(F.sum(F.col("by") * F.col("cost")).alias("rest")), "uid", "left")
+        score_ = score_ + F.coalesce("rest", F.lit(0.0))
+    return out.select("doc_id", "held_out", "n_tokens", (F.col("known") + F.coalesce("more", F.lit(0))).cast("long").alias("n_known"), F.lit(int(n_train)).cast("long").alias("train_tokens"), base.alias("base_score"), score_.alias("score"))

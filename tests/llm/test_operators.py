@@ -176,3 +176,15 @@ def test_pipeline_drops_near_copies_from_080_on(spark):
     assert near == [2, 3]
     frame = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
     assert sorted(r.doc_id for r in corpus_pipeline.once(spark, frame, "").collect()) == [1, 4]
+
+
+@pytest.mark.parametrize("bound", [1, 16, 300])
+def test_ppm_scores_by_the_whole_trie_past_its_bound(spark, monkeypatch, bound):
+    monkeypatch.setattr(ppm, "MODEL_GRAMS", bound)
+    monkeypatch.setattr(ppm, "FREQUENT_WORDS", 5)
+    texts = {i: text(i, 30) + " żółw 漢字" * (i % 3) for i in range(8)}
+    rows = spark.createDataFrame(list(texts.items()), "doc_id long, text string")
+    got = {r.doc_id: r.score for r in ppm.score(rows, F.col("doc_id") % 4 != 1).collect()}
+    plain = {i: ppm.canonical(t.encode()) for i, t in texts.items()}
+    for i, want in zip(plain, plain_ppm([plain[j] for j in plain if j % 4 != 1], plain.values()), strict=True):
+        assert abs(got[i] - want) < 1e-8
