@@ -2,11 +2,12 @@
 
 For each language a suffix automaton is built of a bounded sample of labelled text. A text is parsed greedily into the
 longest phrases that occur in the sample; the language that needs the fewest phrases, normalised by what a phrase
-costs there, wins. The automata are dense transition tables, walked for many stretches of text at once.
+costs there, wins. The automata are transition tables, walked for many stretches of text at once.
 """
 
 from __future__ import annotations
 
+import random
 import re
 import threading
 import unicodedata
@@ -26,7 +27,7 @@ SAMPLE_CHARS, SAMPLE_DOCS = 16_384, 64
 SAMPLE_TOTAL = 8_000_000
 #: Characters that are walked one after the other; a phrase that crosses the border between two stretches is cut.
 STRETCH = 512
-#: Symbols of a table: this many of the most frequent characters, one for the rest, one for padding.
+#: A sample of up to so many characters gets a dense table; one of more a sparse one, with the same results.
 SYMBOLS = 62
 UNDETERMINED = "und"
 _NOT_LETTERS = re.compile(r"[\W\d_]+")
@@ -67,42 +68,71 @@ def automaton(sample: str) -> tuple[list[dict[str, int]], list[int]]:
 
 
 class Parser:
-    """Counts phrases of many texts against one sample."""
+    """Counts phrases of many texts against one sample, over all characters that the sample has."""
 
     def __init__(self, sample: str):
-        kept = [c for c, _ in Counter(sample).most_common(SYMBOLS)]
+        kept = [c for c, _ in Counter(sample).most_common()]
         self.symbol = {c: i for i, c in enumerate(kept)}
-        self.width = SYMBOLS + 2  # the last two: any other character, padding
-        nxt, _ = automaton("".join(c for c in sample if c in self.symbol))
+        self.width = len(kept) + 2  # the last two: any other character, padding
+        nxt, _ = automaton(sample)
+        self.root = np.zeros(self.width, np.int32)
+        for c, s in nxt[0].items():
+            self.root[self.symbol[c]] = s
+        self.dense = len(kept) <= SYMBOLS
+        self._fill_dense(nxt) if self.dense else self._fill_sparse(nxt)
+        lookup = np.full(max(map(ord, kept), default=0) + 2, len(kept), np.uint8 if self.width <= 256 else np.uint32)
+        for c, i in self.symbol.items():
+            lookup[ord(c)] = i
+        self.lookup = lookup
+        self.cost = np.log2(max(len(sample), 2))
+
+    def _fill_dense(self, nxt: list[dict[str, int]]) -> None:
         w = self.width
         table = np.empty((len(nxt), w), np.int32)
-        table[:] = -1  # no transition: a phrase ends, and at the root a character of its own follows
-        root = np.zeros(w, np.int32)
-        for c, s in nxt[0].items():
-            root[self.symbol[c]] = s * w
-        table[:] = ~root[None, :]
+        table[:] = ~(self.root * w)[None, :]  # no transition: a phrase ends, and at the root a character of its own follows
         for s, to in enumerate(nxt):
             for c, t in to.items():
                 table[s, self.symbol[c]] = t * w
         table[:, w - 1] = np.arange(len(nxt), dtype=np.int32) * w  # padding stays where it is
         self.table = table.ravel()
-        lookup = np.full(0x10000, SYMBOLS, np.uint8)
-        for c, i in self.symbol.items():
-            if ord(c) < 0x10000:
-                lookup[ord(c)] = i
-        self.lookup = lookup
-        self.cost = np.log2(max(len(sample), 2))
+
+    def _fill_sparse(self, nxt: list[dict[str, int]]) -> None:
+        """Rows of all states laid over each other: a state's transition by x is at base + x, if that place is its own."""
+        room = 4 * sum(map(len, nxt))
+        taken, base, placed, dice = bytearray(room + self.width), np.zeros(len(nxt), np.int64), [], random.Random(0)
+        for s in sorted(range(len(nxt)), key=lambda s: -len(nxt[s])):
+            row = [(self.symbol[c], t) for c, t in nxt[s].items()]
+            for _ in range(64):
+                at = dice.randrange(room)
+                if not any(taken[at + x] for x, _ in row):
+                    break
+            else:  # a row of its own
+                at = len(taken)
+                taken.extend(bytes(self.width))
+            base[s] = at
+            for x, t in row:
+                taken[at + x] = 1
+                placed.append((at + x, s, t))
+        where, owner, to = np.array(placed).T
+        self.base, self.owner, self.to = base, np.full(len(taken), -1, np.int32), np.zeros(len(taken), np.int32)
+        self.owner[where], self.to[where] = owner, to
 
     def phrases(self, points: np.ndarray) -> np.ndarray:
         """points: (STRETCH, n) code points, 0 as padding. Phrases of each column."""
-        symbols = self.lookup[np.minimum(points, 0xFFFF)]
+        symbols = self.lookup[np.minimum(points, len(self.lookup) - 1)]
         symbols[points == 0] = self.width - 1
         state, count = np.zeros(points.shape[1], np.int32), np.ones(points.shape[1], np.int32)
         for row in symbols:
-            to = self.table.take(state + row)
-            ended = to >> 31
-            count -= ended
-            state = to ^ ended
+            if self.dense:
+                to = self.table.take(state + row)
+                ended = to >> 31
+                count -= ended
+                state = to ^ ended
+            else:  # padding comes last, so its state does not matter
+                at = self.base.take(state) + row
+                on = self.owner.take(at) == state
+                count += ~on & (row != self.width - 1)
+                state = np.where(on, self.to.take(at), self.root.take(row))
         return count
 
 

@@ -188,3 +188,24 @@ def test_ppm_scores_by_the_whole_trie_past_its_bound(spark, monkeypatch, bound):
     plain = {i: ppm.canonical(t.encode()) for i, t in texts.items()}
     for i, want in zip(plain, plain_ppm([plain[j] for j in plain if j % 4 != 1], plain.values()), strict=True):
         assert abs(got[i] - want) < 1e-8
+
+
+@pytest.mark.parametrize("wide", [40, 70, 900])
+def test_phrases_over_the_whole_alphabet(wide):
+    r = random.Random(wide)
+    signs = [chr(0x4E00 + i) for i in range(wide - 10)] + [chr(0x1E922 + i) for i in range(10)]
+    sample = "".join(signs + r.choices(signs, weights=[1 / (i + 1) for i in range(wide)], k=3000))
+    texts = ["".join(sample[(k := r.randrange(2900)) : k + r.randrange(1, 9)] for _ in range(20)) for _ in range(30)]
+
+    def plain(t):
+        at = count = 0
+        while at < len(t):
+            to = at + 1
+            while to < len(t) and t[at : to + 1] in sample:
+                to += 1
+            at, count = to, count + 1
+        return count
+
+    points, owner = langid.stretches(texts)
+    assert len(owner) == len(texts)
+    assert langid.Parser(sample).phrases(points).tolist() == [plain(t) for t in texts]
