@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import importable_on_workers, lean, output_schema
+from .common import importable_on_workers, lean, materialize, output_schema, small_side
 
 #: Characters of labelled text of each language, and documents that they are taken from.
 SAMPLE_CHARS, SAMPLE_DOCS = 16_384, 64
@@ -194,15 +194,15 @@ def predict(texts: list[str | None], samples: dict[str, str]) -> tuple[list[str]
 
 
 def samples(docs: DataFrame, learn: Column, chars: int = SAMPLE_CHARS, n_docs: int = SAMPLE_DOCS) -> dict[str, str]:
-    """A bounded sample of text for each label among the rows that `learn` admits: `n_docs` documents by order of a
-    hash, cut to equal parts. The bound is (labels x chars), at most SAMPLE_TOTAL in all."""
-    known = docs.filter(learn).filter("lang is not null and text is not null").select("lang", "text", F.xxhash64("text").alias("h"))
-    counts = known.groupBy("lang").agg(F.count("*").alias("n"))
-    # rows whose hash is in the lowest part that is likely to hold enough of them; all rows of a rare label
-    part = F.least(F.lit(1.0), F.lit(4.0 * n_docs) / F.col("n"))
-    near = known.join(F.broadcast(counts), "lang").filter((F.col("h") / F.lit(float(2**64)) + 0.5) <= part)
+    """A bounded sample of text for each label among the rows that `learn` admits: `n_docs` distinct texts that have a
+    letter, by order of a hash, cut to equal parts from their first letter on. A label with such a text is never lost. The bound is (labels x chars), at most SAMPLE_TOTAL in all."""
+    known = docs.filter(learn).filter(F.col("lang").isNotNull() & F.col("text").rlike(r"\p{L}")).select("lang", "text", F.xxhash64("text").alias("h"))
+    # copies count once; each task passes on its least hashes only, before the rows of a label meet
+    first = known.select("lang", "h").distinct().withColumn("k", F.row_number().over(Window.partitionBy("lang").orderBy("h"))).filter(F.col("k") <= n_docs)
+    near = known.join(small_side(materialize(first.select("lang", "h"), "least")), ["lang", "h"])
     each = max(1, chars // min(n_docs, 16))
-    near = near.select("lang", "h", F.substring("text", 1, 4 * each).alias("text")).distinct()
+    start = F.regexp_replace("text", r"^[^\p{L}]+", "")
+    near = near.select("lang", "h", F.substring(start, 1, 4 * each).alias("text")).distinct()
     ranked = near.withColumn("k", F.row_number().over(Window.partitionBy("lang").orderBy("h", "text"))).filter(F.col("k") <= n_docs)
     out: dict[str, list[str]] = {}
     for lang, text in ranked.orderBy("lang", "k").select("lang", "text").toLocalIterator():

@@ -190,6 +190,12 @@ def test_ppm_scores_by_the_whole_trie_past_its_bound(spark, monkeypatch, bound):
         assert abs(got[i] - want) < 1e-8
 
 
+def test_samples_lose_no_language_of_many_copies(spark):
+    df = spark.range(10_000).select(F.col("id").alias("doc_id"), F.concat(F.lit("l"), F.col("id") % 10).alias("lang"), F.concat(F.lit("- 1 "), F.col("id") % 10, F.lit(" word "), F.translate((F.col("id") % 10).cast("string"), "0123456789", "abcdefghij")).alias("text"))
+    df = df.union(spark.createDataFrame([(20_000, "m", " 12 " * 3000 + "late")], "doc_id long, lang string, text string"))
+    assert langid.samples(df, F.lit(True)) == {f"l{i}": f"word {'abcdefghij'[i]} " for i in range(10)} | {"m": "late "}
+
+
 @pytest.mark.parametrize("wide", [40, 70, 900])
 def test_phrases_over_the_whole_alphabet(wide):
     r = random.Random(wide)
