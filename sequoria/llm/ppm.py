@@ -29,8 +29,9 @@ ORDER = 4
 MODEL_GRAMS, FREQUENT_WORDS = 2**19, 300_000
 #: The end of a text and what stands before its start; no word holds a line feed.
 END = b"\n"
-#: Bytes that are handled at a time, and distinct grams that a task gathers before it passes them on.
-BLOCK_BYTES, GATHERED = 8_000_000, 3_000_000
+#: Bytes that are handled at a time (a longer text is handled in slices, with the bytes before each as its context), and
+#: distinct grams that a task gathers before it passes them on.
+BLOCK_BYTES, GATHERED = 1_000_000, 1_000_000
 
 
 def canonical(text: bytes | None) -> bytes:
@@ -38,38 +39,48 @@ def canonical(text: bytes | None) -> bytes:
     return b" ".join(text.lower().split()) if text else b""
 
 
-def grams(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-    """Codes of ORDER context bytes and the byte that follows, for each byte and the end of each text; and its owner."""
-    raw = np.frombuffer(b"".join(END * ORDER + t + END for t in texts), np.uint8)
-    size = np.array([len(t) + 1 for t in texts])
-    owner = np.repeat(np.arange(len(texts)), size)
+def grams(pieces: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+    """Codes of ORDER context bytes and the byte that follows, for each byte of the pieces after their first ORDER
+    ones, which are only context; and the piece that each belongs to."""
+    raw = np.frombuffer(b"".join(pieces), np.uint8)
+    size = np.array([len(t) - ORDER for t in pieces])
+    owner = np.repeat(np.arange(len(pieces), dtype=np.int32), size)
     at = np.arange(len(owner)) + ORDER * (owner + 1)
-    code = np.zeros(len(raw), np.int64)
+    code = np.zeros(len(at), np.int64)
     for k in range(ORDER + 1):
-        code[k:] |= np.left_shift(raw[: len(raw) - k], 8 * k, dtype=np.int64)
-    return code[at], owner
+        code |= np.left_shift(raw[at - k], 8 * k, dtype=np.int64)
+    return code, owner
 
 
-def _blocks(column: pa.Array) -> Iterator[list[bytes]]:
-    held, total = [], 0
-    for x in column.cast(pa.binary()):
-        held.append(canonical(x.as_py()))
-        total += len(held[-1])
-        if total >= BLOCK_BYTES:
-            yield held
-            held, total = [], 0
-    if held:
-        yield held
+def sliced(texts: list[bytes]) -> Iterator[tuple[list[int], list[bytes]]]:
+    """Pieces of at most BLOCK_BYTES in all and the text that each is of: context, then text or a part of it; the last
+    one of a text has its end."""
+    owners, pieces, total = [], [], 0
+    for k, text in enumerate(texts):
+        whole = END * ORDER + text + END
+        for at in range(0, len(text) + 1, BLOCK_BYTES):
+            piece = whole[at : at + ORDER + BLOCK_BYTES]
+            if pieces and total + len(piece) > BLOCK_BYTES + ORDER:
+                yield owners, pieces
+                owners, pieces, total = [], [], 0
+            owners.append(k), pieces.append(piece)
+            total += len(piece)
+    if pieces:
+        yield owners, pieces
+
+
+def _canonical(column: pa.Array) -> list[bytes]:
+    return [canonical(x.as_py()) for x in column.cast(pa.binary())]
 
 
 def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Of (text, held_out): each code, how often it stands in training rows, and in all rows."""
     codes, counts = np.empty(0, np.int64), np.empty((2, 0), np.int64)
-    for batch in batches:
+    for batch in (whole.slice(i, 256) for whole in batches for i in range(0, whole.num_rows, 256)):
         held_out = batch.column(1)
         for learned, part in ((1, batch.column(0).filter(pc.invert(held_out))), (0, batch.column(0).filter(held_out))):
-            for block in _blocks(part):
-                c, n = np.unique(grams(block)[0], return_counts=True)
+            for _, pieces in sliced(_canonical(part)):
+                c, n = np.unique(grams(pieces)[0], return_counts=True)
                 codes, inverse = np.unique(np.concatenate([codes, c]), return_inverse=True)
                 counts = np.stack([np.bincount(inverse, np.concatenate([old, n * by])) for old, by in zip(counts, (learned, 1), strict=True)]).astype(np.int64)
                 if len(codes) > GATHERED:
@@ -187,15 +198,22 @@ def worker_model(value: tuple) -> tuple[Index, np.ndarray, dict[bytes, float], f
     return _MODELS[mark]
 
 
-def gram_scores(block: list[bytes], index: Index, costs: np.ndarray) -> tuple[np.ndarray, list[np.ndarray], list[np.ndarray]]:
+def gram_scores(texts: list[bytes], index: Index, costs: np.ndarray) -> tuple[np.ndarray, list[np.ndarray], list[np.ndarray]]:
     """Of each text: the sum of the costs that are held, and the grams that are not, with how often each occurs."""
-    codes, owner = grams(block)
-    at = index.find(codes)
-    sums = np.bincount(owner, np.where(at >= 0, costs[at], 0.0), len(block)) if len(costs) else np.zeros(len(block))
-    miss = np.flatnonzero(at < 0)
-    ends = np.searchsorted(owner[miss], np.arange(len(block) + 1))
-    pairs = [np.unique(codes[miss[a:b]], return_counts=True) for a, b in zip(ends[:-1], ends[1:], strict=True)]
-    return sums, [c for c, _ in pairs], [n for _, n in pairs]
+    sums, codes, times = np.zeros(len(texts)), [[] for _ in texts], [[] for _ in texts]
+    for owners, pieces in sliced(texts):
+        code, owner = grams(pieces)
+        at = index.find(code)
+        if len(costs):
+            np.add.at(sums, owners, np.bincount(owner, np.where(at >= 0, costs[at], 0.0), len(pieces)))
+        miss = np.flatnonzero(at < 0)
+        ends = np.searchsorted(owner[miss], np.arange(len(pieces) + 1))
+        for k, a, b in zip(owners, ends[:-1], ends[1:], strict=True):
+            if b > a:
+                c, n = np.unique(code[miss[a:b]], return_counts=True)
+                codes[k].append(c), times[k].append(n)
+    none = np.empty(0, np.int64)
+    return sums, [np.concatenate(c) if c else none for c in codes], [np.concatenate(n) if n else none for n in times]
 
 
 SCORED = "uid long, doc_id long, held_out boolean, n_tokens long, known long, logs double, score double, rare array<string>, times array<int>, grams array<long>, gram_times array<long>"
@@ -229,24 +247,21 @@ def score(docs: DataFrame, learn: Column) -> DataFrame:
         index, gram_cost, logs, end_log = worker_model(model.value)
         uid = (TaskContext.get().partitionId() if TaskContext.get() else 0) << 40
         for batch in batches:
-            for start in range(0, batch.num_rows, 1024):
-                part = batch.slice(start, 1024)
-                scores, open_grams, open_times, cols = [], [], [], [[] for _ in range(5)]
-                for block in _blocks(part.column(1)):
-                    sums, missed, missed_times = gram_scores(block, index, gram_cost)
-                    scores += sums.tolist()
-                    open_grams += missed
-                    open_times += missed_times
-                    for text in block:
-                        each = text.split(b" ") if text else []
-                        got = [logs.get(w) for w in each]
-                        missing = Counter(w for w, x in zip(each, got, strict=True) if x is None) if None in got else {}
-                        known = len(each) - sum(missing.values())
-                        for col, x in zip(cols, (len(each) + 1, known + (end_log > 0), sum(x for x in got if x is not None) + end_log, list(missing), list(missing.values())), strict=True):
-                            col.append(x)
+            for start in range(0, batch.num_rows, 256):
+                part = batch.slice(start, 256)
+                cols = [[] for _ in range(5)]
+                texts = _canonical(part.column(1))
+                sums, open_grams, open_times = gram_scores(texts, index, gram_cost)
+                for text in texts:
+                    each = text.split(b" ") if text else []
+                    got = [logs.get(w) for w in each]
+                    missing = Counter(w for w, x in zip(each, got, strict=True) if x is None) if None in got else {}
+                    known = len(each) - sum(missing.values())
+                    for col, x in zip(cols, (len(each) + 1, known + (end_log > 0), sum(x for x in got if x is not None) + end_log, list(missing), list(missing.values())), strict=True):
+                        col.append(x)
                 n = part.num_rows
                 rare = pa.array(cols[3], pa.list_(pa.binary())).cast(pa.list_(pa.string()))
-                yield pa.RecordBatch.from_arrays([pa.array(range(uid, uid + n), pa.int64()), part.column(0), part.column(2), pa.array(cols[0], pa.int64()), pa.array(cols[1], pa.int64()), pa.array(cols[2], pa.float64()), pa.array(scores, pa.float64()), rare, pa.array(cols[4], pa.list_(pa.int32())), pa.array(open_grams, pa.list_(pa.int64())), pa.array(open_times, pa.list_(pa.int64()))], names=["uid", "doc_id", "held_out", "n_tokens", "known", "logs", "score", "rare", "times", "grams", "gram_times"])
+                yield pa.RecordBatch.from_arrays([pa.array(range(uid, uid + n), pa.int64()), part.column(0), part.column(2), pa.array(cols[0], pa.int64()), pa.array(cols[1], pa.int64()), pa.array(cols[2], pa.float64()), pa.array(sums), rare, pa.array(cols[4], pa.list_(pa.int32())), pa.array(open_grams, pa.list_(pa.int64())), pa.array(open_times, pa.list_(pa.int64()))], names=["uid", "doc_id", "held_out", "n_tokens", "known", "logs", "score", "rare", "times", "grams", "gram_times"])
                 uid += n
 
     scored = materialize(docs.select("doc_id", "text", "held_out").mapInArrow(lean(run), SCORED), "scores")
