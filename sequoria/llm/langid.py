@@ -8,7 +8,6 @@ costs there, wins. The automata are transition tables, walked for many stretches
 from __future__ import annotations
 
 import random
-import re
 import threading
 import unicodedata
 from collections import Counter
@@ -16,6 +15,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import regex
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -25,12 +25,13 @@ from .common import importable_on_workers, lean, materialize, output_schema, sma
 SAMPLE_CHARS, SAMPLE_DOCS = 16_384, 64
 #: All samples together; with very many languages each gets a smaller one.
 SAMPLE_TOTAL = 8_000_000
-#: Characters that are walked one after the other; a phrase that crosses the border between two stretches is cut.
+#: Characters that are walked one after the other. Stretches of a text are walked at once, then joined: a phrase goes on
+#: over their border.
 STRETCH = 512
 #: A sample of up to so many characters gets a dense table; one of more a sparse one, with the same results.
 SYMBOLS = 62
 UNDETERMINED = "und"
-_NOT_LETTERS = re.compile(r"[\W\d_]+")
+_NOT_LETTERS = regex.compile(r"[^\p{L}\p{M}]+")
 
 
 def letters(text: str | None) -> str:
@@ -75,7 +76,9 @@ class Parser:
         self.symbol = {c: i for i, c in enumerate(kept)}
         self.width = len(kept) + 2  # the last two: any other character, padding
         nxt, _ = automaton(sample)
-        self.root = np.zeros(self.width, np.int32)
+        nxt.append({})  # a state without a way on: every text starts there, and a character that the sample lacks leads there
+        self.none = len(nxt) - 1
+        self.root = np.full(self.width, self.none, np.int32)
         for c, s in nxt[0].items():
             self.root[self.symbol[c]] = s
         self.dense = len(kept) <= SYMBOLS
@@ -89,12 +92,12 @@ class Parser:
     def _fill_dense(self, nxt: list[dict[str, int]]) -> None:
         w = self.width
         table = np.empty((len(nxt), w), np.int32)
-        table[:] = ~(self.root * w)[None, :]  # no transition: a phrase ends, and at the root a character of its own follows
+        table[:] = ~(self.root * w)[None, :]  # no transition: a phrase begins
         for s, to in enumerate(nxt):
             for c, t in to.items():
                 table[s, self.symbol[c]] = t * w
         table[:, w - 1] = np.arange(len(nxt), dtype=np.int32) * w  # padding stays where it is
-        self.table = table.ravel()
+        self.table, self.none = table.ravel(), self.none * w
 
     def _fill_sparse(self, nxt: list[dict[str, int]]) -> None:
         """Rows of all states laid over each other: a state's transition by x is at base + x, if that place is its own."""
@@ -117,23 +120,50 @@ class Parser:
         self.base, self.owner, self.to = base, np.full(len(taken), -1, np.int32), np.zeros(len(taken), np.int32)
         self.owner[where], self.to[where] = owner, to
 
-    def phrases(self, points: np.ndarray) -> np.ndarray:
-        """points: (STRETCH, n) code points, 0 as padding. Phrases of each column."""
+    def _step(self, state: np.ndarray, row: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """States after one more symbol each, and -1 where that began a phrase, else 0."""
+        if self.dense:
+            to = self.table.take(state + row)
+            ended = to >> 31
+            return to ^ ended, ended
+        at = self.base.take(state) + row  # padding comes last, so its state does not matter
+        on = self.owner.take(at) == state
+        return np.where(on, self.to.take(at), self.root.take(row)), -(~on & (row != self.width - 1)).astype(np.int32)
+
+    def phrases(self, points: np.ndarray, follows: np.ndarray, before: int = 0) -> tuple[np.ndarray, int]:
+        """points: (STRETCH, n) code points, 0 as padding; follows: which columns go on with the text of the column
+        before; before: the state that the first column goes on from. Phrases that begin in each column, and the last
+        column's state at its end.
+
+        All columns are walked afresh first. Those that go on with a text are then walked again from where the column
+        before them ended, beside the first walk, up to the symbol at which both are in one state.
+        """
         symbols = self.lookup[np.minimum(points, len(self.lookup) - 1)]
         symbols[points == 0] = self.width - 1
-        state, count = np.zeros(points.shape[1], np.int32), np.ones(points.shape[1], np.int32)
+        n = points.shape[1]
+        end, count = np.full(n, self.none, np.int32), np.zeros(n, np.int32)
         for row in symbols:
-            if self.dense:
-                to = self.table.take(state + row)
-                ended = to >> 31
-                count -= ended
-                state = to ^ ended
-            else:  # padding comes last, so its state does not matter
-                at = self.base.take(state) + row
-                on = self.owner.take(at) == state
-                count += ~on & (row != self.width - 1)
-                state = np.where(on, self.to.take(at), self.root.take(row))
-        return count
+            end, began = self._step(end, row)
+            count -= began
+        todo, fresh, fresh_end = np.flatnonzero(follows), count.copy(), end.copy()
+        while len(todo):
+            at, a, b = todo, np.where(todo > 0, end[todo - 1], before).astype(np.int32), np.full(len(todo), self.none, np.int32)
+            old = end[todo].copy()
+            count[todo], end[todo] = fresh[todo], fresh_end[todo]
+            for row in symbols:
+                apart = a != b
+                if not apart.all():
+                    at, a, b = at[apart], a[apart], b[apart]
+                if not len(at):
+                    break
+                a, x = self._step(a, row[at])
+                b, y = self._step(b, row[at])
+                count[at] += y - x
+            end[at] = a  # no common state in the whole stretch, or at its very end
+            moved = todo[end[todo] != old] + 1
+            moved = moved[moved < n]
+            todo = moved[follows[moved]]
+        return count, int(end[-1]) if n else before
 
 
 _PARSERS: dict[int, tuple[list[str], list[Parser]]] = {}
@@ -177,10 +207,12 @@ def predict(texts: list[str | None], samples: dict[str, str]) -> tuple[list[str]
         at = to
         points, owner = stretches(part)
         bits = np.zeros((len(tools), len(part)))
+        follows, ends = np.diff(owner, prepend=-1) == 0, [0] * len(tools)
         for i in range(0, len(owner), 8192):
             p, o = np.ascontiguousarray(points[:, i : i + 8192]), owner[i : i + 8192]
             for k, tool in enumerate(tools):
-                bits[k] += np.bincount(o, tool.phrases(p), len(part)) * tool.cost
+                count, ends[k] = tool.phrases(p, follows[i : i + 8192], ends[k])
+                bits[k] += np.bincount(o, count, len(part)) * tool.cost
         size = np.array([max(len(x), 1) for x in part])
         each = bits / size  # bits a character
         best = each.argmin(axis=0) if tools else np.zeros(len(part), int)

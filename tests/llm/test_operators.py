@@ -197,11 +197,12 @@ def test_samples_lose_no_language_of_many_copies(spark):
 
 
 @pytest.mark.parametrize("wide", [40, 70, 900])
-def test_phrases_over_the_whole_alphabet(wide):
+def test_phrases_over_the_whole_alphabet(monkeypatch, wide):
     r = random.Random(wide)
     signs = [chr(0x4E00 + i) for i in range(wide - 10)] + [chr(0x1E922 + i) for i in range(10)]
     sample = "".join(signs + r.choices(signs, weights=[1 / (i + 1) for i in range(wide)], k=3000))
     texts = ["".join(sample[(k := r.randrange(2900)) : k + r.randrange(1, 9)] for _ in range(20)) for _ in range(30)]
+    texts += ["?" + t[:9] + "??" + t[9:] + "?" for t in texts[:9]] + ["?"]
 
     def plain(t):
         at = count = 0
@@ -212,6 +213,20 @@ def test_phrases_over_the_whole_alphabet(wide):
             at, count = to, count + 1
         return count
 
-    points, owner = langid.stretches(texts)
-    assert len(owner) == len(texts)
-    assert langid.Parser(sample).phrases(points).tolist() == [plain(t) for t in texts]
+    parser = langid.Parser(sample)
+    for part in (512, 7, 3):  # phrases go on over the borders of stretches
+        monkeypatch.setattr(langid, "STRETCH", part)
+        points, owner = langid.stretches(texts)
+        follows, end, got = np.diff(owner, prepend=-1) == 0, 0, np.zeros(len(texts))
+        for i in range(0, len(owner), 50):
+            count, end = parser.phrases(np.ascontiguousarray(points[:, i : i + 50]), follows[i : i + 50], end)
+            got += np.bincount(owner[i : i + 50], count, len(texts))
+        assert got.tolist() == [plain(t) for t in texts]
+
+
+def test_language_keeps_marks_of_every_script(spark):
+    hindi, thai, chinese, english = "हिन्दी में यह एक वाक्य है ", "ภาษาไทยเป็นภาษาที่มีวรรณยุกต์ ", "我们今天去学校读书写字然后回家吃饭 ", "this is a plain sentence of words "
+    assert langid.letters("हिन्दी, में!") == "हिन्दी में"
+    model = {"en": english * 20, "hi": hindi * 20, "th": thai * 20, "zh": chinese * 20}
+    df = spark.createDataFrame([(1, "यह हिन्दी है"), (2, "ภาษาไทย"), (3, "今天去学校"), (4, "plain words"), (5, chinese * 2000)], "doc_id long, text string")
+    assert [r.lang_pred for r in langid.identify(df, model).orderBy("doc_id").collect()] == ["hi", "th", "zh", "en", "zh"]
