@@ -35,22 +35,41 @@ def importable_on_workers(spark: SparkSession) -> None:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The cluster's shared folder (spark.checkpoint.dir); a local one is made only where that is unset."""
+    """The cluster's shared folder (spark.checkpoint.dir). Only a local session may do without: it gets a folder of its
+    own; elsewhere a folder of one machine would lose what others need, so that is an error."""
     if at := spark.conf.get("spark.checkpoint.dir", None):
         return at.rstrip("/")
     context = spark.sparkContext
     held = context._jsc.sc().getCheckpointDir()
     if held.isEmpty():
+        if not context.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that all machines share")
         context.setCheckpointDir("file://" + tempfile.mkdtemp(prefix="sequoria-"))
         held = context._jsc.sc().getCheckpointDir()
     return held.get().rstrip("/")
 
 
+#: What this driver has materialised and not discarded.
+_WRITTEN: list[str] = []
+
+
+def discard(spark: SparkSession, keep: DataFrame) -> None:
+    """Deletes what was materialised so far but for the files that `keep` reads. Other tables over them can't be read
+    any more."""
+    held = {x.rsplit("/", 1)[0].split("/sequoria/")[-1] for x in keep.inputFiles()}
+    hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs.Path
+    for path in [p for p in _WRITTEN if p.split("/sequoria/")[-1] not in held]:
+        at = hadoop(path)
+        at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
+        _WRITTEN.remove(path)
+
+
 def materialize(df: DataFrame, name: str) -> DataFrame:
     """Cuts the lineage: writes Parquet to the shared folder and reads it again, so lost executors lose nothing."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/sequoria/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
+    _WRITTEN.append(path)
     return spark.read.schema(df.schema).parquet(path)
 
 

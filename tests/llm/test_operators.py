@@ -123,10 +123,33 @@ def test_ppm(spark, docs):
 
 
 def test_licenses(spark):
-    df = spark.createDataFrame([(1, "RELEASED under the MIT licence!"), (2, "x\nReleased under the MIT License.\nCopyright 2020 A"), (3, None), (4, "")], "doc_id long, text string")
+    wrapped = "Some words.\n\n# Licensed under the\n# Apache Licence, Version 2.0.\n\nmore words"
+    rows = [(1, "RELEASED under the MIT licence!"), (2, "x\nReleased under the MIT License.\nCopyright 2020 A"), (3, None), (4, ""), (5, wrapped), (5, wrapped), (6, "word " * 300_000 + "\nLicensed under CC BY 4.0.")]
+    df = spark.createDataFrame([(*r, "x") for r in rows], "doc_id long, text string, license string")
     got = {r.doc_id: r for r in licenses.scan(df, licenses.known_licenses(spark)).collect()}
     assert (got[1].text_license, got[2].text_license, got[2].line_licenses, got[2].n_license_lines) == ("MIT", None, "MIT", 1)
-    assert (got[3].text_license, got[4].line_licenses) == (None, "")
+    assert (got[3].text_license, got[4].line_licenses, got[5].paragraph_licenses, got[6].line_licenses) == (None, "", "Apache-2.0", "CC-BY-4.0")
+    assert licenses.scan(df, licenses.known_licenses(spark)).count() == 7 and licenses.scan(df.limit(0), licenses.known_licenses(spark)).count() == 0
+
+
+def test_licenses_as_they_are_published(spark):
+    """The package that is under test brings whole licences of others along."""
+    from pathlib import Path
+
+    import pyspark
+
+    folder = Path(pyspark.__file__).parent / "licenses"
+    want = {"AnchorJS": "MIT", "bootstrap": "MIT", "d3.min.js": "ISC", "xz": "0BSD", "CC0": "CC0-1.0", "json-formatter": "Apache-2.0", "graphlib-dot": "MIT", "cloudpickle": None}
+    texts = [(k, (folder / f"LICENSE-{name}.txt").read_text()) for k, name in enumerate(want)]
+    titled = [(100 + k, f"{titles[0] if titles else ''}\n\nCopyright (c) 2024 Jane Doe\nAll rights reserved.\n\n{body}") for k, (_, titles, body) in enumerate(licenses.WHOLE)]
+    got = {r.doc_id: r.text_license for r in licenses.scan(spark.createDataFrame(texts + titled, "doc_id long, text string"), licenses.known_licenses(spark)).collect()}
+    assert [got[k] for k in range(len(want))] == list(want.values())
+    assert [got[100 + k] for k in range(len(licenses.WHOLE))] == [name for name, *_ in licenses.WHOLE]
+
+
+def test_spellings_next_to_each_other(spark):
+    df = spark.createDataFrame([("Licence, licence LICENCE",), ("GPLv3 v2.0",), ("non-commercial\nnon commercial",), ("1. one\n * two\n(c) me\nCopyright holders say",)], "t string")
+    assert [r[0] for r in df.select(licenses.canonical(F.col("t"))).collect()] == ["license license license", "gpl version 3 version 2 0", "noncommercial noncommercial", "one two copyright owners say"]
 
 
 def test_mix(spark, docs):
@@ -165,6 +188,17 @@ def test_vectors(spark):
     assert all(got[i].n_links == 0 and got[i].kept for i in (100, 101, 102))
 
 
+def test_pipeline_keeps_every_text(spark):
+    import corpus_pipeline
+
+    rows = [(1, "alpha beta c"), (1, "d e f g"), (1, "d e f g"), (2, "alpha beta c"), (None, "x y"), (None, "z"), (3, None), (-5, ""), (4, "x y")]
+    frame = spark.createDataFrame([(i, t, "en", "s", 9, 0) for i, t in rows], "doc_id long, text string, lang string, source string, n_chars long, key int")
+    got = corpus_pipeline.once(spark, frame, "")
+    assert got.columns == list(corpus_pipeline.COLUMNS)
+    assert sorted(r.text or "" for r in got.collect()) == ["", "", "alpha beta c", "d e f g", "x y", "z"]
+    assert corpus_pipeline.once(spark, frame.limit(0), "").count() == 0
+
+
 def test_pipeline_drops_near_copies_from_080_on(spark):
     import corpus_pipeline
 
