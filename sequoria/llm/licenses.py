@@ -50,11 +50,18 @@ PUNCTUATION = "[^a-z0-9\u0080-\U0010ffff]+"
 def canonical(text: Column) -> Column:
     """Normal form of a text; '' for null, and for a text of punctuation or copyright lines only."""
     out = F.regexp_replace(ascii_lower(F.coalesce(text, F.lit(""))), F.lit(NOISE), F.lit(" "))
-    # each word has spaces of its own on both sides, so that spellings next to each other are all replaced
-    out = F.concat(F.lit(" "), F.regexp_replace(out, F.lit(PUNCTUATION), F.lit("  ")), F.lit(" "))
-    for a, b in SPELLINGS:  # plain replacement: no regular expression, and only where the spelling occurs
-        out = F.replace(out, F.lit(f" {a.replace(' ', '  ')} "), F.lit(f" {b.replace(' ', '  ')} "))
-    return F.btrim(F.regexp_replace(out, F.lit(" +"), F.lit(" ")))
+    out = F.concat(F.lit(" "), F.regexp_replace(out, F.lit(PUNCTUATION), F.lit(" ")), F.lit(" "))
+
+    def spelled(bare: Column) -> Column:
+        # each word gets spaces of its own on both sides, so that spellings next to each other are all replaced
+        replaced, met = F.replace(bare, F.lit(" "), F.lit("  ")), F.lit(False)
+        for a, b in SPELLINGS:
+            replaced = F.replace(replaced, F.lit(f" {a.replace(' ', '  ')} "), F.lit(f" {b.replace(' ', '  ')} "))
+        for first in sorted({a.split(" ")[0] for a, _ in SPELLINGS}):  # most texts have nothing to replace
+            met = met | F.contains(bare, F.lit(f" {first} "))
+        return F.btrim(F.when(met, F.regexp_replace(replaced, F.lit(" +"), F.lit(" "))).otherwise(bare))
+
+    return F.get(F.transform(F.array(out), spelled), F.lit(0))  # a variable: out is made once
 
 
 def known_licenses(spark: SparkSession, texts: tuple[tuple[str, str], ...] = KNOWN, digests: tuple[tuple[str, str], ...] = DIGESTS) -> DataFrame:
@@ -81,7 +88,7 @@ def scan(docs: DataFrame, known: DataFrame) -> DataFrame:
     docs = docs.select(F.monotonically_increasing_id().alias("row"), F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
     known = known.filter(F.col("digest") != F.sha2(F.lit(""), 256))
     whole, lines = F.array(F.struct(F.lit(0).alias("kind"), F.col("text").alias("unit"))), F.split("text", "\n")
-    parts = F.when(F.contains("text", F.lit("\n")), F.filter(F.split("text", "\n[ \t\r]*\n"), lambda p: F.contains(p, F.lit("\n")))).otherwise(F.array().cast("array<string>"))
+    parts = F.when(F.rlike("text", F.lit("\n[ \t\r]*\n")), F.filter(F.split("text", "\n[ \t\r]*\n"), lambda p: F.contains(p, F.lit("\n")))).otherwise(F.array().cast("array<string>"))
 
     def tagged(kind: int, units: Column) -> Column:
         return F.transform(units, lambda u: F.struct(F.lit(kind).alias("kind"), u.alias("unit")))
