@@ -11,17 +11,17 @@ NUMBER = r"\d+(?:\.\d+)?"
 
 def normalized_unit(raw: Column) -> Column:
     """ug/ml or um; null for any other unit."""
-    unit = F.replace(F.translate(F.lower(F.trim(raw)), "μµ", "uu"), F.lit(" "), F.lit(""))
+    unit = F.translate(F.lower(F.btrim(raw, F.lit(" \t\r\n"))), "μµ ", "uu")
     return F.when(unit.isin("ug/ml", "mcg/ml", "mg/l"), "ug/ml").when(unit.isin("um", "umol/l", "umolar"), "um")
 
 
-def _beside(x: Column, method: str) -> Column:
-    return F.call_function("java_method", F.lit("java.lang.Math"), F.lit(method), x).cast("double")
+#: The greatest double under 1: a positive double times it is the double before, divided by it the one after.
+_UNDER_ONE = 1 - 2.0**-53
 
 
 def bounds(raw: Column) -> Column:
-    """struct(low, high, censor) of a measurement text; censor is null where it cannot be read. Strict bounds move by
-    one unit in the last place, which is computed for those rows only."""
+    """struct(low, high, censor) of a measurement text, null where it cannot be read. Strict bounds move by one unit in
+    the last place."""
     text = F.regexp_replace(F.trim(raw), "[–—]", "-")
     sign = F.regexp_extract(text, rf"^(<=|>=|<|>)?\s*{NUMBER}\z", 1)
     single = text.rlike(rf"^(<=|>=|<|>)?\s*{NUMBER}\z")
@@ -33,15 +33,22 @@ def bounds(raw: Column) -> Column:
         return F.struct(low.alias("low"), high.alias("high"), F.lit(censor).alias("censor"))
 
     return (
-        F.when(single & (value > 0) & (sign == "<"), made(none, _beside(value, "nextDown"), "lt"))
+        F.when(single & (value > 0) & (sign == "<"), made(none, value * _UNDER_ONE, "lt"))
         .when(single & (value > 0) & (sign == "<="), made(none, value, "le"))
-        .when(single & (value > 0) & (sign == ">"), made(_beside(value, "nextUp"), none, "gt"))
+        .when(single & (value > 0) & (sign == ">"), made(value / _UNDER_ONE, none, "gt"))
         .when(single & (value > 0) & (sign == ">="), made(value, none, "ge"))
         .when(single & (value > 0), made(value, value, "exact"))
         .when((a > 0) & (b > 0), made(F.least(a, b), F.greatest(a, b), "range"))
     )
 
 
+def unread(raw: Column) -> Column:
+    """Why a measurement text has no bounds."""
+    text = F.regexp_replace(F.trim(raw), "[–—]", "-")
+    single, span = text.rlike(rf"^(<=|>=|<|>)?\s*{NUMBER}\z"), text.rlike(rf"^{NUMBER}\s*-\s*{NUMBER}\z")
+    return F.when(single, "MIC must be positive").when(span, "MIC range bounds must be positive").otherwise(F.concat(F.lit("unparseable MIC value: "), F.coalesce(raw, F.lit(""))))
+
+
 def parsed(raw: Column, unit: Column, weight: Column, threshold: float = THRESHOLD) -> Column:
     """struct(mic, label, censor, reason): the value in ug/ml, 1 if surely at most the threshold, 0 if surely above,
     else null with a reason. uM is scaled by the molecular weight after the bounds are set."""
@@ -53,7 +60,7 @@ def parsed(raw: Column, unit: Column, weight: Column, threshold: float = THRESHO
     label = F.when(high <= threshold, 1).when(low > threshold, 0)
     reason = (
         F.when(kind.isNull(), F.concat(F.lit("unsupported MIC unit: "), F.coalesce(unit, F.lit(""))))
-        .when(got.isNull(), F.concat(F.lit("unparseable MIC value: "), F.coalesce(raw, F.lit(""))))
+        .when(got.isNull(), unread(raw))
         .when((kind == "um") & (F.coalesce(weight, F.lit(0.0)) <= 0), F.lit("molecular_weight_required_for_uM"))
         .when(label.isNull(), F.lit("mic_interval_crosses_threshold"))
     )

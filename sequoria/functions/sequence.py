@@ -46,8 +46,8 @@ def validity_reason(seq: Column) -> Column:
 
 def rotations(seq: Column) -> Column:
     """All rotations by index, repeats included; none of an empty sequence."""
-    turn = F.transform(F.sequence(F.lit(1), F.length(seq)), lambda i: F.concat(F.substring(seq, i, F.length(seq)), F.substring(seq, F.lit(1), i - 1)))
-    return F.when(F.length(seq) > 0, turn).otherwise(F.array().cast("array<string>"))
+    n, twice = F.length(seq), F.concat(seq, seq)
+    return F.when(n > 0, F.transform(F.sequence(F.lit(1), n), lambda i: F.substring(twice, i, n))).otherwise(F.array().cast("array<string>"))
 
 
 def distinct_rotations(seq: Column) -> Column:
@@ -55,8 +55,11 @@ def distinct_rotations(seq: Column) -> Column:
 
 
 def canonical(seq: Column) -> Column:
-    """The least rotation; null for an empty sequence."""
-    return F.array_min(rotations(seq))
+    """The least rotation; null for an empty sequence. Only rotations that begin with the least letter are made."""
+    n, twice = F.length(seq), F.concat(seq, seq)
+    least = F.array_min(F.split(seq, ""))
+    starts = F.filter(F.sequence(F.lit(1), n), lambda i: F.substring(seq, i, F.lit(1)) == least)
+    return F.when(n > 0, F.array_min(F.transform(starts, lambda i: F.substring(twice, i, n))))
 
 
 def even_rotations(seq: Column, count: int = 4) -> Column:
@@ -79,18 +82,22 @@ def jaccard(a: Column, b: Column) -> Column:
     return F.when(union == 0, F.lit(1.0)).otherwise(F.size(F.array_intersect(a, b)) / union)
 
 
-def _total(seq: Column, table: dict[str, float]) -> Column:
-    values = F.create_map(*[F.lit(x) for pair in table.items() for x in pair])
-    return F.aggregate(F.filter(F.split(seq, ""), lambda c: c != ""), F.lit(0.0), lambda s, c: s + F.coalesce(F.try_element_at(values, c), F.lit(0.0)))
+def count_of(seq: Column, letters: str) -> Column:
+    bare = F.replace(seq, F.lit(letters), F.lit("")) if len(letters) == 1 else F.translate(seq, letters, "")
+    return F.length(seq) - F.length(bare)
 
 
-def count_of(seq: Column, letters: str) -> Column:
-    return F.length(seq) - F.length(F.translate(seq, letters, ""))
+def total(seq: Column, table: dict[str, float]) -> Column:
+    """Sum over letters, as counts times values in the table's order, so that it does not depend on theirs."""
+    out = F.lit(0.0)
+    for a, value in table.items():
+        out = out + count_of(seq, a) * F.lit(value)
+    return out
 
 
 def molecular_weight(seq: Column, cyclic: Column) -> Column:
     """Free masses less a water for each bond: n bonds of a ring, n - 1 of a chain."""
-    return _total(seq, FREE_MASS) - (F.length(seq) - F.when(cyclic, 0).otherwise(1)) * F.lit(WATER)
+    return total(seq, FREE_MASS) - (F.length(seq) - F.when(cyclic, 0).otherwise(1)) * F.lit(WATER)
 
 
 def stable_id(prefix: str, text: Column, digits: int = 12) -> Column:
@@ -101,10 +108,18 @@ def conformer_seed(canonical_seq: Column) -> Column:
     return F.conv(F.substring(F.sha2(canonical_seq, 256), 1, 8), 16, 10).cast("long").bitwiseAND(F.lit(2**31 - 1))
 
 
-def length_bin(seq: Column, padded: bool = True) -> Column:
-    n, first = F.length(seq), "05_10" if padded else "5-10"
-    mid, upper, last = ("11_20", "21_40", "41_plus") if padded else ("11-20", "21-40", ">40")
-    return F.when(n <= 10, first).when(n <= 20, mid).when(n <= 40, upper).otherwise(last)
+def _binned(n: Column, *names: str) -> Column:
+    return F.when(n <= 10, names[0]).when(n <= 20, names[1]).when(n <= 40, names[2]).otherwise(names[3])
+
+
+def length_bin(seq: Column) -> Column:
+    """Bins of the caps."""
+    return _binned(F.length(seq), "05_10", "11_20", "21_40", "41_plus")
+
+
+def split_length_bin(seq: Column) -> Column:
+    """Bins of the splits."""
+    return _binned(F.length(F.trim(seq)), "5-10", "11-20", "21-40", "41-100")
 
 
 def cyclization_type(raw: Column) -> Column:
@@ -136,13 +151,15 @@ def pair_frequency(codes: Column, a: int, b: int) -> Column:
 
 
 def feature_columns(seq: Column, cyclization: Column, bonds: Column, codes: Column) -> list[Column]:
-    """The 53 features in their fixed order, for a non-empty sequence."""
-    n = F.length(seq)
-    mass = _total(seq, RESIDUE_MASS) + F.when(cyclization == "head_to_tail", -F.greatest(F.lit(0), bonds - 1) * 2.01588).when(cyclization == "disulfide", F.lit(WATER) - bonds * 2.01588).otherwise(0.0)
+    """The 53 features in their fixed order, for a non-empty sequence. The type is normalised; a negative number of
+    bonds is an error."""
+    n, cyclization = F.length(seq), F.coalesce(cyclization_type(cyclization), F.lit(""))
+    bonds = F.when(bonds >= 0, bonds).otherwise(F.raise_error(F.lit("bond_count must not be negative")).cast("int"))
+    mass = total(seq, RESIDUE_MASS) + F.when(cyclization == "head_to_tail", -F.greatest(F.lit(0), bonds - 1) * 2.01588).when(cyclization == "disulfide", F.lit(WATER) - bonds * 2.01588).otherwise(0.0)
     charge = net_charge(seq)
     names = [name for name, _ in GROUPS]
-    out = [n.cast("double"), mass, charge, charge / n, _total(seq, HYDROPATHY) / n, count_of(seq, "AILMFWVY") / n, count_of(seq, "FWY") / n]
+    out = [n.cast("double"), mass, charge, charge / n, total(seq, HYDROPATHY) / n, count_of(seq, "AILMFWVY") / n, count_of(seq, "FWY") / n]
     out += [count_of(seq, a) / n for a in ALPHABET]
-    out += [(cyclization == c).cast("double") for c in CYCLIZATIONS] + [(~cyclization.isin(*CYCLIZATIONS)).cast("double"), F.greatest(bonds, F.lit(0)).cast("double")]
+    out += [(cyclization == c).cast("double") for c in CYCLIZATIONS] + [(~cyclization.isin(*CYCLIZATIONS)).cast("double"), bonds.cast("double")]
     out += [pair_frequency(codes, names.index(a), names.index(b)) for a, b in PAIRS]
     return [c.alias(name) for c, name in zip(out, FEATURES, strict=True)]

@@ -1,64 +1,72 @@
-"""Cleaning with reasons, conflict-aware roll-up, leakage joins, capping, splits and digests."""
+"""Leakage joins, capping, folds, splits and digests. Ranks within hot keys are made by hash ranges, not by one task."""
 
 from __future__ import annotations
 
+from math import log
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from sequoria.functions import sequence as S
+from sequoria.functions.plan import dealt, sealed
 
 
-def conflicts(rows: DataFrame, keys: list[str], label: str = "label") -> DataFrame:
-    """Adds `conflict`: whether the rows of a key disagree on the label."""
-    w = Window.partitionBy(*keys)
-    return rows.withColumn("conflict", F.min(label).over(w) < F.max(label).over(w))
-
-
-def roll_up(rows: DataFrame, entity: str = "entity", target: str = "target") -> DataFrame:
-    """One row an entity: any label, number of measurements, least value and the row that has it; ties go to the
-    target that came first, then to the first row. rows: entity, target, label, mic, ord."""
-    first = F.min("ord").over(Window.partitionBy(entity, target))
-    return rows.withColumn("target_ord", first).groupBy(entity).agg(F.max("label").cast("int").alias("label"), F.count("*").alias("n"), F.min("mic").alias("mic"), F.min_by("ord", F.struct("mic", "target_ord", "ord")).alias("ord"))
+def _size_class(m: Column) -> Column:
+    """The greatest size of the class of m: sizes up to 16 have their own, above them classes grow by a tenth."""
+    step = F.ceil(F.log(m / F.lit(16.0)) / F.lit(log(1.1)))
+    return F.when(m <= 16, m).otherwise(F.floor(16 * F.pow(F.lit(1.1), step) + 1e-6)).cast("int")
 
 
-def first_of(rows: DataFrame, keys: list[str], order: list[Column]) -> DataFrame:
-    """Adds `nth`: the place of a row among those of its key."""
-    return rows.withColumn("nth", F.row_number().over(Window.partitionBy(*keys).orderBy(*order)))
+def _signatures(sides: DataFrame, threshold: float, all_parts: bool) -> DataFrame:
+    """(class, part, signature, seq) for rows of seq, kmers and classes. k-mers are dealt to the parts of a class by
+    hash, and a part's signature is of the set that it got."""
+    apart = F.floor(F.col("class") * ((1 - threshold) / threshold) + 1e-9).cast("int")  # the most that two sets of it may differ by
+    spare = F.call_function("div", apart, F.lit(4)).cast("int") + 1
+    each = sides.select("seq", F.explode_outer("classes").alias("class"), "kmers").withColumn("parts", apart + 1 + spare).withColumn("spare", spare)
+    each = each.select("seq", "class", "parts", "spare", F.explode_outer("kmers").alias("kmer"))
+    each = each.groupBy("seq", "class", "parts", "spare", F.pmod(F.xxhash64("kmer"), F.col("parts")).cast("int").alias("part")).agg(F.bit_xor(F.xxhash64("kmer", F.lit(1))).alias("sign"))
+    held = each.groupBy("seq", "class", "parts", "spare").agg(F.collect_list(F.struct("part", "sign")).alias("got"))
+    empty = F.transform(F.array_except(F.sequence(F.lit(0), F.col("parts") - 1), F.col("got.part")), lambda k: F.struct(k.alias("part"), F.lit(0).cast("long").alias("sign")))
+    shown = F.concat("got", empty) if all_parts else F.when(F.size(empty) > F.col("spare"), F.concat("got", empty)).otherwise(F.col("got"))
+    return held.select("seq", "class", F.inline(shown))
 
 
 def similar(left: DataFrame, right: DataFrame, threshold: float = 0.8, k: int = 3) -> DataFrame:
     """Distinct sequences of left (seq) that have one in right (seq) of k-mer Jaccard `threshold` or more.
 
-    Exact. Each side offers only its rarest k-mers, as many as a pair at the threshold must share one of, and sizes
-    must fit. The frequency table has at most 20^k rows and may be broadcast; k-mers that are everywhere are in
-    nobody's prefix, so no key of the join is hot.
+    Exact. Two such sets differ by at most a share of their size. Dealt into more parts than that, at least one part
+    is the same in both; with spare parts it is one that is not empty, unless a set leaves more parts empty than
+    that. So an equal join on whole parts (several k-mers each) finds all pairs, and no frequent k-mer is a key by
+    itself. What is found is verified on the full sets.
     """
     if not 0 < threshold <= 1:
         raise ValueError("threshold must be over 0 and at most 1")
-    sides = [df.select("seq").filter("seq is not null and seq <> ''").distinct().withColumn("kmers", S.kmers(F.col("seq"), k)).withColumn("n", F.size("kmers")) for df in (left, right)]
-    each = [df.select("seq", "n", "kmers", F.explode("kmers").alias("kmer")) for df in sides]
-    seen = each[0].select("kmer").union(each[1].select("kmer")).groupBy("kmer").agg(F.count("*").alias("freq"))
-    offers = []
-    for df in each:
-        place = F.row_number().over(Window.partitionBy("seq").orderBy("freq", "kmer"))
-        keep = F.col("n") - F.ceil(F.lit(threshold) * F.col("n") - 1e-9) + 1
-        offers.append(df.join(seen, "kmer").withColumn("place", place).filter(F.col("place") <= keep))
-    a = offers[0].select("kmer", "seq", "n", "kmers")
-    b = offers[1].select("kmer", F.col("n").alias("m"), F.col("kmers").alias("others"))
-    fits = (F.col("n") * threshold <= F.col("m") + 1e-9) & (F.col("m") * threshold <= F.col("n") + 1e-9)
-    shared = F.size(F.array_intersect("kmers", "others"))
-    return a.join(b, "kmer").filter(fits).filter(shared / (F.col("n") + F.col("m") - shared) >= threshold).select("seq").distinct()
+    sides = [df.select("seq").filter("seq is not null and seq <> ''").distinct() for df in (left, right)]
+    sides = [dealt(df).withColumn("kmers", S.kmers(F.col("seq"), k)).withColumn("n", F.size("kmers")) for df in sides]
+    sizes = F.sequence(F.ceil(F.col("n") * threshold - 1e-9).cast("int"), F.floor(F.col("n") / threshold + 1e-9).cast("int"))
+    a = _signatures(sides[0].withColumn("classes", F.array_distinct(F.transform(sizes, _size_class))), threshold, False)
+    b = _signatures(sides[1].withColumn("classes", F.array(_size_class(F.col("n")))), threshold, True)
+    pairs = dealt(a.join(b.withColumnRenamed("seq", "other"), ["class", "part", "sign"]).select("seq", "other").distinct())
+    # short k-mers as whole numbers, made once a sequence: their sets are compared without objects
+    coded = (lambda x: F.conv(F.hex(x), 16, 10).cast("long")) if k <= 3 else (lambda x: x)
+    ours, theirs = [df.select(F.col("seq").alias(name), F.transform("kmers", coded).alias(f"k_{name}")) for df, name in zip(sides, ("seq", "other"), strict=True)]
+    both = pairs.join(ours, "seq").join(theirs, "other").withColumn("shared", F.size(F.array_intersect("k_seq", "k_other")))
+    return both.filter(F.col("shared") / (F.size("k_seq") + F.size("k_other") - F.col("shared")) >= threshold).select("seq").distinct()
 
 
 def leak_reasons(pretrain: DataFrame, core: DataFrame, threshold: float = 0.8) -> DataFrame:
-    """pretrain (ord, seq) with a `reason`: exact, rotated or near copy of a core sequence, else a repeat; null is kept."""
+    """pretrain (ord, seq) with a `reason`: exact, rotated or near copy of a core sequence, else a repeat of the first
+    row by ord; null is kept. Reasons are found once for each distinct sequence."""
+    core = sealed(core, "seq")
     exact = core.select("seq").distinct().withColumn("exact", F.lit(True))
-    turned = core.select(S.canonical(F.col("seq")).alias("canonical")).distinct().withColumn("turned", F.lit(True))
+    turned = sealed(core.distinct(), S.canonical(F.col("seq")).alias("canonical")).distinct().withColumn("turned", F.lit(True))
     near = similar(pretrain, core, threshold).withColumn("near", F.lit(True))
-    out = pretrain.withColumn("canonical", S.canonical(F.col("seq"))).join(exact, "seq", "left").join(turned, "canonical", "left").join(near, "seq", "left")
+    once = sealed(dealt(pretrain.groupBy("seq").agg(F.min("ord").alias("first_ord"))), "seq", "first_ord", S.canonical(F.col("seq")).alias("canonical"))
+    once = once.join(exact, "seq", "left").join(turned, "canonical", "left").join(near, "seq", "left")
     leak = F.when(F.col("exact"), "exact_core_leakage").when(F.col("turned"), "cyclic_rotation_core_leakage").when(F.col("near"), f"core_3mer_jaccard_ge_{threshold:g}")
-    out = first_of(out, ["seq"], [F.col("ord")])
-    return out.withColumn("reason", F.coalesce(leak, F.when(F.col("nth") > 1, "duplicate_pretrain_sequence"))).drop("canonical", "exact", "turned", "near", "nth")
+    found = once.select("seq", "first_ord", leak.alias("leak"))
+    out = pretrain.join(found, "seq", "left")
+    return out.withColumn("reason", F.coalesce("leak", F.when(F.col("ord") > F.col("first_ord"), "duplicate_pretrain_sequence"))).drop("leak", "first_ord")
 
 
 def draw(seed: int, key: Column) -> Column:
@@ -66,36 +74,79 @@ def draw(seed: int, key: Column) -> Column:
     return F.sha2(F.concat(F.lit(f"{seed}|"), key.cast("string")), 256)
 
 
+def stratum_name(strata: list[str]) -> Column:
+    """The texts of a stratum's columns, joined; null is empty."""
+    return F.concat_ws("|", *[F.coalesce(F.col(c).cast("string"), F.lit("")) for c in strata])
+
+
 def stratified_cap(rows: DataFrame, strata: list[str], key: str, limit: int, seed: int = 42) -> DataFrame:
     """Adds `selected`: round-robin over the strata, each in seeded order, up to `limit` rows.
 
-    The cut is found from counts of each round, so there is no global sort: all strata up to a round are taken, and in
-    the round where the limit falls those that come first by name.
+    Of a stratum only the first `limit` rows by hash can be taken, and Spark keeps no more of them in any task. All
+    strata up to a round are taken, and in the round where the limit falls those that come first by name. What is ranked
+    over all strata is at most a row a round, and a row a stratum in the last one.
     """
-    name = F.concat_ws("|", *[F.coalesce(F.col(c).cast("string"), F.lit("")) for c in strata])
-    ranked = rows.withColumn("_stratum", name).withColumn("_round", F.row_number().over(Window.partitionBy("_stratum").orderBy(draw(seed, F.col(key)), key)))
+    slim = rows.select(key, stratum_name(strata).alias("_stratum"), draw(seed, F.col(key)).alias("_h"))
+    ranked = slim.withColumn("_round", F.row_number().over(Window.partitionBy("_stratum").orderBy("_h", key))).filter(F.col("_round") <= limit)
     rounds = ranked.groupBy("_round").agg(F.count("*").alias("_n"))
     upto = F.sum("_n").over(Window.orderBy("_round"))
     cut = rounds.withColumn("_upto", upto).filter(F.col("_upto") > limit).agg(F.min("_round").alias("_last"), F.min_by(F.col("_upto") - F.col("_n"), "_round").alias("_before"))
-    in_last = ranked.join(F.broadcast(cut), F.col("_round") == F.col("_last")).select(key, "_before", "_stratum")
-    chosen = in_last.withColumn("_at", F.row_number().over(Window.orderBy("_stratum"))).filter(F.col("_before") + F.col("_at") <= limit).select(key, F.lit(True).alias("_extra"))
-    out = ranked.crossJoin(F.broadcast(cut)).join(chosen, key, "left")
-    return out.withColumn("selected", F.coalesce(F.col("_last").isNull() | (F.col("_round") < F.col("_last")) | F.col("_extra"), F.lit(False))).drop("_stratum", "_round", "_last", "_before", "_extra")
+    near = ranked.crossJoin(F.broadcast(cut)).filter(F.col("_last").isNull() | (F.col("_round") <= F.col("_last")))
+    at = F.row_number().over(Window.partitionBy("_round").orderBy("_stratum"))
+    chosen = near.withColumn("_at", at).filter(F.col("_last").isNull() | (F.col("_round") < F.col("_last")) | (F.col("_before") + F.col("_at") <= limit))
+    chosen = chosen.select(key, F.lit(True).alias("selected"))
+    if limit <= BROADCAST_ROWS:  # at most `limit` rows are chosen
+        chosen = F.broadcast(chosen)
+    return rows.join(chosen, key, "left").withColumn("selected", F.coalesce("selected", F.lit(False)))
+
+
+#: Rows of a key and a flag that are broadcast at most.
+BROADCAST_ROWS = 1_000_000
+
+
+def hashed_rank(rows: DataFrame, by: list[str], h: Column, key: str, name: str) -> DataFrame:
+    """Adds the place (from 1) of a row among those with equal `by` columns, in order of the hex text h, then key.
+
+    Rows are ranked within the 4,096 ranges of the first three digits, so that no task holds all rows of a hot key; a
+    running sum of the ranges' counts gives where each begins.
+    """
+    rows = rows.withColumn("_h", h).withColumn("_range", F.substring("_h", 1, 3))
+    counts = rows.groupBy(*by, "_range").agg(F.count("*").alias("_n"))
+    starts = counts.withColumn("_start", F.sum("_n").over(Window.partitionBy(*by).orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)))
+    starts = starts.select(*[F.col(c).alias(f"_by_{c}") for c in by], F.col("_range").alias("_at"), F.coalesce("_start", F.lit(0)).alias("_start"))
+    same = F.col("_range") == F.col("_at")
+    for c in by:
+        same = same & F.col(c).eqNullSafe(F.col(f"_by_{c}"))
+    near = F.row_number().over(Window.partitionBy(*by, "_range").orderBy("_h", key))
+    return rows.join(starts, same).withColumn(name, F.col("_start") + near).drop("_h", "_range", "_start", "_at", *[f"_by_{c}" for c in by])
 
 
 def folds(groups: DataFrame, label: str, key: str, n: int = 3, seeds: tuple[int, ...] = (42, 43, 44)) -> DataFrame:
     """Adds fold_seed_<s>: within each label, seeded order modulo n."""
     for s in seeds:
-        groups = groups.withColumn(f"fold_seed_{s}", ((F.row_number().over(Window.partitionBy(label).orderBy(draw(s, F.col(key)), key)) - 1) % n).cast("int"))
+        groups = hashed_rank(groups, [label], draw(s, F.col(key)), key, "_rank").withColumn(f"fold_seed_{s}", ((F.col("_rank") - 1) % n).cast("int")).drop("_rank")
     return groups
 
 
 def train_valid(rows: DataFrame, strata: list[str], key: str, fraction: float = 0.1, seed: int = 42) -> DataFrame:
     """Adds `split`: of each stratum a fraction is valid, one row at least and not all; single rows are train."""
-    n = F.count("*").over(Window.partitionBy(*strata))
-    nth = F.row_number().over(Window.partitionBy(*strata).orderBy(draw(seed, F.col(key)), key))
-    take = F.least(F.greatest(F.lit(1), F.bround(n * fraction)), n - 1)
-    return rows.withColumn("split", F.when(nth <= take, "valid").otherwise("train"))
+    sizes = rows.groupBy(*strata).agg(F.count("*").alias("_size")).select(*[F.col(c).alias(f"_of_{c}") for c in strata], "_size")
+    same = F.lit(True)
+    for c in strata:
+        same = same & F.col(c).eqNullSafe(F.col(f"_of_{c}"))
+    out = hashed_rank(rows, strata, draw(seed, F.col(key)), key, "_rank").join(sizes, same)
+    take = F.least(F.greatest(F.lit(1), F.bround(F.col("_size") * fraction)), F.col("_size") - 1)
+    return out.withColumn("split", F.when(F.col("_rank") <= take, "valid").otherwise("train")).drop("_rank", "_size", *[f"_of_{c}" for c in strata])
+
+
+def block_digest(rows: DataFrame, by: list[str], order: str, text: Column, block: int = 4096) -> DataFrame:
+    """(by, digest, n): SHA-256 of the digests of blocks of rows by `order` div `block`, in order. No task holds more
+    than a block's rows, or a group's digests."""
+    part = F.call_function("div", F.col(order), F.lit(block)).alias("_block")
+    each = rows.select(*by, part, F.struct(F.col(order).alias("o"), F.coalesce(text, F.lit("")).alias("t")).alias("_row")).groupBy(*by, "_block").agg(F.array_sort(F.collect_list("_row")).alias("_rows"))
+    each = each.select(*by, "_block", F.sha2(F.array_join(F.col("_rows.t"), ""), 256).alias("_d"), F.size("_rows").alias("_n"))
+    listed = F.array_sort(F.collect_list(F.struct("_block", "_d")))
+    return each.groupBy(*by).agg(listed.alias("_all"), F.sum("_n").alias("n")).select(*by, F.sha2(F.array_join(F.col("_all._d"), ""), 256).alias("digest"), "n")
 
 
 def leaks_between(rows: DataFrame, key: str, split: str = "split") -> DataFrame:

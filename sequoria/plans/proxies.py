@@ -1,7 +1,8 @@
 """Sequence-like tables made of the test data, identically in DataFrame functions and in SQL.
 
-seq: up to 40 letters of the 20-letter alphabet, evenly spaced over a document's whole text. Core documents are those
-of sources that end in 0 or 5, the others are pretraining ones; the language gives the cyclization type.
+Each text is cut at the ends of its sentences and lines, and after 120 letters, into sequences; no letter is left out.
+raw has all letters in upper case, seq those of the 20-letter alphabet (it may be empty). Core sequences are those of
+sources that end in 0 or 5, the others are pretraining ones; the language gives the cyclization type.
 """
 
 from __future__ import annotations
@@ -10,41 +11,71 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sequoria.functions import sequence as S
+from sequoria.functions.plan import spread
 
 ALPHABET = S.ALPHABET
+OTHERS = "BJOUXZ"
+#: Sequences of one text get consecutive numbers under this.
+PER_TEXT = 100_000
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def spaced(text: Column, most: int = 40) -> Column:
-    """`most` characters, evenly spaced over the whole text; all of a shorter one."""
-    n = F.length(text)
-    m = F.least(F.lit(most), n)
-    picks = F.transform(F.sequence(F.lit(0), m - 1), lambda i: F.substring(text, F.call_function("div", i * n, m).cast("int") + 1, F.lit(1)))
-    return F.when(n > 0, F.array_join(picks, "")).otherwise("")
+def role(source: Column) -> Column:
+    return F.when(source.rlike("[05]$"), "core").otherwise("pretrain")
 
 
-def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """doc_id, raw (any letters), seq (the alphabet), source, role, cyclization_type, label (null if there is none)."""
-    docs = table(spark, sf_dir, "documents").select("doc_id", F.upper(F.regexp_replace(F.coalesce("text", F.lit("")), "[^A-Za-z]", "")).alias("letters"), "source", "lang")
-    docs = docs.withColumn("clean", F.regexp_replace("letters", f"[^{ALPHABET}]", ""))
-    # the generator is a barrier: filters and joins on expressions of seq are not rewritten in terms of the whole text
-    made = F.explode(F.array(F.struct(spaced(F.col("letters")).alias("raw"), spaced(F.col("clean")).alias("seq")))).alias("made")
-    docs = docs.select("doc_id", "source", "lang", made).select("doc_id", "made.raw", "made.seq", "source", F.when(F.col("source").rlike("[05]$"), "core").otherwise("pretrain").alias("role"), F.when(F.col("lang") == "en", "head_to_tail").when(F.col("lang") == "de", "disulfide").when(F.col("lang") == "fr", "sidechain").otherwise("").alias("cyclization_type"))
+def labelled_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """doc_id, source, role, lang, label, toxic of each text, without the text."""
     labels = table(spark, sf_dir, "labels").select("doc_id", F.col("quality").alias("label"), "toxic")
+    docs = table(spark, sf_dir, "documents").select("doc_id", "source", role(F.col("source")).alias("role"), "lang")
     return docs.join(labels, "doc_id", "left")
 
 
+def sequences(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """ord, doc_id, pos, raw, seq, source, role, lang, cyclization_type, label (null if there is none), toxic."""
+    letters = F.upper(F.regexp_replace(F.coalesce("text", F.lit("")), "[^A-Za-z.!?\n]", ""))
+    docs = spread(table(spark, sf_dir, "documents").select("doc_id", "text", "source", "lang")).select("doc_id", "source", "lang", F.posexplode(F.regexp_extract_all(letters, F.lit("[A-Z]{1,120}"), F.lit(0))).alias("pos", "raw"))
+    kind = F.when(F.col("lang") == "en", "head_to_tail").when(F.col("lang") == "de", "disulfide").when(F.col("lang") == "fr", "sidechain").otherwise("")
+    docs = docs.select((F.col("doc_id") * PER_TEXT + F.col("pos")).alias("ord"), "doc_id", "pos", "raw", F.translate("raw", OTHERS, "").alias("seq"), "source", role(F.col("source")).alias("role"), "lang", kind.alias("cyclization_type"))
+    labels = table(spark, sf_dir, "labels").select("doc_id", F.col("quality").alias("label"), "toxic")
+    return docs.join(labels, "doc_id", "left")
+
+
+def _pick(index: Column, *values: str) -> Column:
+    return F.get(F.array(*[F.lit(v) for v in values]), (index % len(values)).cast("int"))
+
+
 def measurements(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """ord, doc_id, raw (a censored value as text), unit, target."""
-    cents = F.floor(F.col("value") * 100).cast("long")
+    """Measurement rows as text: one for each sequence, with censored values, units, bonds, weights and vetoes."""
+    rows = sequences(spark, sf_dir).select("ord", "doc_id", "pos", "raw", "seq", "source", "lang")
+    pos, h = F.col("pos"), F.col("doc_id") * 31 + F.col("pos") * 7
+    cents = (h * 7919) % 6001
     number = lambda c: F.concat(F.call_function("div", c, F.lit(100)).cast("string"), F.lit("."), F.lpad((c % 100).cast("string"), 2, "0"))
-    kind = F.col("event_id") % 6
-    raw = F.when(kind == 0, number(cents)).when(kind == 1, F.concat(F.lit("<"), number(cents))).when(kind == 2, F.concat(F.lit("<="), number(cents))).when(kind == 3, F.concat(F.lit(">"), number(cents))).when(kind == 4, F.concat(F.lit(">="), number(cents))).otherwise(F.concat(number(cents), F.lit("-"), number(cents + 1000)))
-    unit = F.when(F.col("event_id") % 3 == 0, "ug/mL").when(F.col("event_id") % 3 == 1, " mg / L").otherwise("µM")
-    return table(spark, sf_dir, "events").select(F.col("event_id").alias("ord"), F.col("user_id").alias("doc_id"), raw.alias("raw"), unit.alias("unit"), F.col("event_type").alias("target"))
+    low, high = number(cents), number(cents + 1000)
+    kind = pos % 8
+    mic = F.when(kind == 1, F.concat(F.lit("<"), low)).when(kind == 2, F.concat(F.lit("<="), low)).when(kind == 3, F.concat(F.lit("> "), low)).when(kind == 4, F.concat(F.lit(">="), low)).when(kind == 5, F.concat(low, F.lit("-"), high)).when(kind == 6, F.concat(high, F.lit(" – "), low)).when((kind == 7) & (F.col("doc_id") % 5 == 0), "n/a").otherwise(low)
+    unit = F.when(h % 6 == 5, F.when(pos % 3 == 0, "nM").otherwise("mcg/mL")).otherwise(_pick(h % 6, "ug/mL", "ug/mL", " mg / L", "µM", "umol/L", ""))
+    spoken = F.when(F.col("lang") == "en", "head_to_tail").when(F.col("lang") == "de", " Disulfide").when(F.col("lang") == "fr", "sidechain").when(pos % 7 != 0, _pick(pos, "", "unknown", "cyclic_unspecified"))
+    bonds = F.when(F.col("lang") == "de", _pick(pos, "[[2,5]]", '[[3,4,"DSB"],[1,2,"DSB"]]', '{"position1":1,"position2":4,"type":{"name":"DSB"},"cycleType":{"name":"NCB"}}', "[[1,", ""))
+    bonds = bonds.when((F.col("lang") == "fr") & (pos % 5 == 0), "[[1,4]]").when((F.col("lang") == "en") & (pos % 11 == 0), '[[1,"4","AMD"],[11,3],[2,3]]').otherwise("")
+    heavy = F.when(pos % 9 == 0, "2000").when((pos % 9 == 1) & (h % 2 == 0), "heavy").otherwise("")
+    return rows.select(
+        "ord",
+        F.when(pos % 7 == 0, F.col("raw")).otherwise(F.col("seq")).alias("sequence"),
+        mic.alias("mic"),
+        unit.alias("unit"),
+        _pick(pos, "E. coli ", "e. coli", "S. aureus").alias("target_species"),
+        spoken.alias("cyclization_type"),
+        bonds.alias("bonds_json"),
+        F.when(pos % 4 == 0, "lariat").otherwise("").alias("topology"),
+        heavy.alias("molecular_weight"),
+        F.when(pos % 13 == 12, "range_cannot_be_reconstructed_from_scalar_activity").otherwise("").alias("conversion_exclusion_reason"),
+        F.when(pos % 2 == 0, F.concat(F.lit("P"), F.col("doc_id").cast("string"))).otherwise("").alias("peptide_id"),
+        "source",
+    )
 
 
 def scores(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -55,29 +86,38 @@ def scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.withColumn("score", ((F.col("doc_id") * 37 + F.col("model") * 11 + F.col("label") * 20) % 101) / 101.0)
 
 
-def _spaced_sql(x: str) -> str:
-    return f"array_to_string(list_transform(range(0, least(40, len({x}))), lambda i: substr({x}, CAST(i * len({x}) // least(40, len({x})) AS BIGINT) + 1, 1)), '')"
-
-
 _PIECE = "printf('%d.%02d', c // 100, c % 100)"
+_UPPER_PIECE = "printf('%d.%02d', (c + 1000) // 100, (c + 1000) % 100)"
 SQL = f"""
-letters AS (SELECT doc_id, upper(regexp_replace(coalesce(text, ''), '[^A-Za-z]', '', 'g')) AS letters, source, lang FROM documents),
-cleaned AS (SELECT *, regexp_replace(letters, '[^{ALPHABET}]', '', 'g') AS clean FROM letters),
+texts AS (
+  SELECT d.doc_id, source, CASE WHEN regexp_matches(source, '[05]$') THEN 'core' ELSE 'pretrain' END AS role, lang, l.quality AS label, l.toxic
+  FROM documents d LEFT JOIN labels l ON l.doc_id = d.doc_id),
+cut AS (SELECT doc_id, source, lang, regexp_extract_all(upper(regexp_replace(coalesce(text, ''), '[^A-Za-z.!?\\n]', '', 'g')), '[A-Z]{{1,120}}') AS parts FROM documents),
+pieces AS (SELECT doc_id, source, lang, unnest(parts) AS raw, unnest(range(0, len(parts))) AS pos FROM cut),
 docs AS (
-  SELECT c.doc_id, {_spaced_sql('letters')} AS raw, {_spaced_sql('clean')} AS seq, source,
-         CASE WHEN regexp_matches(source, '[05]$') THEN 'core' ELSE 'pretrain' END AS role,
+  SELECT p.doc_id * {PER_TEXT} + pos AS ord, p.doc_id, pos, raw, regexp_replace(raw, '[{OTHERS}]', '', 'g') AS seq, source,
+         CASE WHEN regexp_matches(source, '[05]$') THEN 'core' ELSE 'pretrain' END AS role, lang,
          CASE lang WHEN 'en' THEN 'head_to_tail' WHEN 'de' THEN 'disulfide' WHEN 'fr' THEN 'sidechain' ELSE '' END AS cyclization_type,
          l.quality AS label, l.toxic
-  FROM cleaned c LEFT JOIN labels l ON l.doc_id = c.doc_id),
+  FROM pieces p LEFT JOIN labels l ON l.doc_id = p.doc_id),
 rotated AS (
   SELECT *, CASE WHEN seq <> '' THEN list_transform(range(0, len(seq)), lambda i: substr(seq, CAST(i AS BIGINT) + 1) || substr(seq, 1, CAST(i AS BIGINT))) ELSE [] END AS turns FROM docs),
 canon AS (SELECT *, list_min(turns) AS canonical FROM rotated),
-cents AS (SELECT *, CAST(floor(value * 100) AS BIGINT) AS c FROM events),
+numbered AS (SELECT *, doc_id * 31 + pos * 7 AS h, ((doc_id * 31 + pos * 7) * 7919) % 6001 AS c FROM docs),
 measured AS (
-  SELECT event_id AS ord, user_id AS doc_id, event_type AS target,
-         CASE event_id % 6 WHEN 0 THEN {_PIECE} WHEN 1 THEN '<' || {_PIECE} WHEN 2 THEN '<=' || {_PIECE} WHEN 3 THEN '>' || {_PIECE} WHEN 4 THEN '>=' || {_PIECE} ELSE {_PIECE} || '-' || {_PIECE.replace('c //', '(c + 1000) //').replace('c %', '(c + 1000) %')} END AS raw,
-         CASE event_id % 3 WHEN 0 THEN 'ug/mL' WHEN 1 THEN ' mg / L' ELSE 'µM' END AS unit, c, event_id % 6 AS kind
-  FROM cents),
+  SELECT ord, CASE WHEN pos % 7 = 0 THEN raw ELSE seq END AS sequence,
+         CASE WHEN pos % 8 = 1 THEN '<' || {_PIECE} WHEN pos % 8 = 2 THEN '<=' || {_PIECE} WHEN pos % 8 = 3 THEN '> ' || {_PIECE} WHEN pos % 8 = 4 THEN '>=' || {_PIECE}
+              WHEN pos % 8 = 5 THEN {_PIECE} || '-' || {_UPPER_PIECE} WHEN pos % 8 = 6 THEN {_UPPER_PIECE} || ' – ' || {_PIECE} WHEN pos % 8 = 7 AND doc_id % 5 = 0 THEN 'n/a' ELSE {_PIECE} END AS mic,
+         CASE h % 6 WHEN 0 THEN 'ug/mL' WHEN 1 THEN 'ug/mL' WHEN 2 THEN ' mg / L' WHEN 3 THEN 'µM' WHEN 4 THEN 'umol/L' ELSE CASE WHEN pos % 3 = 0 THEN 'nM' ELSE 'mcg/mL' END END AS unit,
+         ['E. coli ', 'e. coli', 'S. aureus'][pos % 3 + 1] AS target_species,
+         CASE WHEN lang = 'en' THEN 'head_to_tail' WHEN lang = 'de' THEN ' Disulfide' WHEN lang = 'fr' THEN 'sidechain' WHEN pos % 7 <> 0 THEN ['', 'unknown', 'cyclic_unspecified'][pos % 3 + 1] END AS cyclization_type,
+         CASE WHEN lang = 'de' THEN ['[[2,5]]', '[[3,4,"DSB"],[1,2,"DSB"]]', '{{"position1":1,"position2":4,"type":{{"name":"DSB"}},"cycleType":{{"name":"NCB"}}}}', '[[1,', ''][pos % 5 + 1]
+              WHEN lang = 'fr' AND pos % 5 = 0 THEN '[[1,4]]' WHEN lang = 'en' AND pos % 11 = 0 THEN '[[1,"4","AMD"],[11,3],[2,3]]' ELSE '' END AS bonds_json,
+         CASE WHEN pos % 4 = 0 THEN 'lariat' ELSE '' END AS topology,
+         CASE WHEN pos % 9 = 0 THEN '2000' WHEN pos % 9 = 1 AND h % 2 = 0 THEN 'heavy' ELSE '' END AS molecular_weight,
+         CASE WHEN pos % 13 = 12 THEN 'range_cannot_be_reconstructed_from_scalar_activity' ELSE '' END AS veto,
+         CASE WHEN pos % 2 = 0 THEN 'P' || doc_id ELSE '' END AS peptide_id, source, c, pos, doc_id
+  FROM numbered),
 scored AS (
   SELECT l.doc_id, quality AS label, source, m AS model, ((l.doc_id * 37 + m * 11 + quality * 20) % 101) / 101.0::DOUBLE AS score
   FROM labels l JOIN documents d ON d.doc_id = l.doc_id, (SELECT unnest([0, 1, 2]) AS m) k)

@@ -2,454 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from . import cleaning_queries, sequence_queries, split_queries
+from .base import oracle_sql, queries
 
-from pyspark.sql import DataFrame, SparkSession, Window
-from pyspark.sql import functions as F
-
-from sequoria.functions import measure as M
-from sequoria.functions import sequence as S
-from sequoria.operators import curation as C
-from sequoria.operators import metrics as X
-
-from . import proxies as P
-
-Query = Callable[[SparkSession, str], DataFrame]
-_QUERIES: dict[str, Query] = {}
-_SQL: dict[str, str] = {}
-
-
-def query(sql: str | None = None) -> Callable[[Query], Query]:
-    def put(f: Query) -> Query:
-        _QUERIES[f.__name__] = f
-        if sql is not None:
-            _SQL[f.__name__] = P.with_base(sql)
-        return f
-
-    return put
-
-
-def queries() -> dict[str, Query]:
-    return dict(_QUERIES)
-
-
-def oracle_sql() -> dict[str, str]:
-    return dict(_SQL)
-
-
-_OFFEND = f"array_to_string(list_sort(list_distinct(string_split(regexp_replace(raw, '[{S.ALPHABET}]', '', 'g'), ''))), '')"
-
-
-@query(f"""SELECT doc_id, raw, {_OFFEND} AS offending,
-  CASE WHEN raw = '' THEN 'sequence must not be empty' WHEN {_OFFEND} <> '' THEN 'non-standard amino-acid symbols: ' || {_OFFEND} END AS reason FROM docs""")
-def normalize_validate(spark, sf_dir):
-    raw = S.normalized(F.col("raw"))
-    return P.documents(spark, sf_dir).select("doc_id", raw.alias("raw"), S.offending(raw).alias("offending"), S.validity_reason(raw).alias("reason"))
-
-
-@query("SELECT doc_id, canonical, CAST(len(list_distinct(turns)) AS BIGINT) AS n_rotations FROM canon")
-def canonical_rotation(spark, sf_dir):
-    return P.documents(spark, sf_dir).select("doc_id", S.canonical(F.col("seq")).alias("canonical"), F.size(S.distinct_rotations(F.col("seq"))).cast("long").alias("n_rotations"))
-
-
-@query("SELECT DISTINCT doc_id, unnest(turns) AS rotation FROM canon")
-def rotations_explode(spark, sf_dir):
-    return P.documents(spark, sf_dir).select("doc_id", F.explode(S.distinct_rotations(F.col("seq"))).alias("rotation"))
-
-
-@query("SELECT doc_id, CAST(i AS BIGINT) AS i, turns[CAST(i * len(seq) // least(4, len(seq)) AS BIGINT) + 1] AS rotation FROM (SELECT *, unnest(range(0, least(4, len(seq)))) AS i FROM canon) t")
-def even_rotations(spark, sf_dir):
-    return P.documents(spark, sf_dir).select("doc_id", F.posexplode(S.even_rotations(F.col("seq"))).alias("i", "rotation")).withColumn("i", F.col("i").cast("long"))
-
-
-_KMERS = "list_distinct(list_transform(range(0, greatest(len({0}) - 2, 1)), lambda i: substr({0}, CAST(i AS BIGINT) + 1, 3)))"
-
-
-@query(f"SELECT doc_id, CAST(len({_KMERS.format('seq')}) AS BIGINT) AS n_linear, CAST(len({_KMERS.format('ring')}) AS BIGINT) AS n_cyclic, array_to_string(list_sort({_KMERS.format('seq')}), ',') AS kmers FROM (SELECT *, CASE WHEN len(seq) >= 3 THEN seq || substr(seq, 1, 2) ELSE seq END AS ring FROM docs) t")
-def kmer_sets(spark, sf_dir):
-    linear = S.kmers(F.col("seq"))
-    return P.documents(spark, sf_dir).select("doc_id", F.size(linear).cast("long").alias("n_linear"), F.size(S.kmers(F.col("seq"), cyclic=True)).cast("long").alias("n_cyclic"), F.array_join(F.array_sort(linear), ",").alias("kmers"))
-
-
-def _sum_sql(table: dict[str, float], x: str = "seq") -> str:
-    return " + ".join(f"(len({x}) - len(replace({x}, '{a}', ''))) * {v}::DOUBLE" for a, v in table.items())
-
-
-@query(f"SELECT doc_id, round({_sum_sql(S.FREE_MASS)} - (len(seq) - 1) * 18.01528::DOUBLE, 6) AS linear, round({_sum_sql(S.FREE_MASS)} - len(seq) * 18.01528::DOUBLE, 6) AS cyclic FROM docs")
-def molecular_weight(spark, sf_dir):
-    return P.documents(spark, sf_dir).select("doc_id", F.round(S.molecular_weight(F.col("seq"), F.lit(False)), 6).alias("linear"), F.round(S.molecular_weight(F.col("seq"), F.lit(True)), 6).alias("cyclic"))
-
-
-@query("""SELECT doc_id, 'rec_' || substr(sha256(seq), 1, 12) AS record_id, substr(sha256(seq), 1, 20) AS cache_key,
-  CAST('0x' || substr(sha256(canonical), 1, 8) AS BIGINT) & 2147483647 AS seed FROM canon""")
-def stable_ids(spark, sf_dir):
-    seq = F.col("seq")
-    return P.documents(spark, sf_dir).select("doc_id", S.stable_id("rec", seq).alias("record_id"), F.substring(F.sha2(seq, 256), 1, 20).alias("cache_key"), S.conformer_seed(S.canonical(seq)).alias("seed"))
-
-
-@query("SELECT CASE WHEN len(seq) <= 10 THEN '05_10' WHEN len(seq) <= 20 THEN '11_20' WHEN len(seq) <= 40 THEN '21_40' ELSE '41_plus' END AS length_bin, role, count(*) AS n FROM docs GROUP BY ALL")
-def length_bins(spark, sf_dir):
-    return P.documents(spark, sf_dir).groupBy(S.length_bin(F.col("seq")).alias("length_bin"), "role").agg(F.count("*").alias("n"))
-
-
-_PARSED = f"""
-weighed AS (SELECT m.*, d.seq, d.canonical, d.cyclization_type,
-    CASE WHEN cyclization_type = 'head_to_tail' AND seq <> '' THEN {_sum_sql(S.FREE_MASS)} - len(seq) * 18.01528::DOUBLE END AS weight
-  FROM measured m LEFT JOIN canon d ON d.doc_id = m.doc_id),
-bounded AS (SELECT *, c / 100.0::DOUBLE AS v, (c + 1000) / 100.0::DOUBLE AS v2, CASE WHEN unit = 'µM' THEN weight / 1000.0::DOUBLE ELSE 1.0::DOUBLE END AS k FROM weighed),
-limits AS (SELECT *,
-    CASE kind WHEN 0 THEN v WHEN 3 THEN nextafter(v, 'infinity'::DOUBLE) WHEN 4 THEN v WHEN 5 THEN v END * k AS low,
-    CASE kind WHEN 0 THEN v WHEN 1 THEN nextafter(v, '-infinity'::DOUBLE) WHEN 2 THEN v WHEN 5 THEN v2 END * k AS high FROM bounded),
-judged AS (SELECT *,
-    CASE WHEN v <= 0 THEN 'unparseable MIC value: ' || raw
-         WHEN unit = 'µM' AND coalesce(weight, 0) <= 0 THEN 'molecular_weight_required_for_uM'
-         WHEN NOT coalesce(high <= 25, false) AND NOT coalesce(low > 25, false) THEN 'mic_interval_crosses_threshold' END AS reason,
-    CASE WHEN v > 0 AND NOT (unit = 'µM' AND coalesce(weight, 0) <= 0) THEN CASE WHEN kind = 5 THEN (low + high) / 2.0::DOUBLE ELSE coalesce(high, low) END END AS mic,
-    CASE WHEN v <= 0 THEN 'invalid' ELSE CASE kind WHEN 0 THEN 'exact' WHEN 1 THEN 'lt' WHEN 2 THEN 'le' WHEN 3 THEN 'gt' WHEN 4 THEN 'ge' ELSE 'range' END END AS censor FROM limits),
-labelled AS (SELECT *, CASE WHEN reason IS NULL THEN CASE WHEN high <= 25 THEN 1 ELSE 0 END END AS label FROM judged)
-"""
-
-
-def _parsed(spark, sf_dir):
-    docs = P.documents(spark, sf_dir).select("doc_id", "seq", "cyclization_type")
-    weight = F.when((F.col("cyclization_type") == "head_to_tail") & (F.col("seq") != ""), S.molecular_weight(F.col("seq"), F.lit(True)))
-    rows = P.measurements(spark, sf_dir).join(docs, "doc_id", "left").withColumn("weight", weight)
-    return rows.withColumn("p", M.parsed(F.col("raw"), F.col("unit"), F.col("weight"))).select("*", "p.*").drop("p")
-
-
-@query(_PARSED + " SELECT ord, raw, unit, round(mic, 4) AS mic, label, censor, reason FROM labelled")
-def parse_measurement(spark, sf_dir):
-    return _parsed(spark, sf_dir).select("ord", "raw", "unit", F.round("mic", 4).alias("mic"), "label", "censor", "reason")
-
-
-@query(_PARSED + " SELECT censor, label, CAST(count(*) AS BIGINT) AS n FROM labelled GROUP BY ALL")
-def interval_label(spark, sf_dir):
-    return _parsed(spark, sf_dir).groupBy("censor", "label").agg(F.count("*").alias("n"))
-
-
-_CORE = _PARSED + """,
-checked AS (SELECT *, CASE WHEN seq IS NULL OR seq = '' THEN 'sequence must not be empty'
-    WHEN len(seq) NOT BETWEEN 5 AND 50 THEN 'sequence_length_out_of_range'
-    WHEN coalesce(cyclization_type, '') = '' THEN 'missing_or_unspecified_cyclization_type'
-    WHEN unit = 'µM' AND cyclization_type <> 'head_to_tail' THEN 'trusted_molecular_weight_required_for_non_head_uM'
-    ELSE reason END AS why, cyclization_type || ':' || canonical AS entity FROM labelled),
-agreed AS (SELECT *, min(label) OVER w < max(label) OVER w AS conflict FROM checked WHERE why IS NULL WINDOW w AS (PARTITION BY entity, lower(trim(target)))),
-firsts AS (SELECT *, min(ord) OVER (PARTITION BY entity, lower(trim(target))) AS target_ord FROM agreed WHERE NOT conflict),
-places AS (SELECT *, row_number() OVER (PARTITION BY entity ORDER BY mic, target_ord, ord) AS nth, count(*) OVER e AS n, max(label) OVER e AS any_label, min(mic) OVER e AS least FROM firsts WINDOW e AS (PARTITION BY entity))
-"""
-
-
-def _checked(spark, sf_dir):
-    rows = _parsed(spark, sf_dir)
-    why = (
-        F.when(F.coalesce("seq", F.lit("")) == "", F.lit("sequence must not be empty"))
-        .when(~F.length("seq").between(5, 50), "sequence_length_out_of_range")
-        .when(F.coalesce("cyclization_type", F.lit("")) == "", "missing_or_unspecified_cyclization_type")
-        .when((M.normalized_unit(F.col("unit")) == "um") & (F.col("cyclization_type") != "head_to_tail"), "trusted_molecular_weight_required_for_non_head_uM")
-        .otherwise(F.col("reason"))
-    )
-    out = rows.withColumns({"why": why, "entity": F.concat("cyclization_type", F.lit(":"), S.canonical(F.col("seq"))), "target": F.lower(F.trim("target"))})
-    good = C.conflicts(out.filter("why is null"), ["entity", "target"])
-    return out, good
-
-
-@query(_CORE + " SELECT entity, any_label AS label, n, round(least, 4) AS mic, ord FROM places WHERE nth = 1")
-def entity_rollup(spark, sf_dir):
-    _, good = _checked(spark, sf_dir)
-    return C.roll_up(good.filter("not conflict")).withColumn("mic", F.round("mic", 4))
-
-
-@query(_CORE + " SELECT ord, entity, target FROM agreed WHERE conflict")
-def target_conflicts(spark, sf_dir):
-    return _checked(spark, sf_dir)[1].filter("conflict").select("ord", "entity", "target")
-
-
-@query(_CORE + " SELECT ord, coalesce(why, 'conflicting_labels_same_target') AS reason FROM checked LEFT JOIN (SELECT ord AS o FROM agreed WHERE conflict) x ON o = ord WHERE why IS NOT NULL OR o IS NOT NULL")
-def core_exclusions(spark, sf_dir):
-    rows, good = _checked(spark, sf_dir)
-    return rows.filter("why is not null").select("ord", F.col("why").alias("reason")).unionByName(good.filter("conflict").select("ord", F.lit("conflicting_labels_same_target").alias("reason")))
-
-
-_PRE = """
-pre AS (SELECT doc_id, seq, CASE WHEN label = 1 THEN 'AMP' WHEN label = 0 THEN 'non-amp' ELSE '' END AS raw_label, source FROM docs WHERE role = 'pretrain'),
-pre1 AS (SELECT *, CASE raw_label WHEN 'AMP' THEN 1 WHEN 'non-amp' THEN 0 END AS y,
-    CASE WHEN seq = '' THEN 'sequence must not be empty' WHEN len(seq) NOT BETWEEN 5 AND 100 THEN 'sequence_length_out_of_range' WHEN raw_label = '' THEN 'invalid_pretrain_label' END AS why FROM pre),
-pre2 AS (SELECT *, min(y) OVER w < max(y) OVER w AS conflict, row_number() OVER (PARTITION BY seq ORDER BY doc_id) AS nth FROM pre1 WHERE why IS NULL WINDOW w AS (PARTITION BY seq)),
-pre3 AS (SELECT *, CASE WHEN conflict THEN 'conflicting_duplicate_pretrain_labels' WHEN nth > 1 THEN 'duplicate_pretrain_sequence' END AS reason FROM pre2)
-"""
-_LABELS = {"1": 1, "0": 0, "amp": 1, "non-amp": 0, "active": 1, "inactive": 0}
-
-
-def _pretrain(spark, sf_dir):
-    raw = F.when(F.col("label") == 1, "AMP").when(F.col("label") == 0, "non-amp").otherwise("")
-    rows = P.documents(spark, sf_dir).filter("role = 'pretrain'").select("doc_id", "seq", "source", raw.alias("raw_label"))
-    domain = F.create_map(*[F.lit(x) for pair in _LABELS.items() for x in pair])
-    rows = rows.withColumn("y", F.try_element_at(domain, F.lower(F.trim("raw_label"))))
-    why = F.coalesce(S.validity_reason(F.col("seq")), F.when(~F.length("seq").between(5, 100), "sequence_length_out_of_range"), F.when(F.col("y").isNull(), "invalid_pretrain_label"))
-    rows = rows.withColumn("why", why)
-    good = C.first_of(C.conflicts(rows.filter("why is null"), ["seq"], "y"), ["seq"], [F.col("doc_id")])
-    return rows, good.withColumn("reason", F.when(F.col("conflict"), "conflicting_duplicate_pretrain_labels").when(F.col("nth") > 1, "duplicate_pretrain_sequence"))
-
-
-@query(_PRE + " SELECT doc_id, seq, y AS label, source FROM pre3 WHERE reason IS NULL")
-def clean_pretrain(spark, sf_dir):
-    return _pretrain(spark, sf_dir)[1].filter("reason is null").select("doc_id", "seq", F.col("y").alias("label"), "source")
-
-
-@query(_PRE + " SELECT doc_id, why AS reason FROM pre1 WHERE why IS NOT NULL UNION ALL SELECT doc_id, reason FROM pre3 WHERE reason IS NOT NULL")
-def pretrain_exclusions(spark, sf_dir):
-    rows, good = _pretrain(spark, sf_dir)
-    return rows.filter("why is not null").select("doc_id", F.col("why").alias("reason")).unionByName(good.filter("reason is not null").select("doc_id", "reason"))
-
-
-_LEAK = f"""
-pool AS (SELECT doc_id, seq, canonical, {_KMERS.format('seq')} AS kmers FROM canon WHERE role = 'pretrain' AND len(seq) >= 5),
-coreset AS (SELECT DISTINCT canonical AS seq, {_KMERS.format('canonical')} AS kmers FROM canon WHERE role = 'core' AND len(seq) >= 5),
-a AS (SELECT seq, len(kmers) AS n, unnest(kmers) AS kmer FROM (SELECT DISTINCT seq, kmers FROM pool) t),
-b AS (SELECT seq, len(kmers) AS n, unnest(kmers) AS kmer FROM coreset),
-near AS (SELECT DISTINCT x FROM (SELECT a.seq AS x, b.seq AS y, any_value(a.n) AS n, any_value(b.n) AS m, count(*) AS c FROM a JOIN b USING (kmer) GROUP BY a.seq, b.seq) t WHERE c / (n + m - c)::DOUBLE >= 0.8),
-leaks AS (SELECT p.doc_id, p.seq, CASE WHEN p.seq IN (SELECT seq FROM coreset) THEN 'exact_core_leakage' WHEN p.canonical IN (SELECT seq FROM coreset) THEN 'cyclic_rotation_core_leakage'
-   WHEN p.seq IN (SELECT x FROM near) THEN 'core_3mer_jaccard_ge_0.8' WHEN row_number() OVER (PARTITION BY p.seq ORDER BY p.doc_id) > 1 THEN 'duplicate_pretrain_sequence' END AS reason FROM pool p)
-"""
-
-
-def _leaks(spark, sf_dir):
-    docs = P.documents(spark, sf_dir).filter(F.length("seq") >= 5)
-    core = docs.filter("role = 'core'").select(S.canonical(F.col("seq")).alias("seq"))
-    return C.leak_reasons(docs.filter("role = 'pretrain'").select(F.col("doc_id").alias("ord"), "seq"), core)
-
-
-@query(_LEAK + " SELECT doc_id, reason FROM leaks")
-def leak_reasons(spark, sf_dir):
-    return _leaks(spark, sf_dir).select(F.col("ord").alias("doc_id"), "reason")
-
-
-@query(_LEAK + " SELECT coalesce(reason, 'kept') AS reason, count(*) AS n FROM leaks GROUP BY 1")
-def leak_counts(spark, sf_dir):
-    return _leaks(spark, sf_dir).groupBy(F.coalesce("reason", F.lit("kept")).alias("reason")).agg(F.count("*").alias("n"))
-
-
-@query(_LEAK + " SELECT x AS seq FROM near")
-def leak_jaccard(spark, sf_dir):
-    docs = P.documents(spark, sf_dir).filter(F.length("seq") >= 5)
-    return C.similar(docs.filter("role = 'pretrain'"), docs.filter("role = 'core'").select(S.canonical(F.col("seq")).alias("seq")))
-
-
-@query("SELECT p.doc_id FROM canon p WHERE role = 'pretrain' AND EXISTS (SELECT 1 FROM canon c WHERE c.role = 'core' AND c.seq = p.seq)")
-def leak_exact(spark, sf_dir):
-    docs = P.documents(spark, sf_dir)
-    return docs.filter("role = 'pretrain'").join(docs.filter("role = 'core'").select("seq"), "seq", "left_semi").select("doc_id")
-
-
-@query("SELECT p.doc_id FROM canon p WHERE role = 'pretrain' AND EXISTS (SELECT 1 FROM canon c WHERE c.role = 'core' AND c.canonical = p.canonical)")
-def leak_rotation(spark, sf_dir):
-    docs = P.documents(spark, sf_dir).withColumn("canonical", S.canonical(F.col("seq")))
-    return docs.filter("role = 'pretrain'").join(docs.filter("role = 'core'").select("canonical"), "canonical", "left_semi").select("doc_id")
-
-
-_CAP = """
-strata AS (SELECT doc_id, coalesce(CAST(label AS VARCHAR), '') || '|' || coalesce(source, '') || '|' || CASE WHEN len(seq) <= 10 THEN '05_10' WHEN len(seq) <= 20 THEN '11_20' WHEN len(seq) <= 40 THEN '21_40' ELSE '41_plus' END AS stratum FROM docs),
-ranked AS (SELECT *, row_number() OVER (PARTITION BY stratum ORDER BY sha256('42|' || doc_id), doc_id) AS rnd FROM strata)
-"""
-
-
-@query(_CAP + " SELECT doc_id, row_number() OVER (ORDER BY rnd, stratum) <= 300 AS selected FROM ranked")
-def stratified_cap(spark, sf_dir):
-    """The cap is the feature here: 300 rows are selected, all rows are returned."""
-    rows = P.documents(spark, sf_dir).select("doc_id", "label", "source", S.length_bin(F.col("seq")).alias("bin"))
-    return C.stratified_cap(rows, ["label", "source", "bin"], "doc_id", 300).select("doc_id", "selected")
-
-
-_FOLD = "CAST((row_number() OVER (PARTITION BY label ORDER BY sha256('{0}|' || canonical), canonical) - 1) % 3 AS INTEGER) AS fold_seed_{0}"
-
-
-@query("groups AS (SELECT canonical, max(label) AS label FROM canon WHERE label IS NOT NULL AND canonical IS NOT NULL GROUP BY canonical) SELECT canonical, label, " + ", ".join(_FOLD.format(s) for s in (42, 43, 44)) + " FROM groups")
-def fold_assign(spark, sf_dir):
-    groups = P.documents(spark, sf_dir).filter("label is not null").withColumn("canonical", S.canonical(F.col("seq"))).filter("canonical is not null").groupBy("canonical").agg(F.max("label").alias("label"))
-    return C.folds(groups, "label", "canonical")
-
-
-_SPLIT = "splits AS (SELECT *, CASE WHEN row_number() OVER (PARTITION BY source, label ORDER BY sha256('42|' || doc_id), doc_id) <= least(greatest(1, round_even(count(*) OVER (PARTITION BY source, label) * 0.1::DOUBLE, 0)), count(*) OVER (PARTITION BY source, label) - 1) THEN 'valid' ELSE 'train' END AS split FROM canon)"
-
-
-@query(_SPLIT + " SELECT doc_id, split FROM splits")
-def train_valid_split(spark, sf_dir):
-    return C.train_valid(P.documents(spark, sf_dir), ["source", "label"], "doc_id").select("doc_id", "split")
-
-
-@query(_SPLIT + " SELECT canonical, string_agg(DISTINCT split, ',' ORDER BY split) AS splits FROM splits WHERE canonical IS NOT NULL GROUP BY canonical HAVING count(DISTINCT split) > 1")
-def split_leak_audit(spark, sf_dir):
-    rows = C.train_valid(P.documents(spark, sf_dir), ["source", "label"], "doc_id").withColumn("canonical", S.canonical(F.col("seq"))).filter("canonical is not null")
-    return C.leaks_between(rows, "canonical")
-
-
-@query("SELECT label, source, role, count(*) AS n FROM docs GROUP BY GROUPING SETS ((label), (source), (role), (label, role), ())")
-def summary_counts(spark, sf_dir):
-    P.documents(spark, sf_dir).createOrReplaceTempView("sequoria_docs")
-    return spark.sql("SELECT label, source, role, count(*) AS n FROM sequoria_docs GROUP BY GROUPING SETS ((label), (source), (role), (label, role), ())")
-
-
-@query("SELECT source, sha256(string_agg(coalesce(canonical, '') || coalesce(CAST(label AS VARCHAR), ''), '' ORDER BY doc_id)) AS digest, count(DISTINCT canonical) AS n_distinct FROM canon GROUP BY source")
-def dataset_digest(spark, sf_dir):
-    """One digest a source, over its rows in order of id."""
-    rows = P.documents(spark, sf_dir).withColumn("canonical", S.canonical(F.col("seq")))
-    each = F.struct("doc_id", F.concat(F.coalesce("canonical", F.lit("")), F.coalesce(F.col("label").cast("string"), F.lit(""))).alias("t"))
-    joined = F.array_join(F.transform(F.array_sort(F.collect_list(each)), lambda r: r["t"]), "")
-    return rows.groupBy("source").agg(F.sha2(joined, 256).alias("digest"), F.countDistinct("canonical").alias("n_distinct"))
-
-
-def _charge_sql() -> str:
-    basic = [f"(len(seq) - len(replace(seq, '{a}', ''))) / {1 + 10 ** (7.0 - p)!r}::DOUBLE" for a, p in S.BASIC_PKA.items()]
-    acid = [f"(len(seq) - len(replace(seq, '{a}', ''))) / {1 + 10 ** (p - 7.0)!r}::DOUBLE" for a, p in S.ACIDIC_PKA.items()]
-    return "(" + " + ".join(basic) + " - " + " - ".join(acid) + ")"
-
-
-@query(f"SELECT doc_id, round({_charge_sql()}, 6) AS charge, round(({_sum_sql(S.HYDROPATHY)}) / len(seq), 6) AS hydropathy FROM docs WHERE seq <> ''")
-def charge_hydropathy(spark, sf_dir):
-    seq = F.col("seq")
-    return P.documents(spark, sf_dir).filter("seq <> ''").select("doc_id", F.round(S.net_charge(seq), 6).alias("charge"), F.round(S._total(seq, S.HYDROPATHY) / F.length(seq), 6).alias("hydropathy"))
-
-
-def _features_sql() -> str:
-    n = "len(seq)"
-    share = lambda letters: f"len(regexp_replace(seq, '[^{letters}]', '', 'g')) / {n}::DOUBLE"
-    cols = [f"CAST({n} AS DOUBLE)", f"{_sum_sql(S.RESIDUE_MASS)} + CASE cyclization_type WHEN 'head_to_tail' THEN 0.0::DOUBLE WHEN 'disulfide' THEN 18.01528::DOUBLE - 2.01588::DOUBLE ELSE 0.0::DOUBLE END", _charge_sql(), f"{_charge_sql()} / {n}", f"({_sum_sql(S.HYDROPATHY)}) / {n}", share("AILMFWVY"), share("FWY")]
-    cols += [share(a) for a in S.ALPHABET]
-    cols += [f"CAST(cyclization_type = '{c}' AS DOUBLE)" for c in S.CYCLIZATIONS] + ["CAST(cyclization_type NOT IN ('head_to_tail', 'disulfide', 'sidechain') AS DOUBLE)", "1.0::DOUBLE"]
-    names = [g for g, _ in S.GROUPS]
-    for a, b in S.PAIRS:
-        i, j = names.index(a), names.index(b)
-        cols.append(f"len(list_filter(range(1, {n} + 1), lambda k: substr(codes || substr(codes, 1, 1), CAST(k AS BIGINT), 2) IN ('{i}{j}', '{j}{i}'))) / {n}::DOUBLE")
-    letters = "".join(x for _, x in S.GROUPS)
-    digits = "".join(str(i) * len(x) for i, (_, x) in enumerate(S.GROUPS))
-    return "SELECT doc_id, " + ", ".join(f"round({c}, 6) AS {name}" for c, name in zip(cols, S.FEATURES, strict=True)) + f" FROM (SELECT *, translate(seq, '{letters}', '{digits}') AS codes FROM docs WHERE seq <> '') t"
-
-
-@query(_features_sql())
-def feature_row_53(spark, sf_dir):
-    rows = P.documents(spark, sf_dir).filter("seq <> ''").withColumn("codes", S.group_codes(F.col("seq")))
-    cols = S.feature_columns(F.col("seq"), F.col("cyclization_type"), F.lit(1), F.col("codes"))
-    return rows.select("doc_id", *[F.round(c, 6).alias(name) for c, name in zip(cols, S.FEATURES, strict=True)])
-
-
-@query("SELECT label, CAST(i AS INTEGER) AS pos, round(avg(embedding[i + 1]::DOUBLE), 6) AS mean FROM (SELECT label, embedding, unnest(range(0, len(embedding))) AS i FROM embeddings) t GROUP BY ALL")
-def vector_mean(spark, sf_dir):
-    return X.vector_mean(P.table(spark, sf_dir, "embeddings"), ["label"], "embedding").withColumn("mean", F.round("mean", 6))
-
-
-@query("SELECT vec_id, CAST(len(embedding) AS INTEGER) AS width, round(list_aggregate(list_transform(embedding, lambda x: x::DOUBLE * x::DOUBLE), 'sum'), 6) AS norm2, d.seq, d.cyclization_type || '|' || d.seq AS join_key FROM embeddings e JOIN docs d ON d.doc_id = e.vec_id WHERE d.seq <> ''")
-def fusion_align(spark, sf_dir):
-    """Embeddings and sequences by a verified key; vectors with missing or non-finite parts are dropped."""
-    vectors = P.table(spark, sf_dir, "embeddings").filter("forall(embedding, x -> x is not null and not isnan(x) and abs(x) < double('infinity'))")
-    docs = P.documents(spark, sf_dir).filter("seq <> ''").select(F.col("doc_id").alias("vec_id"), "seq", F.concat("cyclization_type", F.lit("|"), "seq").alias("join_key"))
-    norm = F.aggregate("embedding", F.lit(0.0), lambda s, x: s + x.cast("double") * x.cast("double"))
-    return vectors.join(docs, "vec_id").select("vec_id", F.size("embedding").alias("width"), F.round(norm, 6).alias("norm2"), "seq", "join_key")
-
-
-_CONF = "conf AS (SELECT model, count(*) FILTER (label = 0 AND score < 0.5) AS tn, count(*) FILTER (label = 0 AND score >= 0.5) AS fp, count(*) FILTER (label = 1 AND score < 0.5) AS fn, count(*) FILTER (label = 1 AND score >= 0.5) AS tp FROM scored GROUP BY model)"
-_MCC = "coalesce((tp * tn - fp * fn) / nullif(sqrt((tp + fp)::DOUBLE * (tp + fn) * (tn + fp) * (tn + fn)), 0), 0)"
-
-
-@query(_CONF + f" SELECT CAST(model AS INTEGER) AS model, tn, fp, fn, tp, round({_MCC}, 9) AS mcc, round(2 * tp / (2 * tp + fp + fn)::DOUBLE, 9) AS f1, round((tp + tn) / (tp + tn + fp + fn)::DOUBLE, 9) AS accuracy FROM conf")
-def confusion_mcc_f1(spark, sf_dir):
-    return X.confusion(P.scores(spark, sf_dir), ["model"]).withColumns({c: F.round(c, 9) for c in ("mcc", "f1", "accuracy")})
-
-
-@query("r AS (SELECT model, label, rank() OVER w + (count(*) OVER (PARTITION BY model, score) - 1) / 2.0::DOUBLE AS rk FROM scored WINDOW w AS (PARTITION BY model ORDER BY score)) SELECT CAST(model AS INTEGER) AS model, round((sum(rk) FILTER (label = 1) - sum(label) * (sum(label) + 1) / 2.0::DOUBLE) / (sum(label) * sum(1 - label))::DOUBLE, 9) AS roc_auc FROM r GROUP BY model")
-def roc_auc(spark, sf_dir):
-    return X.roc_auc(P.scores(spark, sf_dir), ["model"]).withColumn("roc_auc", F.round("roc_auc", 9))
-
-
-@query("s AS (SELECT model, score, sum(label) AS p, count(*) AS n FROM scored GROUP BY ALL), c AS (SELECT model, p, sum(p) OVER w / (sum(n) OVER w)::DOUBLE AS prec FROM s WINDOW w AS (PARTITION BY model ORDER BY score DESC)) SELECT CAST(model AS INTEGER) AS model, round(sum(p * prec) / sum(p)::DOUBLE, 9) AS average_precision FROM c GROUP BY model")
-def average_precision(spark, sf_dir):
-    return X.average_precision(P.scores(spark, sf_dir), ["model"]).withColumn("average_precision", F.round("average_precision", 9))
-
-
-@query("SELECT doc_id, round(avg(score), 9) AS score, count(*) AS n FROM scored GROUP BY doc_id")
-def oof_average(spark, sf_dir):
-    return P.scores(spark, sf_dir).groupBy("doc_id").agg(F.round(F.avg("score"), 9).alias("score"), F.count("*").alias("n"))
-
-
-@query("SELECT source, round(avg(score), 9) AS mean, round(coalesce(stddev_samp(score), 0), 9) AS std, round(quantile_cont(score, 0.025), 9) AS low, round(quantile_cont(score, 0.975), 9) AS high, round(median(score), 9) AS mid FROM scored GROUP BY source")
-def fold_summary(spark, sf_dir):
-    return P.scores(spark, sf_dir).groupBy("source").agg(F.round(F.avg("score"), 9).alias("mean"), F.round(F.coalesce(F.stddev_samp("score"), F.lit(0.0)), 9).alias("std"), F.round(F.percentile("score", 0.025), 9).alias("low"), F.round(F.percentile("score", 0.975), 9).alias("high"), F.round(F.percentile("score", 0.5), 9).alias("mid"))
-
-
-@query("""each AS (SELECT source, count(*) FILTER (label = 0 AND score < 0.5) AS tn, count(*) FILTER (label = 0 AND score >= 0.5) AS fp, count(*) FILTER (label = 1 AND score < 0.5) AS fn, count(*) FILTER (label = 1 AND score >= 0.5) AS tp FROM scored WHERE model = 0 GROUP BY source),
-numbered AS (SELECT *, row_number() OVER (ORDER BY source) - 1 AS i, count(*) OVER () AS g FROM each),
-draws AS (SELECT r, CAST('0x' || substr(sha256('42|' || r || '|' || k), 1, 12) AS BIGINT) % (SELECT max(g) FROM numbered) AS i FROM range(200) a(r), range((SELECT max(g) FROM numbered)) b(k))
-SELECT r, CAST(sum(tn) AS BIGINT) AS tn, CAST(sum(fp) AS BIGINT) AS fp, CAST(sum(fn) AS BIGINT) AS fn, CAST(sum(tp) AS BIGINT) AS tp FROM draws JOIN numbered USING (i) GROUP BY r""")
-def bootstrap_counts(spark, sf_dir):
-    return X.bootstrap(P.scores(spark, sf_dir).filter("model = 0"), "source", 200)
-
-
-@query("SELECT event_type, CAST(json_extract(props, '$.k') AS BIGINT) AS k, count(*) AS n FROM events GROUP BY ALL")
-def json_extract(spark, sf_dir):
-    return P.table(spark, sf_dir, "events").select("event_type", F.from_json("props", "k bigint")["k"].alias("k")).groupBy("event_type", "k").agg(F.count("*").alias("n"))
-
-
-_AVAILABLE = "(CASE WHEN coalesce(m0, 0) >= 0.5 THEN 1 ELSE 0 END + CASE WHEN coalesce(m1, 0) >= 0.5 THEN 1 ELSE 0 END + CASE WHEN coalesce(m2, 0) >= 0.5 THEN 1 ELSE 0 END + CASE WHEN coalesce(lora, 0) >= 0.5 THEN 1 ELSE 0 END)"
-_RULES = f"CASE WHEN coalesce(m2 >= 0.7, false) AND {_AVAILABLE} >= 3 THEN 'priority' WHEN m2 IS NULL AND coalesce(lora >= 0.7, false) AND (coalesce(m0, 0) >= 0.5 OR coalesce(m1, 0) >= 0.5) THEN 'consider' ELSE 'not_recommended' END"
-
-
-@query(f"wide AS (SELECT doc_id, max(score) FILTER (model = 0) AS m0, max(score) FILTER (model = 1) AS m1, CASE WHEN doc_id % 2 = 0 THEN max(score) FILTER (model = 2) END AS m2, 1 - max(score) FILTER (model = 0) AS lora FROM scored GROUP BY doc_id) SELECT doc_id, {_RULES} AS advice FROM wide")
-def recommend_rules(spark, sf_dir):
-    """Scores that are missing stay null and never count as 0; every other m2 score is missing here."""
-    rows = P.scores(spark, sf_dir).groupBy("doc_id").agg(*[F.max(F.when(F.col("model") == k, F.col("score"))).alias(f"m{k}") for k in range(3)])
-    rows = rows.withColumns({"m2": F.when(F.col("doc_id") % 2 == 0, F.col("m2")), "lora": 1 - F.col("m0")})
-    return rows.select("doc_id", F.expr(_RULES).alias("advice"))
-
-
-@query("""m AS (SELECT median(CASE WHEN label IS NOT NULL THEN len(seq)::DOUBLE END) AS med FROM docs), f AS (SELECT doc_id, coalesce(CASE WHEN label IS NOT NULL THEN len(seq)::DOUBLE END, med) AS x FROM docs, m),
-s AS (SELECT avg(x) AS mu, stddev_pop(x) AS sd FROM f) SELECT doc_id, round(x, 6) AS filled, round(coalesce((x - mu) / nullif(sd, 0), 0), 6) AS scaled FROM f, s""")
-def impute_scale(spark, sf_dir):
-    """Median of the known values for the missing ones, then population scaling."""
-    rows = P.documents(spark, sf_dir).select("doc_id", F.when(F.col("label").isNotNull(), F.length("seq").cast("double")).alias("x"))
-    rows = rows.crossJoin(F.broadcast(rows.agg(F.percentile("x", 0.5).alias("med")))).withColumn("x", F.coalesce("x", "med"))
-    out = rows.crossJoin(F.broadcast(rows.agg(F.avg("x").alias("mu"), F.stddev_pop("x").alias("sd"))))
-    return out.select("doc_id", F.round("x", 6).alias("filled"), F.round(F.coalesce(F.try_divide(F.col("x") - F.col("mu"), "sd"), F.lit(0.0)), 6).alias("scaled"))
-
-
-@query("""SELECT source, count(*) AS n, count(*) FILTER (toxic = 0) AS ok, count(*) FILTER (label = 1) AS positive,
-  array_to_string(list_filter([CASE WHEN count(*) FILTER (toxic = 0) / count(*)::DOUBLE < 0.7 THEN 'success_rate_below_70_percent' END, CASE WHEN count(*) < 50 THEN 'fewer_than_50_rows' END, CASE WHEN least(count(*) FILTER (label = 1), count(*) FILTER (label = 0)) < 15 THEN 'minority_below_15' END], lambda x: x IS NOT NULL), ',') AS reasons
-  FROM docs WHERE label IS NOT NULL GROUP BY source""")
-def structure_gate(spark, sf_dir):
-    rows = P.documents(spark, sf_dir).filter("label is not null")
-    out = rows.groupBy("source").agg(F.count("*").alias("n"), F.count_if(F.col("toxic") == 0).alias("ok"), F.count_if(F.col("label") == 1).alias("positive"), F.count_if(F.col("label") == 0).alias("negative"))
-    reasons = F.array(F.when(F.col("ok") / F.col("n") < 0.7, "success_rate_below_70_percent"), F.when(F.col("n") < 50, "fewer_than_50_rows"), F.when(F.least("positive", "negative") < 15, "minority_below_15"))
-    return out.select("source", "n", "ok", "positive", F.array_join(F.filter(reasons, lambda x: x.isNotNull()), ",").alias("reasons"))
-
-
-@query("SELECT source, CAST(arg_min(model, (-n, model)) AS INTEGER) AS model FROM (SELECT source, model, count(*) FILTER (score >= 0.5) AS n FROM scored GROUP BY ALL) t GROUP BY source")
-def family_consensus(spark, sf_dir):
-    """The most frequent choice, ties by fixed order."""
-    votes = P.scores(spark, sf_dir).groupBy("source", "model").agg(F.count_if(F.col("score") >= 0.5).alias("n"))
-    return votes.groupBy("source").agg(F.min_by("model", F.struct(-F.col("n"), F.col("model"))).cast("int").alias("model"))
-
-
-@query("SELECT r_name AS domain, string_agg(DISTINCT n_name, '##' ORDER BY n_name) AS names, count(*) AS n FROM nation JOIN region ON r_regionkey = n_regionkey GROUP BY r_name")
-def set_collect(spark, sf_dir):
-    nation, region = (P.table(spark, sf_dir, t) for t in ("nation", "region"))
-    return nation.join(region, nation.n_regionkey == region.r_regionkey).groupBy(F.col("r_name").alias("domain")).agg(F.array_join(F.array_sort(F.collect_set("n_name")), "##").alias("names"), F.count("*").alias("n"))
-
-
-@query("""taxa AS (SELECT n_nationkey AS tax_id, lower(n_name) AS name, r_name AS domain FROM nation JOIN region ON r_regionkey = n_regionkey),
-targets AS (SELECT s_suppkey, s_nationkey FROM supplier)
-SELECT s_suppkey, coalesce(domain, '') AS domain, CASE WHEN domain = 'EUROPE' THEN 'kept' WHEN domain IS NULL THEN 'target_missing_from_mapping' ELSE 'classification.domain.name_is_not_Bacteria' END AS status FROM targets LEFT JOIN taxa ON tax_id = s_nationkey""")
-def taxonomy_partition(spark, sf_dir):
-    """Rows split by the domain of their mapped target, with the audit reason; EUROPE stands for the kept domain."""
-    nation, region = (P.table(spark, sf_dir, t) for t in ("nation", "region"))
-    taxa = nation.join(region, nation.n_regionkey == region.r_regionkey).select(F.col("n_nationkey").alias("s_nationkey"), F.col("r_name").alias("domain"))
-    rows = P.table(spark, sf_dir, "supplier").join(taxa, "s_nationkey", "left")
-    return rows.select("s_suppkey", F.coalesce("domain", F.lit("")).alias("domain"), F.when(F.col("domain") == "EUROPE", "kept").when(F.col("domain").isNull(), "target_missing_from_mapping").otherwise("classification.domain.name_is_not_Bacteria").alias("status"))
-
-
-@query("SELECT doc_id, seq, len(seq) AS n FROM docs WHERE seq <> '' ORDER BY len(seq), doc_id LIMIT 20")
-def shortest_first(spark, sf_dir):
-    """A top-k report: the 20 shortest sequences, ties by id."""
-    return P.documents(spark, sf_dir).filter("seq <> ''").select("doc_id", "seq", F.length("seq").cast("long").alias("n")).orderBy("n", "doc_id").limit(20)
-
-
-@query("SELECT DISTINCT lower(trim(event_type)) AS target FROM events")
-def distinct_targets(spark, sf_dir):
-    return P.table(spark, sf_dir, "events").select(F.lower(F.trim("event_type")).alias("target")).distinct()
+__all__ = ["cleaning_queries", "oracle_sql", "queries", "sequence_queries", "split_queries"]
