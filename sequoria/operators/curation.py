@@ -111,8 +111,8 @@ def hashed_rank(rows: DataFrame, by: list[str], h: Column, key: str, name: str)
     running sum of the ranges' counts gives where each begins.
     """
     rows = rows.withColumn("_h", h).withColumn("_range", F.substring("_h", 1, 3))
-    counts = rows.groupBy(*by, "_range").agg(F.count("*").alias("_n"))
-    starts = counts.withColumn("_start", F.sum("_n").over(Window.partitionBy(*by).orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)))
+    counts = rows.groupBy(*by, "_range").agg(F.count("*").alias("_held"))
+    starts = counts.withColumn("_start", F.sum("_held").over(Window.partitionBy(*by).orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)))
     starts = starts.select(*[F.col(c).alias(f"_by_{c}") for c in by], F.col("_range").alias("_at"), F.coalesce("_start", F.lit(0)).alias("_start"))
     same = F.col("_range") == F.col("_at")
     for c in by:
