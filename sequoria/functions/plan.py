@@ -2,7 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+import tempfile
+import uuid
+from pathlib import Path
+
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
@@ -24,3 +28,20 @@ def dealt(df: DataFrame, *keys: str) -> DataFrame:
     session = df.sparkSession
     n = max(session.sparkContext.defaultParallelism, int(session.conf.get("spark.sql.shuffle.partitions")))
     return df.repartition(n, *keys)
+
+
+def importable(spark: SparkSession) -> None:
+    """Puts this package's folder on the path of Python workers that start from now on."""
+    root, env = str(Path(__file__).resolve().parents[2]), spark.sparkContext.environment
+    if root not in env.get("PYTHONPATH", "").split(":"):
+        env["PYTHONPATH"] = ":".join(x for x in (root, env.get("PYTHONPATH", "")) if x)
+
+
+def scratch(spark: SparkSession, name: str) -> str:
+    """A new folder in the shared folder of the session (spark.checkpoint.dir); a local session may do without one."""
+    at = spark.conf.get("spark.checkpoint.dir", None)
+    if not at:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that all machines share")
+        at = "file://" + tempfile.mkdtemp(prefix="sequoria-")
+    return f"{at.rstrip('/')}/sequoria/{name}-{uuid.uuid4().hex}"

@@ -92,9 +92,9 @@ def group_splits(rows: DataFrame, group: str, label: str = "label", n: int = 3,
 def inner_folds(rows: DataFrame, by: list[str], group: str, requested: int = 3, label: str = "label") -> DataFrame:
     """(by, folds): how many grouped folds are feasible: at most as many as requested, as groups, and as groups of each
     class; null under two."""
-    counts = rows.groupBy(*by).agg(F.countDistinct(group).alias("all"), F.countDistinct(F.when(F.col(label) == 0, F.col(group))).alias("no"), F.countDistinct(F.when(F.col(label) == 1, F.col(group))).alias("yes"))
+    counts = rows.groupBy(*by).agg(F.countDistinct(group).alias("_all"), F.countDistinct(F.when(F.col(label) == 0, F.col(group))).alias("_no"), F.countDistinct(F.when(F.col(label) == 1, F.col(group))).alias("_yes"))
     some = lambda c: F.when(F.col(c) > 0, F.col(c))
-    least = F.least(F.lit(requested).cast("long"), F.col("all"), some("no"), some("yes"))
+    least = F.least(F.lit(requested).cast("long"), F.col("_all"), some("_no"), some("_yes"))
     return counts.select(*by, F.when(least >= 2, least).cast("int").alias("folds"))
 
 

@@ -65,8 +65,11 @@ def mappings(targets: DataFrame) -> DataFrame:
 
 def verified_rows(rows: DataFrame, mapped: DataFrame) -> DataFrame:
     """rows (target_species, ...) with the taxonomy_ columns of their mapping and `kept`: bacterial, and said to be so.
-    Of several mappings of a target, any one holds; targets without one are audited. Rows are never dropped here."""
-    once = mapped.dropDuplicates(["target_species"]).select("target_species", *[F.col(c).alias(f"taxonomy_{c}") for c in MAPPED])
+    Of several mappings of a target the last by ord holds, if they have one, else the greatest; targets without one are
+    audited. Rows are never dropped here."""
+    held = F.struct(*MAPPED)
+    once = mapped.groupBy("target_species").agg(F.max_by(held, "ord").alias("m") if "ord" in mapped.columns else F.max(held).alias("m"))
+    once = once.select("target_species", *[F.col(f"m.{c}").alias(f"taxonomy_{c}") for c in MAPPED])
     out = rows.join(once, "target_species", "left")
     lost = {"taxonomy_status": "unmatched", "taxonomy_audit_reason": "target_missing_from_mapping"}
     out = out.withColumns({f"taxonomy_{c}": F.coalesce(f"taxonomy_{c}", F.lit(lost.get(f"taxonomy_{c}", ""))) for c in MAPPED})
