@@ -10,6 +10,7 @@ from __future__ import annotations
 
 import base64
 import hashlib
+from bisect import bisect_left
 from collections.abc import Iterator
 
 import numpy as np
@@ -111,18 +112,18 @@ def stitch(n: int, marks: list[list[int]], starts: list[int], again) -> list[int
     out = list(marks[0]) or [0]
     for k in range(1, len(marks)):
         seen = set(marks[k])
-        while not (common := [x for x in out if x >= starts[k] and x in seen]):
-            if out[-1] >= n:
+        while True:
+            common = next((x for x in out[bisect_left(out, starts[k]) :] if x in seen), None)
+            if common is not None or out[-1] >= n:
                 break
             more = again(out[-1])  # the earlier chunk reads on
             if not more or more[-1] <= out[-1]:
                 break
             out += more[1:]
-        if not common:
+        if common is None:
             continue
-        at = common[0]
-        out = [x for x in out if x < at] if out[-1] != at else out[:-1]
-        out += [x for x in marks[k] if x >= at]
+        del out[bisect_left(out, common) :]
+        out += marks[k][bisect_left(marks[k], common) :]
     return out
 
 

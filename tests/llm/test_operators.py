@@ -264,3 +264,64 @@ def test_language_keeps_marks_of_every_script(spark):
     model = {"en": english * 20, "hi": hindi * 20, "th": thai * 20, "zh": chinese * 20}
     df = spark.createDataFrame([(1, "यह हिन्दी है"), (2, "ภาษาไทย"), (3, "今天去学校"), (4, "plain words"), (5, chinese * 2000)], "doc_id long, text string")
     assert [r.lang_pred for r in langid.identify(df, model).orderBy("doc_id").collect()] == ["hi", "th", "zh", "en", "zh"]
+
+
+def test_vectors_over_many_shards(spark, monkeypatch):
+    """Planted near copies across shards of one label, and a label without any."""
+    monkeypatch.setattr(hnsw, "SHARD", 64)
+    r = np.random.default_rng(8)
+    base = r.normal(size=(200, 16))
+    x = np.vstack([base, base[:60] + 0.02 * r.normal(size=(60, 16)), np.repeat(base[:1], 40, axis=0)])
+    rows = [(i, [float(a) for a in v], 0) for i, v in enumerate(x)] + [(1000 + i, [float(a) for a in v], 1) for i, v in enumerate(r.normal(size=(150, 16)))]
+    rows += [(5, rows[5][1], 0), (2000, [float("inf")] + [1.0] * 15, 0), (2001, [1.0] * 16, None), (None, [1.0] * 16, 0)]
+    got = hnsw.near_duplicates(spark.createDataFrame([(*q, 7) for q in rows], "vec_id long, embedding array<float>, label int, kept int")).collect()
+    by = {g.vec_id: g for g in got}
+    u = x.astype(np.float32).astype(float)
+    u /= np.linalg.norm(u, axis=1)[:, None]
+    links = u @ u.T >= 0.98
+    np.fill_diagonal(links, False)
+    assert len(got) == len(rows) and [by[i].n_links for i in range(len(x))] == links.sum(1).tolist()
+    assert all(by[i].n_links == 0 and by[i].kept for i in (1003, 2000, 2001)) and not by[None].kept
+    assert hnsw.near_duplicates(spark.createDataFrame([], "vec_id long, embedding array<float>, label int")).count() == 0
+
+
+def test_near_duplicates_against_all_pairs(spark):
+    """Pairs on both sides of 0.85, among short and long texts, against all pairs of full sets."""
+    r = random.Random(4)
+    rows = []
+    for g in range(12):
+        base = [f"g{g}w{i}" for i in range(r.choice([12, 40, 104, 200]))]
+        for k in range(4):
+            n = r.randrange(0, max(2, len(base) // 10))
+            rows.append((len(rows), " ".join(base[: len(base) - n] + [f"x{g}{k}{j}" for j in range(n)])))
+    sets = {i: shingles(t) for i, t in rows}
+    root = {i: i for i in sets}
+    find = lambda i: i if root[i] == i else find(root[i])
+    for i in sets:
+        for j in sets:
+            if i < j and 100 * len(sets[i] & sets[j]) >= 85 * len(sets[i] | sets[j]):
+                a, b = sorted((find(i), find(j)))
+                root[b] = a
+    got = {q.doc_id: q for q in hyperminhash.near_duplicates(spark.createDataFrame([(*q, "x") for q in rows], "doc_id long, text string, component_id string")).collect()}
+    assert {i: got[i].component_id for i in sets} == {i: find(i) for i in sets}
+
+
+def test_quality_of_a_table(spark):
+    good, bad = [text(k, 40) for k in range(60)], ["SHOUT!! " * (20 + k) for k in range(60)]
+    rows = [(i, t) for i, t in enumerate(good + bad)] + [(500, None), (501, ""), (3, good[3])]
+    labels = spark.createDataFrame([(i, int(i < 60), 0) for i in range(0, 120, 2)] + [(None, 1, 0), (1, None, 0)], "doc_id long, quality int, toxic int")
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    out = quality.classify(docs, quality.train(docs, quality.graded(labels))).collect()
+    assert len(out) == len(rows) and all(0 <= q.tail_probability <= 1 for q in out)
+    held_out = [q for q in out if q.doc_id < 120 and q.doc_id % 2]
+    assert sum(q.selected == (q.doc_id < 60) for q in held_out) > 0.95 * len(held_out)
+    assert quality.classify(docs.limit(0), quality.train(docs, quality.graded(labels))).count() == 0
+
+
+def test_urls_learn_from_other_rows_only(spark):
+    urls = [f"http://h{i}.net/es/{i}" for i in range(40)] + [f"http://h{i}.com/{i}" for i in range(40)] + ["http://h.org/a"] * 2
+    got = urlfilter.judge(spark.createDataFrame([(i, u, "x") for i, u in enumerate(urls)], "page_id long, url string, rule string")).collect()
+    assert len(got) == len(urls)
+    by = {q.page_id: q for q in got}
+    assert all(by[i].verdict == "block" for i in range(40)) and all(by[i].verdict == "allow" for i in range(40, 80))
+    assert by[80].verdict == by[81].verdict and urlfilter.judge(spark.createDataFrame([], "page_id long, url string")).count() == 0
