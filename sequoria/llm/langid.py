@@ -230,7 +230,9 @@ def samples(docs: DataFrame, learn: Column, chars: int = SAMPLE_CHARS, n_docs: i
     letter, by order of a hash, cut to equal parts from their first letter on. A label with such a text is never lost. The bound is (labels x chars), at most SAMPLE_TOTAL in all."""
     known = docs.filter(learn).filter(F.col("lang").isNotNull() & F.col("text").rlike(r"\p{L}")).select("lang", "text", F.xxhash64("text").alias("h"))
     # copies count once; each task passes on its least hashes only, before the rows of a label meet
-    first = known.select("lang", "h").distinct().withColumn("k", F.row_number().over(Window.partitionBy("lang").orderBy("h"))).filter(F.col("k") <= n_docs)
+    first = known.select("lang", "h", F.shiftright("h", 58).alias("part")).distinct()
+    for by in (["lang", "part"], ["lang"]):  # 64 ranges of hashes first, so that a common language meets in small numbers
+        first = first.withColumn("k", F.row_number().over(Window.partitionBy(*by).orderBy("h"))).filter(F.col("k") <= n_docs)
     near = known.join(small_side(materialize(first.select("lang", "h"), "least")), ["lang", "h"])
     each = max(1, chars // min(n_docs, 16))
     start = F.regexp_replace("text", r"^[^\p{L}]+", "")
