@@ -18,40 +18,69 @@ def _size_class(m: Column) -> Column:
 
 
 def _signatures(sides: DataFrame, threshold: float, all_parts: bool) -> DataFrame:
-    """(class, part, signature, seq) for rows of seq, kmers and classes. k-mers are dealt to the parts of a class by
-    hash, and a part's signature is of the set that it got."""
+    """(id, bits, n, class, part, sign) for rows of those with kmers and classes. k-mers are dealt to the parts of a class by hash,
+    and a part's sign is of the set that it got. Not all parts: only as many as the two sets may differ by, and one
+    more, those with the most k-mers."""
     apart = F.floor(F.col("class") * ((1 - threshold) / threshold) + 1e-9).cast("int")  # the most that two sets of it may differ by
-    spare = F.call_function("div", apart, F.lit(4)).cast("int") + 1
-    each = sides.select("seq", F.explode_outer("classes").alias("class"), "kmers").withColumn("parts", apart + 1 + spare).withColumn("spare", spare)
-    each = each.select("seq", "class", "parts", "spare", F.explode_outer("kmers").alias("kmer"))
-    each = each.groupBy("seq", "class", "parts", "spare", F.pmod(F.xxhash64("kmer"), F.col("parts")).cast("int").alias("part")).agg(F.bit_xor(F.xxhash64("kmer", F.lit(1))).alias("sign"))
-    held = each.groupBy("seq", "class", "parts", "spare").agg(F.collect_list(F.struct("part", "sign")).alias("got"))
-    empty = F.transform(F.array_except(F.sequence(F.lit(0), F.col("parts") - 1), F.col("got.part")), lambda k: F.struct(k.alias("part"), F.lit(0).cast("long").alias("sign")))
-    shown = F.concat("got", empty) if all_parts else F.when(F.size(empty) > F.col("spare"), F.concat("got", empty)).otherwise(F.col("got"))
-    return held.select("seq", "class", F.inline(shown))
+    spare = F.call_function("div", apart, F.lit(2)).cast("int") + 1
+    keys = [*_ID, *_BITS, "n", "class", "apart", "parts"]
+    each = sides.select(*_ID, *_BITS, "n", F.explode_outer("classes").alias("class"), "kmers").withColumn("apart", apart).withColumn("parts", apart + 1 + spare)
+    each = each.select(*keys, F.explode_outer("kmers").alias("kmer"))
+    each = each.groupBy(*keys, F.pmod(F.xxhash64("kmer"), F.col("parts")).cast("int").alias("part")).agg((-F.count("*")).alias("less"), F.bit_xor(F.xxhash64("kmer", F.lit(1))).alias("sign"))
+    held = each.groupBy(*keys).agg(F.collect_list(F.struct("less", "part", "sign")).alias("got"))
+    empty = F.transform(F.array_except(F.sequence(F.lit(0), F.col("parts") - 1), F.col("got.part")), lambda k: F.struct(F.lit(0).cast("long").alias("less"), k.alias("part"), F.lit(0).cast("long").alias("sign")))
+    whole = F.concat("got", empty)
+    shown = whole if all_parts else F.slice(F.array_sort(whole), F.lit(1), F.col("apart") + 1)
+    return held.select(*_ID, *_BITS, "n", "class", F.inline(shown)).drop("less")
 
 
-def similar(left: DataFrame, right: DataFrame, threshold: float = 0.8, k: int = 3) -> DataFrame:
-    """Distinct sequences of left (seq) that have one in right (seq) of k-mer Jaccard `threshold` or more.
+#: Two hashes that name a sequence, and 256 bits that its k-mers set.
+_ID, _BITS = ("id_a", "id_b"), ("bits0", "bits1", "bits2", "bits3")
+
+
+def _sketched(df: DataFrame) -> DataFrame:
+    """df (seq, kmers) with n, its name by hashes and its bits."""
+    df = df.withColumns({"n": F.size("kmers"), "id_a": F.xxhash64("seq"), "id_b": F.hash("seq"), "_at": F.transform("kmers", lambda x: F.pmod(F.xxhash64(x, F.lit(2)), F.lit(256)).cast("int"))})
+    word = lambda w: F.aggregate(F.filter("_at", lambda i: F.shiftright(i, 6) == w), F.lit(0).cast("long"), lambda s, i: s.bitwiseOR(F.call_function("shiftleft", F.lit(1).cast("long"), i.bitwiseAND(F.lit(63)))))
+    return df.withColumns({name: word(w) for w, name in enumerate(_BITS)}).drop("_at")
+
 
-    Exact. Two such sets differ by at most a share of their size. Dealt into more parts than that, at least one part
-    is the same in both; with spare parts it is one that is not empty, unless a set leaves more parts empty than
-    that. So an equal join on whole parts (several k-mers each) finds all pairs, and no frequent k-mer is a key by
-    itself. What is found is verified on the full sets.
+def similar_pairs(left: DataFrame, right: DataFrame, threshold: float = 0.8) -> DataFrame:
+    """(seq, other): pairs of rows of left and right (seq, kmers; seq not repeated) whose sets of k-mers have a Jaccard of
+    `threshold` or more.
+
+    Exact. Two such sets differ by at most a share of their size, d. Dealt into d + 1 parts and some spare ones, more
+    parts are the same in both than there are spare ones; so one of any d + 1 parts is, and the left side offers those
+    with the most k-mers. An equal join on whole parts finds all pairs, and no frequent k-mer is a key by itself. Pairs
+    whose bits differ too much are dropped in the join; the others are verified on the full sets.
     """
     if not 0 < threshold <= 1:
         raise ValueError("threshold must be over 0 and at most 1")
-    sides = [df.select("seq").filter("seq is not null and seq <> ''").distinct() for df in (left, right)]
-    sides = [dealt(df).withColumn("kmers", S.kmers(F.col("seq"), k)).withColumn("n", F.size("kmers")) for df in sides]
+    sides = [_sketched(df.select("seq", "kmers")) for df in (left, right)]
     sizes = F.sequence(F.ceil(F.col("n") * threshold - 1e-9).cast("int"), F.floor(F.col("n") / threshold + 1e-9).cast("int"))
     a = _signatures(sides[0].withColumn("classes", F.array_distinct(F.transform(sizes, _size_class))), threshold, False)
     b = _signatures(sides[1].withColumn("classes", F.array(_size_class(F.col("n")))), threshold, True)
-    pairs = dealt(a.join(b.withColumnRenamed("seq", "other"), ["class", "part", "sign"]).select("seq", "other").distinct())
-    # short k-mers as whole numbers, made once a sequence: their sets are compared without objects
+    b = b.select("class", "part", "sign", F.col("n").alias("m"), *[F.col(c).alias(f"other_{c}") for c in (*_ID, *_BITS)])
+    # sets differ by a k-mer at least for each bit that one of them alone has set
+    gap = sum((F.bit_count(F.col(c).bitwiseXOR(F.col(f"other_{c}"))) for c in _BITS), F.lit(0))
+    near = gap <= (F.col("n") + F.col("m")) * ((1 - threshold) / (1 + threshold)) + 1e-9
+    pairs = dealt(a.join(b, ["class", "part", "sign"]).filter(near).select(*_ID, *[f"other_{c}" for c in _ID]).distinct())
+    ours = sides[0].select(*_ID, "seq", F.col("kmers").alias("k_own"))
+    theirs = sides[1].select(*[F.col(c).alias(f"other_{c}") for c in _ID], F.col("seq").alias("other"), F.col("kmers").alias("k_other"))
+    both = pairs.join(ours, list(_ID)).join(theirs, [f"other_{c}" for c in _ID]).withColumn("shared", F.size(F.array_intersect("k_own", "k_other")))
+    return both.filter(F.col("shared") / (F.size("k_own") + F.size("k_other") - F.col("shared")) >= threshold).select("seq", "other")
+
+
+def with_kmers(rows: DataFrame, k: int = 3) -> DataFrame:
+    """Distinct seq of rows that are not empty, with their k-mers; short ones as whole numbers, whose sets are compared
+    without objects."""
     coded = (lambda x: F.conv(F.hex(x), 16, 10).cast("long")) if k <= 3 else (lambda x: x)
-    ours, theirs = [df.select(F.col("seq").alias(name), F.transform("kmers", coded).alias(f"k_{name}")) for df, name in zip(sides, ("seq", "other"), strict=True)]
-    both = pairs.join(ours, "seq").join(theirs, "other").withColumn("shared", F.size(F.array_intersect("k_seq", "k_other")))
-    return both.filter(F.col("shared") / (F.size("k_seq") + F.size("k_other") - F.col("shared")) >= threshold).select("seq").distinct()
+    return dealt(rows.select("seq").filter("seq is not null and seq <> ''").distinct()).withColumn("kmers", F.transform(S.kmers(F.col("seq"), k), coded))
+
+
+def similar(left: DataFrame, right: DataFrame, threshold: float = 0.8, k: int = 3) -> DataFrame:
+    """Distinct sequences of left (seq) that have one in right (seq) of k-mer Jaccard `threshold` or more."""
+    return similar_pairs(with_kmers(left, k), with_kmers(right, k), threshold).select("seq").distinct()
 
 
 def leak_reasons(pretrain: DataFrame, core: DataFrame, threshold: float = 0.8) -> DataFrame:
