@@ -285,6 +285,28 @@ def test_vectors_over_many_shards(spark, monkeypatch):
     assert hnsw.near_duplicates(spark.createDataFrame([], "vec_id long, embedding array<float>, label int")).count() == 0
 
 
+@pytest.mark.parametrize("same", [True, False])
+def test_graph_links_against_all_pairs(same):
+    """A large group, small ones and single vectors, within a shard and between two."""
+    r = np.random.default_rng(11)
+    base = r.normal(size=(1500, 24))
+    x = np.vstack([base, base[:1] + 0.05 * r.normal(size=(700, 24)), base[5:300] + 0.03 * r.normal(size=(295, 24))])
+    x = r.permutation(x / np.linalg.norm(x, axis=1)[:, None])
+    own, queries = (x, x) if same else (x[::2], x[1::2])
+    got = np.zeros((len(queries), len(own)), int)
+    for rows, cols, linked in hnsw.links_of(hnsw.Graph(own), own, queries, 0.98, same):
+        got[np.ix_(rows, cols)] += linked
+    want = queries @ own.T >= 0.98
+    assert got.max() == 1 and got.sum() >= 0.999 * want.sum() and not got[~want].any()
+    assert not same or (got == got.T).all()
+
+
+def test_vectors_of_extreme_sizes_and_widths(spark):
+    rows = [(1, [1e300, 1e300], 0), (2, [1e-300, 1e-300], 0), (3, [5.0], 0), (4, [7.0], 0), (5, [-2.0], 0), (6, [1.0, -1.0], 0), (7, [7.0], 0), (8, [], 0), (9, [7.0, None], 0)]
+    got = {g.vec_id: (g.n_links, g.component_id) for g in hnsw.near_duplicates(spark.createDataFrame(rows, "vec_id long, embedding array<double>, label int")).collect()}
+    assert got == {1: (1, 1), 2: (1, 1), 3: (2, 3), 4: (2, 3), 5: (0, 5), 6: (0, 6), 7: (2, 3), 8: (0, 8), 9: (0, 9)}
+
+
 def test_near_duplicates_against_all_pairs(spark):
     """Pairs on both sides of 0.85, among short and long texts, against all pairs of full sets."""
     r = random.Random(4)
