@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, fingerprint, hnsw, hyperminhash, langid, licenses, mixing, ppm, quality, urlfilter
+from . import bpe, fingerprint, hnsw, hyperminhash, langid, licenses, merkle, mixing, ppm, quality, urlfilter
 from .common import crc_mod, table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -58,10 +58,14 @@ def op10_boosted_urls(spark: SparkSession, sf_dir: str) -> DataFrame:
     return urlfilter.judge(table(spark, sf_dir, "pages"))
 
 
+def op13_mountain_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return merkle.manifest(table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict[str, Query]:
-    return {f.__name__: f for f in (op1_byte_bpe, op2_hnsw, op3_hyperminhash, op4_one_permutation, op5_cross_parsing, op6_ppm, op7_license_digests, op8_hash_mix, op9_ordinal_quality, op10_boosted_urls)}
+    return {f.__name__: f for f in (op1_byte_bpe, op2_hnsw, op3_hyperminhash, op4_one_permutation, op5_cross_parsing, op6_ppm, op7_license_digests, op8_hash_mix, op9_ordinal_quality, op10_boosted_urls, op13_mountain_manifest)}
 
 
 def oracle_sql() -> dict[str, str]:
-    """op7 and op8 whole; the others' results are not expressible, and are tested against plain implementations."""
-    return {"op7_license_digests": licenses.ORACLE_SQL, "op8_hash_mix": mixing.ORACLE_SQL}
+    """op7, op8 and op13 whole; the others' results are not expressible, and are tested against plain implementations."""
+    return {"op7_license_digests": licenses.ORACLE_SQL, "op8_hash_mix": mixing.ORACLE_SQL, "op13_mountain_manifest": merkle.ORACLE_SQL}
