@@ -70,7 +70,7 @@ def test_hot_source_ties_nulls_and_repeats(spark):
     assert {r[6] for r in got} == {True, False}
 
 
-@pytest.mark.parametrize("n", [1, 2, 16, 17, 256, 257])
+@pytest.mark.parametrize("n", [1, 17, 256])
 def test_whole_and_short_runs(spark, n):
     rows = [(i, "a", "en", 1, f"T{i}") for i in range(n)]
     assert found(spark, rows) == expected(rows)
