@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import alignment, bpe, fingerprint, hnsw, hyperminhash, langid, licenses, merkle, mixing, ppm, quality, urlfilter
+from . import alignment, bpe, fingerprint, hnsw, hyperminhash, langid, licenses, merkle, mixing, ppm, quality, suffixdedup, urlfilter
 from .common import crc_mod, table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -62,12 +62,16 @@ def op11_end_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
     return alignment.align_documents(table(spark, sf_dir, "documents"))
 
 
+def op12_merged_transforms(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffixdedup.remove_repeats(table(spark, sf_dir, "documents"))
+
+
 def op13_mountain_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return merkle.manifest(table(spark, sf_dir, "documents"))
 
 
 def queries() -> dict[str, Query]:
-    return {f.__name__: f for f in (op1_byte_bpe, op2_hnsw, op3_hyperminhash, op4_one_permutation, op5_cross_parsing, op6_ppm, op7_license_digests, op8_hash_mix, op9_ordinal_quality, op10_boosted_urls, op11_end_alignment, op13_mountain_manifest)}
+    return {f.__name__: f for f in (op1_byte_bpe, op2_hnsw, op3_hyperminhash, op4_one_permutation, op5_cross_parsing, op6_ppm, op7_license_digests, op8_hash_mix, op9_ordinal_quality, op10_boosted_urls, op11_end_alignment, op12_merged_transforms, op13_mountain_manifest)}
 
 
 def oracle_sql() -> dict[str, str]:
