@@ -1,9 +1,9 @@
 """Alignment of two tokenizers' tokens by byte offsets.
 
-Python tokenises and returns, for each text, both lists of ids and of byte offsets where tokens end. All else is
-higher-order functions: array_intersect of the end arrays gives the cuts, a sort of ends and cuts side by side tells
-which token ends at each cut, sequence and transform make a group of every cut, aggregate joins a group's ids. Links
-are counted over the corpus by id pair; counts come back to the texts by a join.
+Python tokenises and returns, for each text, both lists of tokens and of byte offsets where they end. All else is
+array functions: array_intersect of the end arrays gives the cuts, a sort puts a mark behind the token that ends at each
+cut, transforms and joins of arrays make the groups' texts and the links. Links are counted over the corpus by id pair;
+counts come back to the texts by a join.
 
 Texts are tokenised by segments, which both tokenizers treat alike wherever they stand: a space, and what follows up to
 the next space that has something other than white space behind it. Workers keep the tokens of the segments they met.
@@ -28,8 +28,10 @@ from .common import BROADCAST_ROWS, importable_on_workers, lean, materialize
 
 #: Bytes of text that a worker has in hand at once; tokens of kept segments at most; segment length from which pre-tokens
 #: are merged here, in n log n.
-SLICE, KEPT, LONG = 4_000_000, 4_000_000, 2_000
-TOKENS = StructType([StructField("doc_id", LongType())] + [StructField(c, ArrayType(IntegerType(), False), False) for c in ("a", "a_ends", "b", "b_ends")])
+SLICE, KEPT, LONG = 2_000_000, 750_000, 2_000
+#: A token is its end offset << BITS | id; a mark between groups has an id that no token has.
+BITS, MARK = 20, 999_999
+TOKENS = StructType([StructField("doc_id", LongType())] + [StructField(c, ArrayType(t, False), False) for c, t in (("a", LongType()), ("a_ends", IntegerType()), ("b", LongType()), ("b_ends", IntegerType()))])
 SPACE = "▁"
 
 
@@ -58,6 +60,8 @@ class Tokenizers:
         n = self.pieces.get_piece_size()
         text = [self.pieces.id_to_piece(i) for i in range(n)]
         self.bytes_b = [bytes([int(t[1:-1], 16)]) if self.pieces.is_byte(i) else t.replace(SPACE, " ").encode() for i, t in enumerate(text)]
+        if max(n, *self.bytes_a) >= MARK:
+            raise ValueError(f"ids must be under {MARK}")
         if any(SPACE in t.lstrip(SPACE) for t in text):
             raise ValueError("a piece goes on behind a space: segments would not be tokenised as whole texts are")
         self.clear()
@@ -148,10 +152,10 @@ def _tokenised(path_a: str, pattern: str, path_b: str):
             total = np.cumsum(total)
             ends = np.cumsum(np.frombuffer(tools.flat[c + "_len"], np.int32)[at], dtype=np.int64) if len(at) else np.empty(0, np.int64)
             base = np.concatenate([[0], ends])[total[:-1]]
-            ends = (ends - np.repeat(base, np.diff(total))).astype(np.int32)
+            ends -= np.repeat(base, np.diff(total))
             values = np.frombuffer(tools.flat[c], np.int32)[at] if len(at) else np.empty(0, np.int32)
             offsets = pa.array(total.astype(np.int32))
-            out += [pa.ListArray.from_arrays(offsets, pa.array(values)), pa.ListArray.from_arrays(offsets, pa.array(ends))]
+            out += [pa.ListArray.from_arrays(offsets, pa.array(ends << BITS | values)), pa.ListArray.from_arrays(offsets, pa.array(ends.astype(np.int32)))]
         return pa.RecordBatch.from_arrays(out, names=["doc_id", "a", "a_ends", "b", "b_ends"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -181,34 +185,30 @@ def tokenised(docs: DataFrame, path_a: str, pattern: str, path_b: str) -> DataFr
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(lean(_tokenised(path_a, pattern, path_b)), TOKENS)
 
 
-def beside(ends: str, cuts: str) -> Column:
-    """Ends with their positions, and behind each that is a cut a marker, in order: end << 32 | position."""
-    high = lambda x: F.shiftleft(x.cast("long"), 32)
-    return F.sort_array(F.concat(F.transform(ends, lambda e, i: high(e).bitwiseOR(i.cast("long"))), F.transform(cuts, lambda c: high(c).bitwiseOR(F.lit(0x7FFFFFFF).cast("long")))))
+def grouped(tokens: str, marks: str) -> Column:
+    """The ids of each group of a side, decimal, joined by commas. Tokens are end << BITS | id; a mark stands behind the
+    token that ends at a cut, after one sort of two ascending runs, and the joined ids are split at the marks."""
+    ids = F.transform(F.sort_array(F.concat(tokens, marks)), lambda x: x.bitwiseAND(F.lit(2**BITS - 1).cast("long")))
+    return F.split(F.replace(F.array_join(ids.cast("array<string>"), ","), F.lit(f",{MARK},"), F.lit(";")), ";")
 
 
-def ending(marked: str) -> Column:
-    """Positions of the tokens that end at the cuts, in order; marked comes from `beside`."""
-    followed = F.filter(marked, lambda x, i: F.shiftright(x.bitwiseXOR(F.get(marked, i + 1)), 32) == 0)
-    return F.transform(followed, lambda x: x.bitwiseAND(F.lit(0xFFFFFFFF)).cast("int"))
-
-
-def members(ids: str, last: str, g: Column) -> Column:
-    """Decimal ids of a side's tokens in group g, joined by commas; last: positions of the groups' last tokens."""
-    to, before = F.get(last, g), F.coalesce(F.get(last, g - 1), F.lit(-1))
-    text = lambda i: F.get(ids, i).cast("string")
-    more = F.aggregate(F.sequence(before + 2, to), text(before + 1), lambda s, i: F.concat(s, F.lit(","), text(i)))
-    return F.when(to - before == 1, text(to)).otherwise(more)
+def beside(left: str, right: str) -> Column:
+    """`x|y;...` of two arrays of strings. Their pairs become text by a cast to `{x, y}`, which costs a third of a lambda."""
+    pairs = F.array_join(F.arrays_zip(left, right).cast("array<string>"), ";")
+    return F.replace(F.replace(F.btrim(pairs, F.lit("{}")), F.lit("};{"), F.lit(";")), F.lit(", "), F.lit("|"))
 
 
 def aligned(tokens: DataFrame) -> DataFrame:
     """(doc_id, n_a, n_b, n_groups, groups_sha256, a_link, b_link) for TOKENS: the ids linked at each cut, in order."""
     df = tokens.withColumn("cuts", F.array_intersect("a_ends", "b_ends"))
-    df = df.select("doc_id", "a", "b", beside("a_ends", "cuts").alias("at_a"), beside("b_ends", "cuts").alias("at_b"))
-    df = df.select("doc_id", "a", "b", ending("at_a").alias("at_a"), ending("at_b").alias("at_b"))
-    group = lambda g: F.concat(members("a", "at_a", g), F.lit("|"), members("b", "at_b", g))
-    groups = F.when(F.size("at_a") == 0, "").otherwise(F.sha2(F.array_join(F.transform(F.sequence(F.lit(0), F.size("at_a") - 1), group), ";"), 256))
-    return df.select("doc_id", F.size("a").cast("long").alias("n_a"), F.size("b").cast("long").alias("n_b"), F.size("at_a").cast("long").alias("n_groups"), groups.alias("groups_sha256"), F.transform("at_a", lambda i: F.get("a", i)).alias("a_link"), F.transform("at_b", lambda i: F.get("b", i)).alias("b_link"))
+    # nothing is behind the last cut, which is the end of both
+    inner = F.slice("cuts", F.lit(1), F.greatest(F.size("cuts") - 1, F.lit(0)))
+    marks = F.transform(inner, lambda c: F.shiftleft(c.cast("long"), BITS).bitwiseOR(F.lit(MARK).cast("long")))
+    df = df.select("doc_id", "a", "b", F.size("cuts").cast("long").alias("n_groups"), marks.alias("marks"))
+    df = df.select("doc_id", "n_groups", F.size("a").cast("long").alias("n_a"), F.size("b").cast("long").alias("n_b"), grouped("a", "marks").alias("in_a"), grouped("b", "marks").alias("in_b"))
+    some = F.col("n_groups") > 0
+    last = lambda side: F.when(some, F.transform(side, lambda x: F.substring_index(x, ",", -1)).cast("array<int>"))
+    return df.select("doc_id", "n_a", "n_b", "n_groups", F.when(some, F.sha2(beside("in_a", "in_b"), 256)).otherwise("").alias("groups_sha256"), last("in_a").alias("a_link"), last("in_b").alias("b_link"))
 
 
 def pair_counts(links: DataFrame) -> DataFrame:
