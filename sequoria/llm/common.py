@@ -64,11 +64,11 @@ def discard(spark: SparkSession, keep: DataFrame) -> None:
         _WRITTEN.remove(path)
 
 
-def materialize(df: DataFrame, name: str) -> DataFrame:
+def materialize(df: DataFrame, name: str, codec: str = "snappy") -> DataFrame:
     """Cuts the lineage: writes Parquet to the shared folder and reads it again, so lost executors lose nothing."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/sequoria/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    df.write.parquet(path, compression=codec)
     _WRITTEN.append(path)
     return spark.read.schema(df.schema).parquet(path)
 

@@ -8,10 +8,10 @@ equal segments become one with a weight.
 Groups of unlike segments are merged. Shards of at most SHARD segments are sorted by themselves, which gives each its
 transform: the bytes before each suffix, in the suffixes' order, and the way from a suffix to the one before it. The
 shards' orders are then interleaved by refinement: each round takes the suffixes in the present interleave, and puts
-those before them in stable order of the two bytes in front. After L / 2 rounds the interleave is sorted by L bytes. A
-round also knows where neighbours first differ, which bounds their common prefix; suffixes that stand alone in their
-interval have no repeat, nor have those before them, and take no part in later rounds. Intervals that are left have a
-common prefix of L bytes: these are the repeats.
+those before them in stable order of the two bytes in front. It begins with the suffixes behind a window, so that after
+L / 2 rounds it has all windows, sorted by L bytes. A round also knows where neighbours first differ, which bounds their
+common prefix; suffixes that stand alone in their interval have no repeat, nor have those before them, and take no part
+in later rounds. Intervals that are left have a common prefix of L bytes: these are the repeats.
 
 Groups of more than HOT unlike segments (a passage that very many texts share, each with its own neighbours) are split:
 windows are dealt to two halves by the place of the anchor in them, each with a longer core that all its windows have in
@@ -29,10 +29,10 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import importable_on_workers, lean, materialize, mixed, small_side
+from .common import BROADCAST_ROWS, importable_on_workers, lean, materialize, mixed, small_side
 
 #: Bytes of a repeat (even) and of an anchor's gram.
-LENGTH, GRAM = 200, 32
+LENGTH, GRAM = 200, 64
 #: Windows of a text that are looked at together, segments of a shard, bytes of segments merged together, and unlike
 #: segments of a group that is not split.
 BLOCK, SHARD, MERGED, HOT = 1 << 20, 250, 1 << 20, 256
@@ -117,7 +117,7 @@ def sorted_shard(symbols: np.ndarray, ends: np.ndarray) -> np.ndarray:
     for i in range(span):
         key = key * base + padded[i : i + n]
     while True:
-        order = np.argsort(key, kind="stable")
+        order = np.argsort(key)
         held = key[order]
         rank = np.empty(n, np.int64)
         rank[order] = np.cumsum(np.concatenate([[0], held[1:] != held[:-1]]))
@@ -139,27 +139,23 @@ def merged_repeats(texts: list[bytes]) -> list[np.ndarray]:
     for k in range(0, len(texts), SHARD):
         a, b = starts[k], ends[min(k + SHARD, len(texts)) - 1] + 1
         place[a:b] = a + sorted_shard(symbols[a:b], ends[k : k + SHARD] - a)
-    index = np.empty(n, np.int64)
-    index[place] = np.arange(n)
-    inner = np.ones(n, bool)  # has two bytes of its own segment in front
-    inner[starts] = inner[np.minimum(starts + 1, n - 1)] = False
-    inner = inner[place]
-    pairs = symbols.astype(np.uint16)
+    index = np.empty(n, np.int32)
+    index[place] = np.arange(n, dtype=np.int32)
     two = np.zeros(n, np.uint16)
-    two[2:] = pairs[:-2] * np.uint16(256) + pairs[1:-1]
-    two, before = two[place], index[np.maximum(place - 2, 0)].astype(np.int32)
-    # the interleave: at first the shards in turn, with nothing known in common
-    depth, order, interval = 0, np.arange(n, dtype=np.int32), np.zeros(n, np.int32)
-    while depth < LENGTH and len(order):
-        ok = inner[order]
-        order, interval = order[ok], interval[ok]
+    two[2:] = symbols[:-2].astype(np.uint16) << np.uint16(8) | symbols[1:-1]
+    two, before = two[place], index[np.maximum(place - 2, 0)]
+    # the interleave: at first what is behind each window, the shards in turn, with nothing known in common; as many
+    # rounds as lead to the windows never leave a segment
+    offset = np.arange(n) - np.repeat(starts, lengths + 1)
+    order = np.flatnonzero(offset[place] >= LENGTH).astype(np.int32)
+    interval = np.zeros(len(order), np.int32)
+    for _ in range(LENGTH // 2):
+        if not len(order):
+            break
         symbol = two[order]
         by = np.argsort(symbol, kind="stable")
         symbol, interval, order = symbol[by], interval[by], before[order[by]]
-        if len(order):
-            new = np.concatenate([[True], (symbol[1:] != symbol[:-1]) | (interval[1:] != interval[:-1])])
-            order, interval = _shared(order, new)
-        depth += 2
+        order, interval = _shared(order, np.concatenate([[True], (symbol[1:] != symbol[:-1]) | (interval[1:] != interval[:-1])]))
     at = np.sort(place[order])
     owner = np.searchsorted(ends, at)
     cut = np.searchsorted(owner, np.arange(len(texts) + 1))
@@ -170,6 +166,8 @@ def _shared(order: np.ndarray, new: np.ndarray) -> tuple[np.ndarray, np.ndarray]
     """The suffixes whose interval has others too, and their intervals' numbers; new: where intervals begin."""
     last = np.append(new[1:], True)
     keep = ~(new & last)
+    if keep.all():
+        return order, np.cumsum(new, dtype=np.int32)
     return order[keep], np.cumsum(new, dtype=np.int32)[keep]
 
 
@@ -236,25 +234,25 @@ def _halved(lo: int, hi: int):
     return run
 
 
-def repeats(items: DataFrame, lo: int = 0, hi: int = PLACES - 1, hot: int = HOT) -> DataFrame:
+def repeats(items: DataFrame, keys: DataFrame, lo: int = 0, hi: int = PLACES - 1, hot: int = HOT) -> DataFrame:
     """(g, x, ranges): the repeated window starts of those segments of items (g, x, n, at, text) that stand once (n = 1).
 
     Rows of one g share an anchor that stands lo to hi bytes into their windows; x tells unlike segments apart, n is how
-    often one stands there. Segments with n > 1 are repeats as they are, and only serve as partners.
+    often one stands there. Segments with n > 1 are repeats as they are, and only serve as partners. keys: g of items
+    with `c`, how many unlike segments it has; those with one are not in it.
     """
-    groups = items.groupBy("g").agg(F.count("*").alias("c")).filter("c > 1")
-    groups = materialize(groups, "groups")
-    few = items.join(small_side(groups.filter(F.col("c") <= hot)), "g").select("g", "x", "text").repartition("g").sortWithinPartitions("g", "x")
+    few = items.join(small_side(keys.filter(F.col("c") <= hot)), "g").select("g", "x", "text").repartition("g").sortWithinPartitions("g", "x")
     found = few.mapInArrow(lean(_merged), f"g long, x long, ranges {RANGES}")
-    if groups.filter(F.col("c") > hot).isEmpty():
+    many = keys.filter(F.col("c") > hot)
+    if many.isEmpty():
         return found
     found = materialize(found, "merged")
-    many = items.join(small_side(groups.filter(F.col("c") > hot)), "g").select("g", "x", "n", "at", "text")
+    many = items.join(small_side(many), "g").select("g", "x", "n", "at", "text")
     halves = materialize(many.mapInArrow(lean(_halved(lo, hi)), "g long, x long, i int, lo int, hi int, cg long, cx long, n long, at int, text binary"), "halves")
     for a, b in ((lo, (lo + hi) // 2), ((lo + hi) // 2 + 1, hi)):
         half = halves.filter((F.col("lo") == a) & (F.col("hi") == b))
         like = materialize(half.groupBy("cg", "cx").agg(F.sum("n").alias("n"), F.min("at").alias("at"), F.min("text").alias("text")).withColumnsRenamed({"cg": "g", "cx": "x"}), "halved")
-        inside = repeats(like, a, b, hot).select(F.col("g").alias("cg"), F.col("x").alias("cx"), "ranges")
+        inside = repeats(like, unlike(like), a, b, hot).select(F.col("g").alias("cg"), F.col("x").alias("cx"), "ranges")
         whole = like.filter("n > 1").select(F.col("g").alias("cg"), F.col("x").alias("cx"), F.array(F.struct(F.lit(0).alias("i"), (F.length("text") - LENGTH).cast("int").alias("j"))).alias("ranges"))
         known = inside.join(whole.select("cg", "cx"), ["cg", "cx"], "left_anti").unionByName(whole)
         back = half.select("g", "x", "i", "cg", "cx").join(known, ["cg", "cx"])
@@ -263,6 +261,11 @@ def repeats(items: DataFrame, lo: int = 0, hi: int = PLACES - 1, hot: int = HOT)
     return materialize(found.groupBy("g", "x").agg(F.flatten(F.collect_list("ranges")).alias("ranges")), "found")
 
 
+def unlike(like: DataFrame) -> DataFrame:
+    """(g, c): groups of more than one unlike segment, and how many. like: a row (g, x) for each."""
+    return materialize(like.groupBy("g").agg(F.count("*").alias("c")).filter("c > 1"), "unlike")
+
+
 def _kept(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """(doc_id, text, s, e, picks array of (k, ranges or null for all)) in, the result of each text out."""
     for batch in batches:
@@ -293,21 +296,25 @@ def remove_repeats(docs: DataFrame, hot: int = HOT) -> DataFrame:
     """
     importable_on_workers(docs.sparkSession)
     rows = docs.select(F.monotonically_increasing_id().alias("row"), F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
-    rows = materialize(rows.mapInArrow(lean(_segmented), SEGMENTED), "segmented")
+    rows = materialize(rows.mapInArrow(lean(_segmented), SEGMENTED), "segmented", "zstd")
     each = rows.filter(F.size("h") > 0).select("row", F.posexplode(F.arrays_zip("h", "x")).alias("k", "z")).select("row", "k", "z.h", "z.x")
     twice = materialize(each.groupBy("h").agg(F.count("*").alias("c")).filter("c > 1").select("h"), "twice")
     met = materialize(each.join(small_side(twice), "h"), "met")
     like = materialize(met.groupBy("h", "x").agg(F.count("*").alias("n"), F.min(F.struct("row", "k")).alias("at")).select(F.col("h").alias("g"), "x", "n", "at.row", "at.k"), "like")
     # unlike segments under one anchor are merged; the bytes of each come from one text
-    unlike = like.groupBy("g").agg(F.count("*").alias("c")).filter("c > 1").select("g")
-    picks = like.join(unlike, "g").groupBy("row").agg(F.collect_list(F.struct("g", "x", "k", "n")).alias("picks"))
-    items = materialize(rows.select("row", "text", "s", "e", "a").join(picks, "row").select("text", "s", "e", "a", "picks").mapInArrow(lean(_cut), "g long, x long, n long, at int, text binary"), "items")
-    found = repeats(items, hot=hot).filter(F.size("ranges") > 0)
+    keys = unlike(like)
+    wanted = materialize(like.join(small_side(keys), "g").select("row", "g", "x", "k", "n"), "wanted")
+    picks = wanted.groupBy("row").agg(F.collect_list(F.struct("g", "x", "k", "n")).alias("picks"))
+    picks = F.broadcast(picks) if wanted.count() <= BROADCAST_ROWS else picks
+    items = rows.select("row", "text", "s", "e", "a").join(picks, "row").select("text", "s", "e", "a", "picks").mapInArrow(lean(_cut), "g long, x long, n long, at int, text binary")
+    found = repeats(items, keys, hot=hot).filter(F.size("ranges") > 0)
     once = like.filter("n = 1").join(found, ["g", "x"]).select("row", "k", "ranges")
     all_ = met.join(like.filter("n > 1").select(F.col("g").alias("h"), "x"), ["h", "x"]).select("row", "k", F.lit(None).cast(RANGES).alias("ranges"))
     gone = once.unionByName(all_).groupBy("row").agg(F.collect_list(F.struct("k", "ranges")).alias("picks"))
     gone = materialize(gone, "gone")
-    changed = rows.select("row", "doc_id", "text", "s", "e").join(gone, "row").select("doc_id", "text", "s", "e", "picks").mapInArrow(lean(_kept), "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
+    # texts that stay as they are need not be dealt
+    changed = rows.select("row", "doc_id", "text", "s", "e").join(small_side(gone.select(F.col("row").alias("row"))), "row", "left_semi").join(gone, "row")
+    changed = changed.select("doc_id", "text", "s", "e", "picks").mapInArrow(lean(_kept), "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
     zero = F.lit(0).cast("long")
-    same = rows.select("row", "doc_id", "n_bytes", "sha").join(gone.select("row"), "row", "left_anti").select("doc_id", "n_bytes", zero.alias("n_removed"), zero.alias("n_spans"), F.col("sha").alias("kept_sha256"))
+    same = rows.select("row", "doc_id", "n_bytes", "sha").join(small_side(gone.select("row")), "row", "left_anti").select("doc_id", "n_bytes", zero.alias("n_removed"), zero.alias("n_spans"), F.col("sha").alias("kept_sha256"))
     return changed.unionByName(same)
