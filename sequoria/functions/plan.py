@@ -45,3 +45,16 @@ def scratch(spark: SparkSession, name: str) -> str:
             raise ValueError("set spark.checkpoint.dir to a folder that all machines share")
         at = "file://" + tempfile.mkdtemp(prefix="sequoria-")
     return f"{at.rstrip('/')}/sequoria/{name}-{uuid.uuid4().hex}"
+
+
+def stored(df: DataFrame, name: str) -> DataFrame:
+    """df written to a new folder of the shared one and read again: made once, however often it is used above."""
+    path = scratch(df.sparkSession, name)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def distinct_dealt(df: DataFrame, *keys: str) -> DataFrame:
+    """The distinct keys of df in as many partitions as shuffles have, by one exchange: what is dealt by the keys need
+    not be dealt again to be made distinct."""
+    return dealt(df.select(*keys), *keys).distinct()

@@ -2,13 +2,16 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from math import log
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from sequoria.functions import sequence as S
-from sequoria.functions.plan import dealt, sealed
+from sequoria.functions.plan import dealt, distinct_dealt, importable, sealed, stored
 
 
 def _size_class(m: Column) -> Column:
@@ -17,21 +20,62 @@ def _size_class(m: Column) -> Column:
     return F.when(m <= 16, m).otherwise(F.floor(16 * F.pow(F.lit(1.1), step) + 1e-6)).cast("int")
 
 
+#: Cells (rows and classes by parts) of signatures that a task makes at once.
+CELLS = 2_000_000
+
+
+def _signs(hashes: np.ndarray, counts: np.ndarray, classes: np.ndarray, per_row: np.ndarray, threshold: float, all_parts: bool) -> tuple[np.ndarray, ...]:
+    """Row, class, part and sign of the parts shown. hashes: the rows' k-mers, one row after another, counts of each;
+    classes: the rows' classes, per_row of each. Numbers of parts follow from the class, see similar_pairs."""
+    apart = np.floor(classes * ((1 - threshold) / threshold) + 1e-9).astype(np.int64)
+    parts = apart + 1 + apart // 2 + 1
+    width, row = int(parts.max()), np.repeat(np.arange(len(counts)), per_row)
+    begin = np.cumsum(counts) - counts
+    # every k-mer of a row once for each of its classes
+    n = counts[row]
+    at = np.repeat(begin[row] - (np.cumsum(n) - n), n) + np.arange(n.sum())
+    held, pair = hashes[at], np.repeat(np.arange(len(row)), n)
+    cell = pair * width + (held % parts[pair].astype(np.uint64)).astype(np.int64)
+    size, sign = np.bincount(cell, minlength=len(row) * width).reshape(-1, width), np.zeros(len(row) * width, np.uint64)
+    with np.errstate(over="ignore"):
+        np.bitwise_xor.at(sign, cell, held * np.uint64(0x9E3779B97F4A7C15) ^ (held >> np.uint64(29)))
+    inside = np.arange(width) < parts[:, None]
+    if all_parts:
+        shown = inside
+    else:  # the parts with the most k-mers, the first ones of equals
+        order = np.argsort(np.where(inside, -size, 1), axis=1, kind="stable")
+        shown = np.zeros_like(inside)
+        np.put_along_axis(shown, order, np.arange(width) <= apart[:, None], axis=1)
+    i, part = np.nonzero(shown)
+    return row[i], classes[i], part, sign.reshape(-1, width)[i, part]
+
+
+def _signed(threshold: float, all_parts: bool):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            kmers, classes = batch.column("kmers"), batch.column("classes")
+            begin, first = kmers.offsets.to_numpy(), classes.offsets.to_numpy()
+            hashes, named = kmers.values.to_numpy().view(np.uint64), classes.values.to_numpy().astype(np.int64)
+            cells = np.concatenate([[0], np.cumsum(np.add.reduceat((named * ((1 - threshold) / threshold) * 1.5 + 3).astype(np.int64), first[:-1]))]) if batch.num_rows else np.zeros(1)
+            start = 0
+            while start < batch.num_rows:
+                stop = max(start + 1, int(np.searchsorted(cells, cells[start] + CELLS, "right")) - 1)
+                row, kind, part, sign = _signs(hashes[begin[start] : begin[stop]], np.diff(begin[start : stop + 1]), named[first[start] : first[stop]], np.diff(first[start : stop + 1]), threshold, all_parts)
+                keys = batch.select([*_ID, *_BITS, "n"]).take(pa.array(row + start))
+                yield pa.RecordBatch.from_arrays([*keys.columns, pa.array(kind.astype(np.int32)), pa.array(part.astype(np.int32)), pa.array(sign.view(np.int64))], names=[*keys.schema.names, "class", "part", "sign"])
+                start = stop
+
+    return run
+
+
 def _signatures(sides: DataFrame, threshold: float, all_parts: bool) -> DataFrame:
-    """(id, bits, n, class, part, sign) for rows of those with kmers and classes. k-mers are dealt to the parts of a class by hash,
-    and a part's sign is of the set that it got. Not all parts: only as many as the two sets may differ by, and one
-    more, those with the most k-mers."""
-    apart = F.floor(F.col("class") * ((1 - threshold) / threshold) + 1e-9).cast("int")  # the most that two sets of it may differ by
-    spare = F.call_function("div", apart, F.lit(2)).cast("int") + 1
-    keys = [*_ID, *_BITS, "n", "class", "apart", "parts"]
-    each = sides.select(*_ID, *_BITS, "n", F.explode_outer("classes").alias("class"), "kmers").withColumn("apart", apart).withColumn("parts", apart + 1 + spare)
-    each = each.select(*keys, F.explode_outer("kmers").alias("kmer"))
-    each = each.groupBy(*keys, F.pmod(F.xxhash64("kmer"), F.col("parts")).cast("int").alias("part")).agg((-F.count("*")).alias("less"), F.bit_xor(F.xxhash64("kmer", F.lit(1))).alias("sign"))
-    held = each.groupBy(*keys).agg(F.collect_list(F.struct("less", "part", "sign")).alias("got"))
-    empty = F.transform(F.array_except(F.sequence(F.lit(0), F.col("parts") - 1), F.col("got.part")), lambda k: F.struct(F.lit(0).cast("long").alias("less"), k.alias("part"), F.lit(0).cast("long").alias("sign")))
-    whole = F.concat("got", empty)
-    shown = whole if all_parts else F.slice(F.array_sort(whole), F.lit(1), F.col("apart") + 1)
-    return held.select(*_ID, *_BITS, "n", "class", F.inline(shown)).drop("less")
+    """(id, bits, n, class, part, sign) for rows of those with kmers and classes. k-mers are dealt to the parts of a class
+    by hash, and a part's sign is of the set that it got. Not all parts: only as many as the two sets may differ by, and
+    one more, those with the most k-mers."""
+    importable(sides.sparkSession)
+    rows = sides.select(*_ID, *_BITS, "n", F.transform("kmers", lambda x: F.xxhash64(x)).alias("kmers"), "classes")
+    kinds = {f.name: f.dataType.simpleString() for f in rows.schema}
+    return rows.mapInArrow(_signed(threshold, all_parts), ", ".join([*(f"{c} {kinds[c]}" for c in (*_ID, *_BITS, "n")), "class int, part int, sign long"]))
 
 
 #: Two hashes that name a sequence, and 256 bits that its k-mers set.
@@ -56,7 +100,7 @@ def similar_pairs(left: DataFrame, right: DataFrame, threshold: float = 0.8) ->
     """
     if not 0 < threshold <= 1:
         raise ValueError("threshold must be over 0 and at most 1")
-    sides = [_sketched(df.select("seq", "kmers")) for df in (left, right)]
+    sides = [stored(_sketched(df.select("seq", "kmers")), "sketches") for df in (left, right)]
     sizes = F.sequence(F.ceil(F.col("n") * threshold - 1e-9).cast("int"), F.floor(F.col("n") / threshold + 1e-9).cast("int"))
     a = _signatures(sides[0].withColumn("classes", F.array_distinct(F.transform(sizes, _size_class))), threshold, False)
     b = _signatures(sides[1].withColumn("classes", F.array(_size_class(F.col("n")))), threshold, True)
@@ -75,7 +119,7 @@ def with_kmers(rows: DataFrame, k: int = 3) -> DataFrame:
     """Distinct seq of rows that are not empty, with their k-mers; short ones as whole numbers, whose sets are compared
     without objects."""
     coded = (lambda x: F.conv(F.hex(x), 16, 10).cast("long")) if k <= 3 else (lambda x: x)
-    return dealt(rows.select("seq").filter("seq is not null and seq <> ''").distinct()).withColumn("kmers", F.transform(S.kmers(F.col("seq"), k), coded))
+    return distinct_dealt(rows.filter("seq is not null and seq <> ''"), "seq").withColumn("kmers", F.transform(S.kmers(F.col("seq"), k), coded))
 
 
 def similar(left: DataFrame, right: DataFrame, threshold: float = 0.8, k: int = 3) -> DataFrame:
@@ -84,11 +128,11 @@ def similar(left: DataFrame, right: DataFrame, threshold: float = 0.8, k: int =
 
 
 def leak_reasons(pretrain: DataFrame, core: DataFrame, threshold: float = 0.8) -> DataFrame:
-    """pretrain (ord, seq) with a `reason`: exact, rotated or near copy of a core sequence, else a repeat of the first
+    """(ord, seq, reason) of pretrain (ord, seq): exact, rotated or near copy of a core sequence, else a repeat of the first
     row by ord; null is kept. Reasons are found once for each distinct sequence."""
-    core = sealed(core, "seq")
-    exact = core.select("seq").distinct().withColumn("exact", F.lit(True))
-    turned = sealed(core.distinct(), S.canonical(F.col("seq")).alias("canonical")).distinct().withColumn("turned", F.lit(True))
+    pretrain, core = stored(pretrain.select("ord", "seq"), "pretrain"), stored(core.select("seq").distinct(), "core")
+    exact = core.withColumn("exact", F.lit(True))
+    turned = sealed(core, S.canonical(F.col("seq")).alias("canonical")).distinct().withColumn("turned", F.lit(True))
     near = similar(pretrain, core, threshold).withColumn("near", F.lit(True))
     once = sealed(dealt(pretrain.groupBy("seq").agg(F.min("ord").alias("first_ord"))), "seq", "first_ord", S.canonical(F.col("seq")).alias("canonical"))
     once = once.join(exact, "seq", "left").join(turned, "canonical", "left").join(near, "seq", "left")

@@ -2,9 +2,14 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from sequoria.functions.plan import importable
+
 from . import curation as C
 
 METRICS = ("mcc", "f1", "roc_auc", "pr_auc", "accuracy")
@@ -73,18 +78,41 @@ def intervals(replicated: DataFrame, by: list[str], confidence: float = 0.95) ->
     return long.groupBy(*by, "metric").agg(bound(tail).alias("low"), bound(1 - tail).alias("high"))
 
 
+def _dealt_kinds(kinds: Iterator[pd.DataFrame], n: int) -> Iterator[pd.DataFrame]:
+    """(p, q, c) in order in: positives and negatives of a group, and how many groups have them. (p, q, folds) out: the
+    folds of those groups that are no whole round of n."""
+    held = pd.concat(list(kinds) or [pd.DataFrame({"p": [], "q": [], "c": []})])
+    all_p, all_q = float(max((held.p * held.c).sum(), 1)), float(max((held.q * held.c).sum(), 1))
+    at_p, at_q, size, out = [0.0] * n, [0.0] * n, [0] * n, []
+    for p, q, c in zip(held.p.astype(int), held.q.astype(int), held.c.astype(int), strict=True):
+        got = []
+        for _ in range(c % n):
+            f = min(range(n), key=lambda f: (at_p[f] * p / (all_p * all_p) + at_q[f] * q / (all_q * all_q), size[f], f))
+            at_p[f], at_q[f], size[f] = at_p[f] + p, at_q[f] + q, size[f] + p + q
+            got.append(f)
+        out.append((p, q, got))
+    yield pd.DataFrame(out, columns=["p", "q", "folds"])
+
+
 def group_splits(rows: DataFrame, group: str, label: str = "label", n: int = 3, seeds: tuple[int, ...] = (42, 43, 44)) -> DataFrame:
-    """(group, seed, fold): each group is in one fold of a seed; folds are alike in labels and sizes.
+    """(group, seed, fold): each group is in one fold of a seed; folds are alike in their numbers of either label.
 
-    Groups of the same number of rows of each label are dealt out in turn, in seeded order, and kinds of groups follow
-    each other in one round, so that no fold is ahead by more than one group of a kind.
+    Groups with as many rows of each label are a kind. Kinds follow each other by falling difference of the two numbers.
+    Of a kind, whole rounds of n groups give each fold one, which changes no balance; the rest are dealt one after
+    another to the fold to which they add least squared deviation of either label's share (then the one of fewer rows,
+    then the first). Which groups of a kind go where is by a seeded hash. One task sees a row a kind (two numbers; N
+    rows have fewer than 2 * N ** (2 / 3) kinds), none sees the groups.
     """
-    each = rows.groupBy(group).agg(F.sum(F.col(label).cast("long")).alias("_p"), F.count("*").alias("_n"))
+    importable(rows.sparkSession)
+    each = rows.groupBy(group).agg(F.sum(F.col(label).cast("long")).alias("p"), F.sum((1 - F.col(label)).cast("long")).alias("q"))
+    kinds = each.groupBy("p", "q").agg(F.count("*").alias("c")).repartition(1).sortWithinPartitions(F.abs(F.col("p") - F.col("q")).desc(), F.col("p").desc(), F.col("q").desc())
+    rest = kinds.mapInPandas(lambda x: _dealt_kinds(x, n), "p long, q long, folds array<int>")
     out = None
     for seed in seeds:
-        ranked = C.hashed_rank(each, ["_p", "_n"], C.draw(seed, F.col(group)), group, "_rank")
-        shift = F.col("_p") * 7 + F.col("_n") * 13 + seed  # else the first fold would get every odd one
-        made = ranked.select(group, F.lit(seed).alias("seed"), F.pmod(F.col("_rank") + shift, F.lit(n)).cast("int").alias("fold"))
+        ranked = C.hashed_rank(each, ["p", "q"], C.draw(seed, F.col(group)), group, "_rank").join(rest, ["p", "q"])
+        left = F.size("folds")
+        fold = F.when(F.col("_rank") <= left, F.get("folds", F.col("_rank").cast("int") - 1)).otherwise(F.pmod(F.col("_rank") - left - 1, F.lit(n)).cast("int"))
+        made = ranked.select(group, F.lit(seed).alias("seed"), fold.alias("fold"))
         out = made if out is None else out.unionByName(made)
     return out
 

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from sequoria.functions import sequence as S
 from sequoria.functions import topology as T
-from sequoria.functions.plan import sealed
+from sequoria.functions.plan import sealed, stored
 from sequoria.operators import fusion as U
 from sequoria.operators import metrics as X
 from sequoria.operators import splits as L
@@ -192,7 +192,7 @@ def _evaluation(rows):
 @query(_NEAR + " SELECT ord, CASE WHEN h.seq IS NOT NULL THEN 'near_duplicate_with_cyclic_validation_or_test' END AS exclusion_reason, CASE WHEN h.seq IS NOT NULL THEN CASE WHEN pos % 10 = 0 THEN 'validation' ELSE 'train' END END AS excluded_partition FROM canon c LEFT JOIN hit h ON h.seq = c.seq WHERE role = 'pretrain' AND len(c.seq) >= 5")
 def near_eval_filter(spark, sf_dir):
     """Pretraining rows that are too near to evaluation rows."""
-    rows = P.sequences(spark, sf_dir)
+    rows = stored(P.sequences(spark, sf_dir).select("ord", "pos", "seq", "role", "cyclization_type"), "sequences")
     pretrain = rows.filter("role = 'pretrain' and length(seq) >= 5").select("ord", "seq", F.when(F.col("pos") % 10 == 0, "validation").otherwise("train").alias("split"))
     return L.filtered(pretrain, _evaluation(rows).select("seq", "cyclization_type")).select("ord", "exclusion_reason", "excluded_partition")
 

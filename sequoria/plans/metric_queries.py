@@ -97,12 +97,29 @@ def oof_summary(spark, sf_dir):
     return out.select(*keep).withColumns(_rounded(f"{k}_{m}" for m in E.METRICS for k in ("mean", "oof")))
 
 
-_SPLITS = "g AS (SELECT canonical, sum(label) AS p, count(*) AS n FROM canon WHERE label IS NOT NULL AND canonical IS NOT NULL GROUP BY canonical)"
-
-
-@query(_SPLITS + " " + " UNION ALL ".join(f"SELECT canonical, {s} AS seed, CAST((row_number() OVER (PARTITION BY p, n ORDER BY sha256('{s}|' || canonical), canonical) + p * 7 + n * 13 + {s}) % 3 AS INTEGER) AS fold FROM g" for s in (42, 43, 44)))
+def dealt_sql(groups: str, name: str, seeds: tuple[int, ...]) -> str:
+    """CTEs that end with `name` (canonical, seed, fold): the greedy deal of groups (canonical, p, q) to three folds."""
+    cost = lambda f: f"{{'c': (p{f} * i.p) / (tp * tp) + (q{f} * i.q) / (tq * tq), 's': s{f}, 'f': {f}}}"
+    moved = ", ".join(f"p{f} + CASE WHEN f = {f} THEN p ELSE 0 END, q{f} + CASE WHEN f = {f} THEN q ELSE 0 END, s{f} + CASE WHEN f = {f} THEN p + q ELSE 0 END" for f in range(3))
+    state = ", ".join(f"p{f}, q{f}, s{f}" for f in range(3))
+    return f"""kinds AS (SELECT p, q, count(*) AS c FROM {groups} GROUP BY ALL),
+totals AS (SELECT greatest(sum(p * c), 1)::DOUBLE AS tp, greatest(sum(q * c), 1)::DOUBLE AS tq FROM kinds),
+items AS (SELECT p, q, k, row_number() OVER (ORDER BY abs(p - q) DESC, p DESC, q DESC, k) AS j FROM kinds, range(1, 3) r(k) WHERE k <= c % 3),
+dealt(j, f, {state}) AS (
+  SELECT 0::BIGINT, -1, {", ".join("0::DOUBLE, 0::DOUBLE, 0::BIGINT" for _ in range(3))}
+  UNION ALL
+  SELECT j, f, {moved} FROM (SELECT i.j, i.p, i.q, {state}, CAST((list_min([{", ".join(map(cost, range(3)))}])).f AS INTEGER) AS f FROM dealt d JOIN items i ON i.j = d.j + 1, totals) t),
+ranked AS (SELECT canonical, g.p, g.q, s AS seed, row_number() OVER (PARTITION BY g.p, g.q, s ORDER BY sha256(s || '|' || canonical), canonical) AS rnk, c % 3 AS rest FROM {groups} g JOIN kinds USING (p, q), (SELECT unnest({list(seeds)}) AS s) x),
+{name} AS (SELECT canonical, r.seed, CAST(CASE WHEN rnk <= rest THEN d.f ELSE (rnk - rest - 1) % 3 END AS INTEGER) AS fold
+  FROM ranked r LEFT JOIN items i ON i.p = r.p AND i.q = r.q AND i.k = r.rnk LEFT JOIN dealt d ON d.j = i.j)"""
+
+
+_SPLITS = "g AS (SELECT canonical, CAST(sum(label) AS BIGINT) AS p, CAST(sum(1 - label) AS BIGINT) AS q FROM canon WHERE label IS NOT NULL AND canonical IS NOT NULL GROUP BY canonical),"
+
+
+@query(_SPLITS + dealt_sql("g", "splits", (42, 43, 44)) + " SELECT canonical, CAST(seed AS INTEGER) AS seed, fold FROM splits")
 def group_splits(spark, sf_dir):
-    """Repeated grouped folds, stratified by labels and size of the groups."""
+    """Repeated grouped folds, stratified greedily by the labels of the groups."""
     from .split_queries import _labelled
 
     return E.group_splits(_labelled(spark, sf_dir).select("canonical", "label"), "canonical")

@@ -125,4 +125,4 @@ scored AS (
 
 
 def with_base(sql: str) -> str:
-    return f"WITH {SQL}, {sql.strip()}" if not sql.strip().upper().startswith("SELECT") else f"WITH {SQL} {sql.strip()}"
+    return f"WITH RECURSIVE {SQL}, {sql.strip()}" if not sql.strip().upper().startswith("SELECT") else f"WITH RECURSIVE {SQL} {sql.strip()}"

@@ -162,14 +162,30 @@ def _vector_rows(spark, sf_dir):
 
 @query()
 def nested_evaluation(spark, sf_dir):
-    """Nested grouped evaluation of a linear and a forest family on all labelled vectors: metrics of each outer fold."""
+    """Nested grouped evaluation of a linear and a forest family on all labelled vectors: metrics by outer fold."""
     from sequoria.models import families, protocol
     from sequoria.operators import evaluation as E
 
     found = families.m0_families(trees=20)
-    few = {"lr": families.Family("lr", found["lr"].make, ({"C": 1.0},)), "rf": families.Family("rf", found["rf"].make, ({"max_depth": 5, "min_samples_leaf": 1},))}
+    few = {"lr": families.Family("lr", found["lr"].make, ({"C": 1.0},)), "rf": families.Family("rf", found["rf"].make, ({"max_depth": 5, "min_samples_leaf": 1},), scaled=False)}
     scored = protocol.evaluate(_vector_rows(spark, sf_dir), few, "vec_id", "grp", seeds=(42,), n=3)
-    return E.metrics(E.cells(scored, ["seed", "fold", "chosen"]), ["seed", "fold", "chosen"])
+    return E.metrics(E.cells(scored, protocol.SCORED), protocol.SCORED)
+
+
+@query()
+def fusion_ablation(spark, sf_dir):
+    """m0, m1, m0_m1 and m2 over one set of grouped folds: metrics of each family and of the nested choice. The blocks of
+    a vector are how many of its values are over some bounds, the vector, and its moments."""
+    from sequoria.models import protocol
+    from sequoria.operators import evaluation as E
+
+    v = F.col("features")
+    over = lambda x: F.aggregate(v, F.lit(0.0), lambda s, y: s + (y > x).cast("double"))
+    power = lambda k: F.aggregate(v, F.lit(0.0), lambda s, y: s + F.pow(y, F.lit(k)))
+    rows = _vector_rows(spark, sf_dir).select("vec_id", "grp", "label", F.array(*[over(x) for x in (-0.2, -0.1, 0.0, 0.1, 0.2)]).alias("handcrafted"), v.alias("embedding"), F.array(power(2.0), power(3.0), power(4.0)).alias("structure"))
+    scored = protocol.ablation(rows, "vec_id", "grp", seeds=(42,), n=3, trees=10)
+    by = ["feature_set", *protocol.SCORED]
+    return E.metrics(E.cells(scored, by), by)
 
 
 @query()
