@@ -143,11 +143,20 @@ def group_codes(seq: Column) -> Column:
 
 
 def pair_frequency(codes: Column, a: int, b: int) -> Column:
-    """Share of neighbours, last and first included, that are of groups a and b in either order."""
-    n = F.length(codes)
+    """Share of neighbours, last and first included, that are of groups a and b in either order. Counted on the text: what
+    is shorter without `ab`; equal ones, which overlap, by looking ahead."""
     ring = F.concat(codes, F.substring(codes, 1, 1))
-    hits = F.filter(F.sequence(F.lit(1), n), lambda i: F.substring(ring, i, F.lit(2)).isin(f"{a}{b}", f"{b}{a}"))
-    return F.size(hits) / n
+    if a == b:
+        return F.regexp_count(ring, F.lit(f"{a}(?={a})")) / F.length(codes)
+    gone = lambda x: F.length(ring) - F.length(F.replace(ring, F.lit(x), F.lit("")))
+    return (gone(f"{a}{b}") + gone(f"{b}{a}")) / 2 / F.length(codes)
+
+
+def bond_count(given: Column, topology: Column) -> Column:
+    """The number given, or that of the entries of a JSON list; 1 where there is neither or the text is no list."""
+    text = F.trim(F.coalesce(topology, F.lit("")))
+    listed = F.when(text.startswith("["), F.json_array_length(text))
+    return F.coalesce(F.trim(given.cast("string")).try_cast("int"), F.when(text == "", F.lit(0)).otherwise(F.coalesce(listed, F.lit(1)))).cast("int")
 
 
 def feature_columns(seq: Column, cyclization: Column, bonds: Column, codes: Column) -> list[Column]:

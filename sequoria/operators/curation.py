@@ -213,13 +213,19 @@ def train_valid(rows: DataFrame, strata: list[str], key: str, fraction: float =
 
 
 def block_digest(rows: DataFrame, by: list[str], order: str, text: Column, block: int = 4096) -> DataFrame:
-    """(by, digest, n): SHA-256 of the digests of blocks of rows by `order` div `block`, in order. No task holds more
-    than a block's rows, or a group's digests."""
-    part = F.call_function("div", F.col(order), F.lit(block)).alias("_block")
-    each = rows.select(*by, part, F.struct(F.col(order).alias("o"), F.coalesce(text, F.lit("")).alias("t")).alias("_row")).groupBy(*by, "_block").agg(F.array_sort(F.collect_list("_row")).alias("_rows"))
-    each = each.select(*by, "_block", F.sha2(F.array_join(F.col("_rows.t"), ""), 256).alias("_d"), F.size("_rows").alias("_n"))
+    """(by, digest, n): SHA-256 over a tree of digests. Leaves are the texts by `order`; `block` neighbouring places make a
+    node, and as many neighbouring nodes the next one, until a group has `block` of them at most, which the digest is of.
+    It depends on the rows and their order only, and no task holds more than `block` texts or digests of a group."""
+    up = lambda c: F.call_function("div", F.col(c), F.lit(block)).alias("_block")
+    each = rows.select(*by, up(order), F.struct(F.col(order).alias("o"), F.coalesce(text, F.lit("")).alias("t")).alias("_row")).groupBy(*by, "_block").agg(F.array_sort(F.collect_list("_row")).alias("_rows"))
+    each = stored(each.select(*by, "_block", F.sha2(F.array_join(F.col("_rows.t"), ""), 256).alias("_d"), F.size("_rows").cast("long").alias("_n")), "digests")
+    joined = lambda: F.sha2(F.array_join(F.col("_all._d"), ""), 256)
+    most = each.agg(F.max("_block")).first()[0] or 0
+    while most >= block:
+        each = each.select(*by, up("_block"), F.struct("_block", "_d").alias("_s"), "_n").groupBy(*by, "_block").agg(F.array_sort(F.collect_list("_s")).alias("_all"), F.sum("_n").alias("_n")).select(*by, "_block", joined().alias("_d"), "_n")
+        most //= block
     listed = F.array_sort(F.collect_list(F.struct("_block", "_d")))
-    return each.groupBy(*by).agg(listed.alias("_all"), F.sum("_n").alias("n")).select(*by, F.sha2(F.array_join(F.col("_all._d"), ""), 256).alias("digest"), "n")
+    return each.groupBy(*by).agg(listed.alias("_all"), F.sum("_n").alias("n")).select(*by, joined().alias("digest"), "n")
 
 
 def leaks_between(rows: DataFrame, key: str, split: str = "split") -> DataFrame:

@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import heapq
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -78,40 +80,59 @@ def intervals(replicated: DataFrame, by: list[str], confidence: float = 0.95) ->
     return long.groupBy(*by, "metric").agg(bound(tail).alias("low"), bound(1 - tail).alias("high"))
 
 
+def shares(at: list[tuple[int, int]], p: int, q: int, c: int, all_p: int, all_q: int) -> list[int]:
+    """How many of c groups of p positives and q negatives each fold gets that holds `at` so far, if they are dealt one
+    after another to the fold whose squared deviation of either label's share grows least; then to the one of fewer
+    rows, then to the first. What a fold asks grows by one step with each group, so what is surely given is given at
+    once and only the last few are dealt."""
+    cost = lambda f, i: (at[f][0] + i * p) * p / (float(all_p) * all_p) + (at[f][1] + i * q) * q / (float(all_q) * all_q)
+    step, n = p * p / (float(all_p) * all_p) + q * q / (float(all_q) * all_q), len(at)
+    top = max(cost(f, 0) for f in range(n))
+    given = [max(0, int((top - cost(f, 0)) / step) - 1) for f in range(n)]
+    if sum(given) > c:
+        given = [0] * n
+    else:
+        whole = max(0, (c - sum(given)) // n - 2)
+        given = [g + whole for g in given]
+    offer = lambda f: (cost(f, given[f]), sum(at[f]) + given[f] * (p + q), f)
+    heap = [offer(f) for f in range(n)]
+    heapq.heapify(heap)
+    for _ in range(c - sum(given)):
+        f = heap[0][2]
+        given[f] += 1
+        heapq.heapreplace(heap, offer(f))
+    return given
+
+
 def _dealt_kinds(kinds: Iterator[pd.DataFrame], n: int) -> Iterator[pd.DataFrame]:
-    """(p, q, c) in order in: positives and negatives of a group, and how many groups have them. (p, q, folds) out: the
-    folds of those groups that are no whole round of n."""
+    """(p, q, c) in order in: positives and negatives of a group, and how many groups have them. (p, q, upto) out: the
+    places within the kind where each fold's groups end."""
     held = pd.concat(list(kinds) or [pd.DataFrame({"p": [], "q": [], "c": []})])
-    all_p, all_q = float(max((held.p * held.c).sum(), 1)), float(max((held.q * held.c).sum(), 1))
-    at_p, at_q, size, out = [0.0] * n, [0.0] * n, [0] * n, []
-    for p, q, c in zip(held.p.astype(int), held.q.astype(int), held.c.astype(int), strict=True):
-        got = []
-        for _ in range(c % n):
-            f = min(range(n), key=lambda f: (at_p[f] * p / (all_p * all_p) + at_q[f] * q / (all_q * all_q), size[f], f))
-            at_p[f], at_q[f], size[f] = at_p[f] + p, at_q[f] + q, size[f] + p + q
-            got.append(f)
-        out.append((p, q, got))
-    yield pd.DataFrame(out, columns=["p", "q", "folds"])
+    rows = [tuple(map(int, r)) for r in held[["p", "q", "c"]].itertuples(index=False)]
+    all_p, all_q = max(sum(p * c for p, _, c in rows), 1), max(sum(q * c for _, q, c in rows), 1)
+    at, out = [(0, 0)] * n, []
+    for p, q, c in rows:
+        given = shares(at, p, q, c, all_p, all_q)
+        at = [(a + g * p, b + g * q) for (a, b), g in zip(at, given, strict=True)]
+        out.append((p, q, np.cumsum(given).tolist()))
+    yield pd.DataFrame(out, columns=["p", "q", "upto"])
 
 
 def group_splits(rows: DataFrame, group: str, label: str = "label", n: int = 3, seeds: tuple[int, ...] = (42, 43, 44)) -> DataFrame:
     """(group, seed, fold): each group is in one fold of a seed; folds are alike in their numbers of either label.
 
-    Groups with as many rows of each label are a kind. Kinds follow each other by falling difference of the two numbers.
-    Of a kind, whole rounds of n groups give each fold one, which changes no balance; the rest are dealt one after
-    another to the fold to which they add least squared deviation of either label's share (then the one of fewer rows,
-    then the first). Which groups of a kind go where is by a seeded hash. One task sees a row a kind (two numbers; N
-    rows have fewer than 2 * N ** (2 / 3) kinds), none sees the groups.
+    Groups with as many rows of each label are a kind. Kinds follow each other by falling difference of the two numbers,
+    and all their groups are dealt greedily, see `shares`. Which groups of a kind go where is by a seeded hash. One task
+    sees a row a kind (two numbers; N rows have fewer than 2 * N ** (2 / 3) kinds), none sees the groups.
     """
     importable(rows.sparkSession)
     each = rows.groupBy(group).agg(F.sum(F.col(label).cast("long")).alias("p"), F.sum((1 - F.col(label)).cast("long")).alias("q"))
     kinds = each.groupBy("p", "q").agg(F.count("*").alias("c")).repartition(1).sortWithinPartitions(F.abs(F.col("p") - F.col("q")).desc(), F.col("p").desc(), F.col("q").desc())
-    rest = kinds.mapInPandas(lambda x: _dealt_kinds(x, n), "p long, q long, folds array<int>")
+    rest = kinds.mapInPandas(lambda x: _dealt_kinds(x, n), "p long, q long, upto array<long>")
     out = None
     for seed in seeds:
         ranked = C.hashed_rank(each, ["p", "q"], C.draw(seed, F.col(group)), group, "_rank").join(rest, ["p", "q"])
-        left = F.size("folds")
-        fold = F.when(F.col("_rank") <= left, F.get("folds", F.col("_rank").cast("int") - 1)).otherwise(F.pmod(F.col("_rank") - left - 1, F.lit(n)).cast("int"))
+        fold = F.size(F.filter("upto", lambda x: x < F.col("_rank")))
         made = ranked.select(group, F.lit(seed).alias("seed"), fold.alias("fold"))
         out = made if out is None else out.unionByName(made)
     return out

@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from sequoria.functions import topology as T
+from sequoria.sources.readers import bond_lengths
 
 BLOCKS = {"m0": ("handcrafted",), "m1": ("embedding",), "m0_m1": ("handcrafted", "embedding"), "m2": ("handcrafted", "embedding", "structure")}
 KEY_FIELDS = ("peptide_id", "cyclization_type", "topology")
@@ -122,3 +123,35 @@ def plddt(scores: DataFrame, by: str) -> DataFrame:
     values has none."""
     each = scores.filter(finite(F.col("plddt"))).select(by, (F.aggregate("plddt", F.lit(0.0), lambda s, x: s + x) / F.size("plddt")).alias("v"))
     return each.agg(F.count("*").alias("count"), F.avg("v").alias("mean"), F.min("v").alias("min"), F.max("v").alias("max"))
+
+
+def zipped(rows: DataFrame, more: DataFrame, order: str = "ord") -> DataFrame:
+    """rows with the columns of more by position: place `order` of one is that of the other. A place that only one has
+    is an error, as is a place that occurs twice."""
+    left, right = rows.withColumn("_l", F.lit(1)), more.withColumn("_r", F.lit(1))
+    out = left.join(right, order, "full").withColumn("_n", F.count("*").over(Window.partitionBy(order)))
+    fine = F.col("_l").isNotNull() & F.col("_r").isNotNull() & (F.col("_n") == 1)
+    return out.withColumn(order, F.when(fine, F.col(order)).otherwise(_fail("no single pair of rows at place ", F.col(order)).cast(rows.schema[order].dataType))).drop("_l", "_r", "_n")
+
+
+#: Distances in Angstrom between which a disulfide bond and the closing bond of a ring are real.
+DISULFIDE, CLOSURE = (1.8, 2.5), (1.2, 1.6)
+
+
+def geometry_faults(items: DataFrame, atoms: DataFrame) -> DataFrame:
+    """(file, faults): what of the bonds of items (file, disulfide_pairs_flat: one-based residues, flag_cyclic) the atoms
+    (file, atom, residue, x, y, z) do not show: an odd count, a missing atom, a distance out of its bounds."""
+    numbers = F.transform(F.filter(F.split(F.trim(F.coalesce("disulfide_pairs_flat", F.lit(""))), r"\s+"), lambda x: x != ""), lambda x: x.try_cast("int"))
+    each = items.select("file", "flag_cyclic", numbers.alias("at"))
+    sound = (F.size("at") % 2 == 0) & F.forall("at", lambda x: x.isNotNull())
+    bridges = each.filter(sound & (F.size("at") > 0)).select("file", F.explode(F.transform(F.sequence(F.lit(0), F.size("at") - 2, F.lit(2)), lambda i: F.struct(F.get("at", i).alias("a"), F.get("at", i + 1).alias("b")))).alias("p"))
+    bridges = bridges.select("file", F.lit("SG").alias("atom_a"), F.col("p.a").alias("residue_a"), F.lit("SG").alias("atom_b"), F.col("p.b").alias("residue_b"), F.lit("disulfide").alias("bond"))
+    ends = atoms.groupBy("file").agg(F.min("residue").alias("residue_a"), F.max("residue").alias("residue_b"))
+    rings = each.filter(F.col("flag_cyclic").cast("string") == "1").select("file").join(ends, "file", "left").select("file", F.lit("N").alias("atom_a"), "residue_a", F.lit("C").alias("atom_b"), "residue_b", F.lit("closure").alias("bond"))
+    measured = bond_lengths(atoms, bridges.unionByName(rings))
+    low, high = (F.when(F.col("bond") == "disulfide", DISULFIDE[k]).otherwise(CLOSURE[k]) for k in (0, 1))
+    place = F.concat(F.col("bond"), F.lit(" "), F.coalesce(F.col("residue_a").cast("string"), F.lit("?")), F.lit("-"), F.coalesce(F.col("residue_b").cast("string"), F.lit("?")))
+    wrong = F.when(F.col("distance").isNull(), F.concat(place, F.lit(": atom missing"))).when(~F.col("distance").between(low, high), F.concat(place, F.format_string(": %.2f A", "distance")))
+    found = measured.withColumn("wrong", wrong).filter("wrong is not null").groupBy("file").agg(F.array_sort(F.collect_list("wrong")).alias("wrong"))
+    odd = F.when(sound, F.array().cast("array<string>")).otherwise(F.array(F.lit("odd or invalid residue list")))
+    return each.join(found, "file", "left").select("file", F.concat(odd, F.coalesce("wrong", F.array().cast("array<string>"))).alias("faults"))

@@ -47,19 +47,3 @@ def vector_mean(rows: DataFrame, by: list[str], vector: str) -> DataFrame:
     """Element-wise mean of vectors, in order. Long form, so that a group of any size is summed before the shuffle."""
     parts = rows.select(*by, F.posexplode(vector)).groupBy(*by, "pos").agg(F.avg(F.col("col").cast("double")).alias("mean"))
     return parts
-
-
-def bootstrap(rows: DataFrame, group: str, replicates: int, seed: int = 42) -> DataFrame:
-    """Confusion counts of each replicate of a bootstrap over groups: as many hashed draws as there are groups.
-
-    Groups are numbered by order; draw i of replicate r is a hash of both modulo their number. Counts of each group are
-    made first, so what is repeated is a row a group and not a row a record.
-    """
-    up, yes = F.col("score") >= 0.5, F.col("label") == 1
-    each = rows.groupBy(group).agg(F.count_if(~yes & ~up).alias("tn"), F.count_if(~yes & up).alias("fp"), F.count_if(yes & ~up).alias("fn"), F.count_if(yes & up).alias("tp"))
-    numbered = each.withColumn("i", F.row_number().over(Window.orderBy(group)) - 1)
-    total = each.count()
-    spark = rows.sparkSession
-    draws = spark.range(replicates).withColumnRenamed("id", "r").withColumn("k", F.explode(F.sequence(F.lit(0), F.lit(max(total - 1, 0)))))
-    pick = F.conv(F.substring(F.sha2(F.concat_ws("|", F.lit(str(seed)), "r", "k"), 256), 1, 12), 16, 10).cast("long") % max(total, 1)
-    return draws.withColumn("i", pick).groupBy("r", "i").agg(F.count("*").alias("times")).join(numbered, "i").groupBy("r").agg(*[F.sum(F.col("times") * F.col(c)).alias(c) for c in ("tn", "fp", "fn", "tp")])

@@ -154,10 +154,12 @@ def formal_eligibility(spark, sf_dir):
 
 
 @query("""d AS (SELECT source, ord, coalesce(canonical, '') || coalesce(CAST(label AS VARCHAR), '') AS t FROM canon),
-b AS (SELECT source, ord // 4096 AS block, sha256(string_agg(t, '' ORDER BY ord)) AS h, count(*) AS n FROM d GROUP BY ALL)
-SELECT source, sha256(string_agg(h, '' ORDER BY block)) AS digest, CAST(sum(n) AS BIGINT) AS n FROM b GROUP BY source""")
+b AS (SELECT source, ord // 4096 AS block, sha256(string_agg(t, '' ORDER BY ord)) AS h, count(*) AS n FROM d GROUP BY ALL),
+m AS (SELECT max(block) >= 4096 AS deep FROM b),
+u AS (SELECT source, block // 4096 AS block, sha256(string_agg(h, '' ORDER BY block)) AS h, sum(n) AS n FROM b GROUP BY source, block // 4096)
+SELECT source, sha256(string_agg(h, '' ORDER BY block)) AS digest, CAST(sum(n) AS BIGINT) AS n FROM (SELECT * FROM u WHERE (SELECT deep FROM m) UNION ALL SELECT * FROM b WHERE NOT (SELECT deep FROM m)) t GROUP BY source""")
 def dataset_digest(spark, sf_dir):
-    """One digest a source over its sequences and labels in order, by digests of blocks."""
+    """One digest a source over its sequences and labels in order, by a tree of digests."""
     from sequoria.functions import sequence as S
 
     rows = P.sequences(spark, sf_dir).select("ord", "source", F.concat(F.coalesce(S.canonical(F.col("seq")), F.lit("")), F.coalesce(F.col("label").cast("string"), F.lit(""))).alias("t"))

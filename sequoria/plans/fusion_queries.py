@@ -146,11 +146,71 @@ def plddt_summary(spark, sf_dir):
     return out.select("count", *[F.round(c, 6).alias(c) for c in ("mean", "min", "max")])
 
 
-@query("SELECT label, CAST(i AS INTEGER) AS pos, round(avg(embedding[i + 1]::DOUBLE), 6) AS mean FROM (SELECT label, embedding, unnest(range(0, len(embedding))) AS i FROM embeddings WHERE NOT list_bool_or(list_transform(embedding, lambda x: isnan(x) OR isinf(x)))) t GROUP BY ALL")
+def _hydropathy_sql(letter: str) -> str:
+    return "CASE " + letter + " " + " ".join(f"WHEN '{a}' THEN {v!r}::DOUBLE" for a, v in S.HYDROPATHY.items()) + " ELSE 0::DOUBLE END"
+
+
+@query("""core AS (SELECT ord, CASE WHEN cyclization_type = 'head_to_tail' THEN canonical ELSE seq END AS unit, cyclization_type = 'head_to_tail' AS ring FROM canon WHERE seq <> '' AND role = 'core'),
+units AS (SELECT DISTINCT unit, ring FROM core),
+turns AS (SELECT DISTINCT unit, ring, CASE WHEN ring THEN substr(unit, CAST(i AS BIGINT) + 1) || substr(unit, 1, CAST(i AS BIGINT)) ELSE unit END AS turn FROM (SELECT unit, ring, unnest(range(0, CASE WHEN ring THEN len(unit) ELSE 1 END)) AS i FROM units) t),
+letters AS (SELECT unit, ring, turn, i, len(turn) AS n, """ + _hydropathy_sql("turn[i]") + """ AS v FROM (SELECT *, unnest(range(1, len(turn) + 1)) AS i FROM turns) t),
+vectors AS (SELECT unit, ring, turn, avg(v) AS a, avg(v * i) AS b, avg(i / n::DOUBLE) AS c FROM letters GROUP BY ALL),
+means AS (SELECT unit, ring, avg(a) AS a, avg(b) AS b, avg(c) AS c FROM vectors GROUP BY ALL)
+SELECT ord, round(a + 3e-10, 6) AS a, round(b + 3e-10, 6) AS b, round(c + 3e-10, 6) AS c FROM core JOIN means USING (unit, ring)""")
 def rotation_average(spark, sf_dir):
-    """Mean vectors over the finite vectors of each label, as for the rotations of a ring."""
-    rows = P.table(spark, sf_dir, "embeddings").filter(U.finite(F.col("embedding")))
-    return X.vector_mean(rows, ["label"], "embedding").withColumn("mean", F.round("mean", 6))
+    """Core sequences embedded, rings as the mean over all their rotations. (A tiny shift keeps ties of the last digit from
+    depending on the order of sums.)"""
+    from sequoria.models.embedding import LetterEmbedder, embed_rows
+
+    rows = P.sequences(spark, sf_dir).filter("seq <> '' and role = 'core'").select("ord", "seq", "cyclization_type")
+    out = embed_rows(rows, LetterEmbedder())
+    return out.select("ord", *[F.round(F.get("embedding", F.lit(k)) + 3e-10, 6).alias(c) for k, c in enumerate("abc")])
+
+
+_ATOMS = """atoms AS (SELECT ord, ['N', 'C', 'O', 'SG', 'CA'][(ascii(seq[i]) + i) % 5 + 1] AS atom, [14.007, 12.011, 15.999, 32.06, 12.011][(ascii(seq[i]) + i) % 5 + 1]::DOUBLE AS m, 2.3::DOUBLE * cos(1.745::DOUBLE * i) AS x, 2.3::DOUBLE * sin(1.745::DOUBLE * i) AS y, 1.5::DOUBLE * i + (ascii(seq[i]) % 7) / 10.0::DOUBLE AS z
+  FROM (SELECT ord, seq, unnest(range(1, len(seq) + 1)) AS i FROM docs WHERE role = 'core') t)"""
+
+
+def _moments_sql(weight: str, prefix: str) -> str:
+    mean = lambda *c: f"(sum({weight} * {' * '.join(c)}) / sum({weight}))"
+    return ", ".join(f"{mean(p, q)} - {mean(p)} * {mean(q)} AS {prefix}{p}{q}" for p, q in ("xx", "yy", "zz", "xy", "xz", "yz"))
+
+
+def _roots_sql(prefix: str, out: str) -> str:
+    """The roots of the characteristic cubic: as cosines of a third of the angle."""
+    a, b, c, d, e, f = (f"{prefix}{p}" for p in ("xx", "yy", "zz", "xy", "xz", "yz"))
+    q = f"(({a} + {b} + {c}) / 3)"
+    p = f"sqrt((pow({a} - {q}, 2) + pow({b} - {q}, 2) + pow({c} - {q}, 2) + 2 * ({d} * {d} + {e} * {e} + {f} * {f})) / 6)"
+    det = f"(({a} - {q}) * (({b} - {q}) * ({c} - {q}) - {f} * {f}) - {d} * ({d} * ({c} - {q}) - {f} * {e}) + {e} * ({d} * {f} - ({b} - {q}) * {e}))"
+    angle = f"acos(greatest(-1, least(1, CASE WHEN {p} > 0 THEN {det} / (2 * pow({p}, 3)) ELSE 1 END))) / 3"
+    return f"greatest(0, {q} + 2 * {p} * cos({angle})) AS {out}3, greatest(0, {q} + 2 * {p} * cos({angle} + 2 * pi() / 3)) AS {out}1, {q} * 3 AS {out}t"
+
+
+@query(_ATOMS + f""", near AS (SELECT a.ord, m, x - x0 AS x, y - y0 AS y, z - z0 AS z FROM atoms a JOIN (SELECT ord, min(x) AS x0, min(y) AS y0, min(z) AS z0 FROM atoms GROUP BY ord) o ON o.ord = a.ord),
+sums AS (SELECT ord, {_moments_sql("m", "m")}, {_moments_sql("1", "g")} FROM near GROUP BY ord),
+roots AS (SELECT ord, {_roots_sql("m", "l")}, {_roots_sql("g", "g")} FROM sums),
+i AS (SELECT ord, sqrt(lt) AS radius, greatest(0, lt - l3) AS i1, greatest(0, l1 + l3) AS i2, greatest(0, lt - l1) AS i3, CASE WHEN gt > 1e-12 THEN 3 * g1 / gt ELSE 0 END AS spherocity FROM roots),
+wide AS (SELECT a.ord, max(sqrt(pow(a.x - b.x, 2) + pow(a.y - b.y, 2) + pow(a.z - b.z, 2))) AS d FROM atoms a JOIN atoms b ON a.ord = b.ord GROUP BY a.ord)
+SELECT ord, round(radius, 4) AS radius, round(CASE WHEN i3 > 1e-9 THEN (pow(i3 - i2, 2) + pow(i3 - i1, 2) + pow(i2 - i1, 2)) / 2 / (i1 * i1 + i2 * i2 + i3 * i3) ELSE 0 END, 4) AS asphericity, round(CASE WHEN i3 > 1e-9 THEN sqrt(greatest(0, i3 * i3 - i1 * i1)) / i3 ELSE 0 END, 4) AS eccentricity,
+  round(spherocity, 4) AS spherocity, round(CASE WHEN i3 > 1e-9 THEN i1 / i3 ELSE 0 END, 4) AS ratio1, round(CASE WHEN i3 > 1e-9 THEN i2 / i3 ELSE 0 END, 4) AS ratio2, round(d, 4) AS widest FROM i JOIN wide USING (ord)""")
+def shape_descriptors(spark, sf_dir):
+    """Shape of core sequences laid out along a helix, an atom a letter."""
+    from sequoria.operators import shape
+
+    rows = P.sequences(spark, sf_dir).filter("role = 'core'").select("ord", F.posexplode(F.split(F.regexp_replace("seq", "(?<=.)(?=.)", " "), " ")).alias("i", "letter")).filter("letter <> ''").withColumn("i", F.col("i") + 1)
+    code, i = F.ascii("letter"), F.col("i")
+    atoms = rows.select("ord", P._pick(code + i, "N", "C", "O", "SG", "CA").alias("atom"), (F.cos(i * 1.745) * 2.3).alias("x"), (F.sin(i * 1.745) * 2.3).alias("y"), (i * 1.5 + code % 7 / 10.0).alias("z"))
+    out = shape.descriptors(atoms, "ord")
+    return out.select("ord", *[F.round(c, 4).alias(a) for c, a in zip(shape.DESCRIPTORS, ("radius", "asphericity", "eccentricity", "spherocity", "ratio1", "ratio2", "widest"), strict=True)])
+
+
+@query("SELECT ord, CAST(CASE WHEN pos % 3 = 0 THEN 2 + pos % 4 WHEN pos % 5 = 0 THEN CASE WHEN pos % 2 = 0 THEN 2 ELSE 0 END WHEN pos % 5 IN (1, 2) THEN 1 ELSE 0 END AS INTEGER) AS bonds FROM docs")
+def bond_counts(spark, sf_dir):
+    """Numbers of bonds as given, or from the bond list of the topology; what is no list counts as one."""
+    pos = F.col("pos")
+    given = F.when(pos % 3 == 0, F.concat(F.lit(" "), (2 + pos % 4).cast("string"))).otherwise("")
+    topology = F.when(pos % 5 == 0, F.when(pos % 2 == 0, '[[1,4],[2,9,"DSB"]]').otherwise("[]")).when(pos % 5 == 1, "disulfide:2-5").when(pos % 5 == 2, "[[1,").otherwise("")
+    return P.sequences(spark, sf_dir).select("ord", S.bond_count(given, topology).alias("bonds"))
 
 
 _TURNS = "turned AS (SELECT ord, label, cyclization_type, CASE WHEN cyclization_type = 'head_to_tail' THEN {0} ELSE [seq] END AS turns FROM canon WHERE seq <> '' AND role = 'core')"

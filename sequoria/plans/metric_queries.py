@@ -98,20 +98,20 @@ def oof_summary(spark, sf_dir):
 
 
 def dealt_sql(groups: str, name: str, seeds: tuple[int, ...]) -> str:
-    """CTEs that end with `name` (canonical, seed, fold): the greedy deal of groups (canonical, p, q) to three folds."""
-    cost = lambda f: f"{{'c': (p{f} * i.p) / (tp * tp) + (q{f} * i.q) / (tq * tq), 's': s{f}, 'f': {f}}}"
-    moved = ", ".join(f"p{f} + CASE WHEN f = {f} THEN p ELSE 0 END, q{f} + CASE WHEN f = {f} THEN q ELSE 0 END, s{f} + CASE WHEN f = {f} THEN p + q ELSE 0 END" for f in range(3))
-    state = ", ".join(f"p{f}, q{f}, s{f}" for f in range(3))
-    return f"""kinds AS (SELECT p, q, count(*) AS c FROM {groups} GROUP BY ALL),
+    """CTEs that end with `name` (canonical, seed, fold): the greedy deal of groups (canonical, p, q) to three folds. Of what
+    the folds ask for each next group of a kind, the least are met."""
+    asked = ", ".join(f"list_transform(range(k.c), lambda i: {{'c': (p{f} + i * k.p) * k.p / (tp * tp) + (q{f} + i * k.q) * k.q / (tq * tq), 's': p{f} + q{f} + i * (k.p + k.q), 'f': {f}}})" for f in range(3))
+    count = lambda f: f"len(list_filter(got, lambda x: x.f = {f}))"
+    state = ", ".join(f"p{f}, q{f}" for f in range(3))
+    moved = ", ".join(f"p{f} + {count(f)} * p, q{f} + {count(f)} * q" for f in range(3))
+    return f"""kinds AS (SELECT p, q, c, row_number() OVER (ORDER BY abs(p - q) DESC, p DESC, q DESC) AS j FROM (SELECT p, q, count(*) AS c FROM {groups} GROUP BY ALL) t),
 totals AS (SELECT greatest(sum(p * c), 1)::DOUBLE AS tp, greatest(sum(q * c), 1)::DOUBLE AS tq FROM kinds),
-items AS (SELECT p, q, k, row_number() OVER (ORDER BY abs(p - q) DESC, p DESC, q DESC, k) AS j FROM kinds, range(1, 3) r(k) WHERE k <= c % 3),
-dealt(j, f, {state}) AS (
-  SELECT 0::BIGINT, -1, {", ".join("0::DOUBLE, 0::DOUBLE, 0::BIGINT" for _ in range(3))}
+dealt(j, n0, n1, {state}) AS (
+  SELECT 0::BIGINT, 0::BIGINT, 0::BIGINT, {", ".join("0::BIGINT, 0::BIGINT" for _ in range(3))}
   UNION ALL
-  SELECT j, f, {moved} FROM (SELECT i.j, i.p, i.q, {state}, CAST((list_min([{", ".join(map(cost, range(3)))}])).f AS INTEGER) AS f FROM dealt d JOIN items i ON i.j = d.j + 1, totals) t),
-ranked AS (SELECT canonical, g.p, g.q, s AS seed, row_number() OVER (PARTITION BY g.p, g.q, s ORDER BY sha256(s || '|' || canonical), canonical) AS rnk, c % 3 AS rest FROM {groups} g JOIN kinds USING (p, q), (SELECT unnest({list(seeds)}) AS s) x),
-{name} AS (SELECT canonical, r.seed, CAST(CASE WHEN rnk <= rest THEN d.f ELSE (rnk - rest - 1) % 3 END AS INTEGER) AS fold
-  FROM ranked r LEFT JOIN items i ON i.p = r.p AND i.q = r.q AND i.k = r.rnk LEFT JOIN dealt d ON d.j = i.j)"""
+  SELECT j, {count(0)}, {count(1)}, {moved} FROM (SELECT k.j, k.p, k.q, {state}, list_sort(flatten([{asked}]))[1:k.c] AS got FROM dealt d JOIN kinds k ON k.j = d.j + 1, totals) t),
+ranked AS (SELECT canonical, k.j, s AS seed, row_number() OVER (PARTITION BY g.p, g.q, s ORDER BY sha256(s || '|' || canonical), canonical) AS rnk FROM {groups} g JOIN kinds k USING (p, q), (SELECT unnest({list(seeds)}) AS s) x),
+{name} AS (SELECT canonical, seed, CASE WHEN rnk <= n0 THEN 0 WHEN rnk <= n0 + n1 THEN 1 ELSE 2 END AS fold FROM ranked JOIN dealt USING (j))"""
 
 
 _SPLITS = "g AS (SELECT canonical, CAST(sum(label) AS BIGINT) AS p, CAST(sum(1 - label) AS BIGINT) AS q FROM canon WHERE label IS NOT NULL AND canonical IS NOT NULL GROUP BY canonical),"
@@ -125,6 +125,34 @@ def group_splits(spark, sf_dir):
     return E.group_splits(_labelled(spark, sf_dir).select("canonical", "label"), "canonical")
 
 
+@query(_SPLITS + dealt_sql("g", "splits", (42,)) + " SELECT canonical, CASE fold WHEN 2 THEN 'train' WHEN 1 THEN 'validation' ELSE 'test' END AS split FROM splits")
+def cyclic_split(spark, sf_dir):
+    """Train, validation and test by groups of rings."""
+    from sequoria.operators import splits as L
+
+    from .split_queries import _labelled
+
+    folds = E.group_splits(_labelled(spark, sf_dir).select("canonical", "label"), "canonical", seeds=(42,))
+    return L.cyclic_split(folds).select("canonical", "split")
+
+
+@query(_SPLITS + dealt_sql("g", "splits", (42, 43, 44)) + ", sizes AS (SELECT s.source, CAST(seed AS INTEGER) AS seed, fold, count(*) FILTER (label = 0) AS no, count(*) FILTER (label = 1) AS yes FROM splits JOIN canon s USING (canonical) WHERE label IS NOT NULL GROUP BY ALL) SELECT seed, fold, sum(no)::BIGINT AS no, sum(yes)::BIGINT AS yes FROM sizes GROUP BY ALL HAVING sum(no) < 4000 OR sum(yes) < 4000")
+def fold_sizes(spark, sf_dir):
+    """Folds that have too few rows of a label (here under 4,000)."""
+    from .split_queries import _labelled
+
+    rows = _labelled(spark, sf_dir).select("canonical", "label")
+    return R.fold_size_errors(E.group_splits(rows, "canonical").join(rows, "canonical"), 4000)
+
+
+@query("t AS (SELECT doc_id, CAST(label AS VARCHAR) AS l, source FROM texts WHERE label IS NOT NULL), b AS (SELECT doc_id // 4096 AS b, sha256(string_agg('[\"' || doc_id || '\",\"' || l || '\",\"' || source || '\"]', '' ORDER BY doc_id)) AS d, count(*) AS n FROM t GROUP BY 1) SELECT sha256(string_agg(d, '' ORDER BY b)) AS digest, CAST(sum(n) AS BIGINT) AS n FROM b")
+def training_digest(spark, sf_dir):
+    """Digest of the labelled texts in order, as a model's contract names it."""
+    from sequoria.operators import splits as L
+
+    return L.training_digest(P.labelled_texts(spark, sf_dir).filter("label is not null"), "doc_id", "doc_id", "label", "source")
+
+
 @query("c AS (SELECT source, count(DISTINCT doc_id % 5) AS a, count(DISTINCT doc_id % 5) FILTER (label = 0) AS n, count(DISTINCT doc_id % 5) FILTER (label = 1) AS y FROM texts WHERE label IS NOT NULL GROUP BY source) SELECT source, CASE WHEN least(3, a, nullif(n, 0), nullif(y, 0)) >= 2 THEN CAST(least(3, a, nullif(n, 0), nullif(y, 0)) AS INTEGER) END AS folds FROM c")
 def inner_folds(spark, sf_dir):
     """How many grouped folds each source allows."""
@@ -172,3 +200,29 @@ def score_requests(spark, sf_dir):
     rows = P.sequences(spark, sf_dir).select("ord", F.col("seq").alias("sequence"), P._pick(pos, "Head-to-tail", "disulfide", "stapled", " side chain ").alias("cyclization_type"), F.when(pos % 2 == 0, F.array(F.array(F.lit(1), 3 + pos % 20))).otherwise(F.array().cast("array<array<int>>")).alias("bond_pairs"), F.when(pos % 3 == 0, F.lit(0.5)).alias("m0"), F.lit(0.25).alias("lora"))
     out = R.score(R.validated(rows), {"m0": "m0", "lora": "lora"}, ("m1",))
     return out.select("ord", "error", F.col("canonical"), F.size("warnings").alias("n_warnings"))
+
+
+@query("""s AS (SELECT ord, seq, ['Head-to-tail', 'disulfide', 'stapled', ' side chain '][pos % 4 + 1] AS kind, pos FROM docs),
+n AS (SELECT *, replace(replace(lower(trim(kind)), '-', '_'), ' ', '_') AS k FROM s),
+e AS (SELECT *, seq = '' OR len(seq) NOT BETWEEN 5 AND 50 OR k NOT IN ('head_to_tail', 'disulfide', 'sidechain', 'side_chain', 'other') AS bad FROM n)
+SELECT ord, CASE WHEN NOT bad THEN len(seq) / 50.0::DOUBLE END AS m0_score, CASE WHEN NOT bad AND ord % 3 <> 0 THEN (ord % 10) / 10.0::DOUBLE END AS lora_score, CAST(NULL AS DOUBLE) AS m1_score,
+  CASE WHEN bad THEN '' ELSE concat_ws('; ', 'm2: no model, no score', CASE WHEN ord % 3 = 0 THEN 'lora: inference failed, degraded' END, 'm1: inference failed, degraded',
+    CASE WHEN k NOT IN ('head_to_tail', 'disulfide') THEN 'structure: only for head-to-tail rings and disulfides with explicit bonds' WHEN k = 'disulfide' THEN 'structure: disulfide without explicit bonds, none is guessed' END,
+    CASE WHEN ord % 3 = 0 THEN 'lora: the score is no finite number' END, 'm1: RuntimeError: no weights') END AS warnings FROM e""")
+def predict_requests(spark, sf_dir):
+    """Requests scored by branches run in batches: m0 works, lora gives no number for some, m1 fails as a whole."""
+    from sequoria.models.predict import predict
+
+    def lengths(rows):
+        return [len(r["canonical"]) / 50.0 for r in rows]
+
+    def some(rows):
+        return [float("nan") if r["ord"] % 3 == 0 else (r["ord"] % 10) / 10.0 for r in rows]
+
+    def broken(rows):
+        raise RuntimeError("no weights")
+
+    pos = F.col("pos")
+    rows = P.sequences(spark, sf_dir).select("ord", F.col("seq").alias("sequence"), P._pick(pos, "Head-to-tail", "disulfide", "stapled", " side chain ").alias("cyclization_type"), F.array().cast("array<array<int>>").alias("bond_pairs"))
+    out = predict(rows, "ord", {"m0": lengths, "lora": some, "m1": broken})
+    return out.select("ord", "m0_score", "lora_score", "m1_score", F.array_join("warnings", "; ").alias("warnings"))

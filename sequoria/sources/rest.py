@@ -3,13 +3,16 @@
 from __future__ import annotations
 
 import json
+import math
 import threading
 import time
+import uuid
 from collections.abc import Callable, Iterator
 from urllib.parse import quote, urlencode
 from urllib.request import Request, urlopen
 
 import pandas as pd
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
@@ -29,10 +32,24 @@ class Limiter:
             self.free_at = time.monotonic() + self.gap
 
 
+class Slots:
+    """One rate over many tasks: call k of task p of n may start at begin + (k * n + p) / rate. Slots that went by unused
+    are lost, so that all tasks together never exceed the rate."""
+
+    def __init__(self, per_second: float, task: int, tasks: int, begin: float):
+        self.gap, self.task, self.tasks, self.begin, self.k = 1.0 / per_second, task, tasks, begin, 0
+
+    def wait(self) -> None:
+        step = self.gap * self.tasks
+        self.k = max(self.k, math.ceil((time.time() - self.begin - self.gap * self.task) / step))
+        time.sleep(max(0.0, self.begin + self.gap * self.task + self.k * step - time.time()))
+        self.k += 1
+
+
 class Client:
     """GET of JSON with retries. The wait after try k is `pause` times k (linear) or 2 to the k (doubling)."""
 
-    def __init__(self, root: str, tries: int = 3, pause: float = 1.0, doubling: bool = False, rest: float = 0.0, limiter: Limiter | None = None, timeout: float = 30.0):
+    def __init__(self, root: str, tries: int = 3, pause: float = 1.0, doubling: bool = False, rest: float = 0.0, limiter: Limiter | Slots | None = None, timeout: float = 30.0):
         self.root, self.tries, self.pause, self.doubling, self.rest, self.limiter, self.timeout = root.rstrip("/"), max(1, tries), pause, doubling, rest, limiter, timeout
 
     def get(self, path: str, params: dict | None = None) -> object:
@@ -108,30 +125,34 @@ def cache_key(text) -> F.Column:  # noqa: ANN001
 Fetch = Callable[[str], object]
 
 
-def from_service(url: str, form: str, per_second: float = 2.5, tries: int = 4, pause: float = 0.5) -> Fetch:
-    """Looks a text up at `form` (with {} for the quoted text) under one rate; waits double after failures."""
-    client = Client(url, tries, pause, doubling=True, limiter=Limiter(per_second))
+def from_service(url: str, form: str, limiter: Limiter | Slots, tries: int = 4, pause: float = 0.5) -> Fetch:
+    """Looks a text up at `form` (with {} for the quoted text); each try waits for the limiter, and double after failures."""
+    client = Client(url, tries, pause, doubling=True, limiter=limiter)
     return lambda text: client.get(form.format(quote(text, safe="")))
 
 
 ANSWER = "request string, payload string, error string"
 
 
-def looked_up(requests: DataFrame, cache: str, make_fetch: Callable[[], Fetch]) -> DataFrame:
+def looked_up(requests: DataFrame, cache: str, make_fetch: Callable[[Slots], Fetch], per_second: float = 2.5, tasks: int = 4) -> DataFrame:
     """(request, payload, error) for each distinct request (a column of text); payload is JSON text.
 
-    What the cache folder has is reused; only the rest is fetched, by one task, since a rate holds within a process, and
-    appended to the cache. Failures are rows with an error, and are not kept: the next run tries them again.
+    What the cache folder has is reused; only the rest is fetched, by `tasks` tasks that share the rate by time slots.
+    They write their answers to a folder of the run within the cache; nothing passes the driver. Failures are rows with
+    an error and are not reused: the next run tries them again, and a run that was cut off resumes at what is missing.
     """
     spark = requests.sparkSession
     importable(spark)
     wanted = requests.select("request").filter("request is not null").distinct()
     path = spark._jvm.org.apache.hadoop.fs.Path(cache)
     there = path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(path)
-    known = spark.read.schema("request string, payload string").parquet(cache) if there else spark.createDataFrame([], "request string, payload string")
+    read = lambda: spark.read.schema(ANSWER).option("recursiveFileLookup", True).parquet(cache)
+    good = lambda answers: answers.filter("error is null").groupBy("request").agg(F.max("payload").alias("payload"))
+    misses = wanted.join(good(read()), "request", "left_anti") if there else wanted
+    begin = time.time()
 
     def fetch(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        one = make_fetch()
+        one = make_fetch(Slots(per_second, TaskContext.get().partitionId() % tasks, tasks, begin))
         for frame in frames:
             rows = []
             for text in frame["request"]:
@@ -141,8 +162,7 @@ def looked_up(requests: DataFrame, cache: str, make_fetch: Callable[[], Fetch])
                     rows.append((text, None, f"request_error:{type(e).__name__}:{e}"))
             yield pd.DataFrame(rows, columns=["request", "payload", "error"])
 
-    misses = wanted.join(known.select("request"), "request", "left_anti")
-    tried = spark.createDataFrame(misses.coalesce(1).mapInPandas(fetch, ANSWER).toPandas(), ANSWER) if not misses.isEmpty() else spark.createDataFrame([], ANSWER)  # as many rows as the rate allows
-    tried.filter("error is null").select("request", "payload").write.mode("append").parquet(cache)
-    held = spark.read.schema("request string, payload string").parquet(cache).groupBy("request").agg(F.max("payload").alias("payload"))
-    return wanted.join(held, "request", "left").join(tried.filter("error is not null").select("request", "error"), "request", "left").select("request", "payload", "error")
+    run = f"{cache.rstrip('/')}/run-{uuid.uuid4().hex}"
+    misses.repartition(tasks).mapInPandas(fetch, ANSWER).write.parquet(run)
+    failed = spark.read.schema(ANSWER).parquet(run).filter("error is not null").select("request", "error")
+    return wanted.join(good(read()), "request", "left").join(failed, "request", "left").select("request", "payload", "error")

@@ -32,6 +32,16 @@ def write_fasta_files(rows: DataFrame, path: str) -> None:
     rows.select(T.file_id(F.col("record_id").cast("string")).alias("file"), text).repartition("file").write.partitionBy("file").text(path)
 
 
+def write_ordered(rows: DataFrame, path: str, order: list[str], form: str = "parquet") -> None:
+    """rows in total order: partitions are ranges of `order`, each sorted; files read by name give the order back."""
+    rows.repartitionByRange(*order).sortWithinPartitions(*order).write.format(form).save(path)
+
+
+def file_digests(spark: SparkSession, path: str) -> DataFrame:
+    """(file, digest): SHA-256 of the bytes of each file. A file is one row, so this is for artifacts, not for corpora."""
+    return spark.read.format("binaryFile").load(path).select(F.element_at(F.split("path", "/"), -1).alias("file"), F.sha2("content", 256).alias("digest"))
+
+
 def write_manifest(summary: DataFrame, path: str) -> None:
     """A table of few rows, such as counts and digests, as one JSON file."""
     summary.coalesce(1).write.mode("overwrite").json(path)
