@@ -299,7 +299,7 @@ def remove_repeats(docs: DataFrame, hot: int = HOT) -> DataFrame:
     rows = materialize(rows.mapInArrow(lean(_segmented), SEGMENTED), "segmented", "zstd")
     each = rows.filter(F.size("h") > 0).select("row", F.posexplode(F.arrays_zip("h", "x")).alias("k", "z")).select("row", "k", "z.h", "z.x")
     twice = materialize(each.groupBy("h").agg(F.count("*").alias("c")).filter("c > 1").select("h"), "twice")
-    met = materialize(each.join(small_side(twice), "h"), "met")
+    met = materialize(each.join(twice, "h"), "met")
     like = materialize(met.groupBy("h", "x").agg(F.count("*").alias("n"), F.min(F.struct("row", "k")).alias("at")).select(F.col("h").alias("g"), "x", "n", "at.row", "at.k"), "like")
     # unlike segments under one anchor are merged; the bytes of each come from one text
     keys = unlike(like)
