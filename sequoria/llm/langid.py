@@ -225,9 +225,10 @@ def predict(texts: list[str | None], samples: dict[str, str]) -> tuple[list[str]
     return langs, scores
 
 
-def samples(docs: DataFrame, learn: Column, chars: int = SAMPLE_CHARS, n_docs: int = SAMPLE_DOCS) -> dict[str, str]:
+def samples(docs: DataFrame, learn: Column, chars: int = SAMPLE_CHARS, n_docs: int = SAMPLE_DOCS, total: int = SAMPLE_TOTAL) -> dict[str, str]:
     """A bounded sample of text for each label among the rows that `learn` admits: `n_docs` distinct texts that have a
-    letter, by order of a hash, cut to equal parts from their first letter on. A label with such a text is never lost. The bound is (labels x chars), at most SAMPLE_TOTAL in all."""
+    letter, by order of a hash, cut to equal parts from their first letter on. A label with such a text is never lost. The bound is labels x chars,
+    at most `total` in all: with more than total / chars labels each gets a smaller sample."""
     known = docs.filter(learn).filter(F.col("lang").isNotNull() & F.col("text").rlike(r"\p{L}")).select("lang", "text", F.xxhash64("text").alias("h"))
     # copies count once; each task passes on its least hashes only, before the rows of a label meet
     first = known.select("lang", "h", F.shiftright("h", 58).alias("part")).distinct()
@@ -243,7 +244,7 @@ def samples(docs: DataFrame, learn: Column, chars: int = SAMPLE_CHARS, n_docs: i
         held = out.setdefault(lang, [])
         if (room := chars - sum(map(len, held))) > 0:
             held.append(letters(text)[: min(2 * each, room)] + " ")
-    most = SAMPLE_TOTAL // max(1, len(out))
+    most = total // max(1, len(out))
     return {k: s[:most] for k, v in out.items() if (s := "".join(v)).strip()}
 
 
