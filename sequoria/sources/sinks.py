@@ -32,9 +32,11 @@ def write_fasta_files(rows: DataFrame, path: str) -> None:
     rows.select(T.file_id(F.col("record_id").cast("string")).alias("file"), text).repartition("file").write.partitionBy("file").text(path)
 
 
-def write_ordered(rows: DataFrame, path: str, order: list[str], form: str = "parquet") -> None:
-    """rows in total order: partitions are ranges of `order`, each sorted; files read by name give the order back."""
-    rows.repartitionByRange(*order).sortWithinPartitions(*order).write.format(form).save(path)
+def write_ordered(rows: DataFrame, path: str, order: list[str], form: str = "parquet", files: int | None = None) -> None:
+    """rows in total order: partitions are ranges of `order`, each sorted; files read by name give the order back. files: how
+    many, else as sizes ask."""
+    dealt = rows.repartitionByRange(files, *order) if files else rows.repartitionByRange(*order)
+    dealt.sortWithinPartitions(*order).write.format(form).save(path)
 
 
 def file_digests(spark: SparkSession, path: str) -> DataFrame:
