@@ -235,15 +235,16 @@ def m1_families() -> dict[str, Family]:
     return {"lr": Family("lr", _lr_reduced, _grid(C=(0.1, 1.0, 10.0))), "mlp": Family("mlp", _mlp, _grid(max_iter=(500,)))}
 
 
-def fusion_families(widths: tuple[int, ...], trees: int = 500) -> dict[str, Family]:
-    """Families on joined blocks of given widths: each block is filled and scaled, the wide ones are reduced."""
+def fusion_families(widths: tuple[int, ...], trees: int = 500, rounds: int = 500) -> dict[str, Family]:
+    """Families on joined blocks of given widths: each block is filled and scaled, the wide ones are reduced. trees of the
+    forest, and rounds of the network at most."""
 
     def forest(params: dict, rows: int, width: int) -> list:
         return [*reduced_blocks(widths, rows)[0], _forest(params, "w", trees)]
 
     def network(params: dict, rows: int, width: int) -> list:
         stages, k = reduced_blocks(widths, rows)
-        return [*stages, Network("w", k, most=params.get("max_iter", 500))]
+        return [*stages, Network("w", k, most=rounds)]
 
     return {"rf": Family("rf", forest, ({},)), "mlp": Family("mlp", network, ({},))}
 

@@ -157,7 +157,7 @@ def evaluate(rows: DataFrame, families: dict[str, Fam.Family], sample: str, grou
     return spark.read.parquet(path).select(*SCORED, sample, group, "label", "score")
 
 
-def ablation(rows: DataFrame, sample: str, group: str, names: Sequence[str] = tuple(U.BLOCKS), seeds: tuple[int, ...] = (42, 43, 44), n: int = 3, trees: int = 500, workers: int = WORKERS) -> DataFrame:
+def ablation(rows: DataFrame, sample: str, group: str, names: Sequence[str] = tuple(U.BLOCKS), seeds: tuple[int, ...] = (42, 43, 44), n: int = 3, trees: int = 500, rounds: int = 500, workers: int = WORKERS) -> DataFrame:
     """Scores of `evaluate` for each feature set (first column `feature_set`), over one and the same set of folds.
 
     rows: sample, group, label and the blocks of the sets. A block has one width in all rows; each is filled, scaled,
@@ -169,7 +169,7 @@ def ablation(rows: DataFrame, sample: str, group: str, names: Sequence[str] = tu
         raise ValueError(f"rows of differing widths in {', '.join(uneven)}")
     out = None
     for name in names:
-        families = Fam.fusion_families(tuple(width[b] for b in U.BLOCKS[name]), trees)
+        families = Fam.fusion_families(tuple(width[b] for b in U.BLOCKS[name]), trees, rounds)
         wide = U.feature_set(rows, name).select(sample, group, "label", "features")
         scored = evaluate(wide, families, sample, group, seeds, n, workers=workers).select(F.lit(name).alias("feature_set"), "*")
         out = scored if out is None else out.unionByName(scored)

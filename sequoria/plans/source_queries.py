@@ -183,7 +183,7 @@ def fusion_ablation(spark, sf_dir):
     over = lambda x: F.aggregate(v, F.lit(0.0), lambda s, y: s + (y > x).cast("double"))
     power = lambda k: F.aggregate(v, F.lit(0.0), lambda s, y: s + F.pow(y, F.lit(k)))
     rows = _vector_rows(spark, sf_dir).select("vec_id", "grp", "label", F.array(*[over(x) for x in (-0.2, -0.1, 0.0, 0.1, 0.2)]).alias("handcrafted"), v.alias("embedding"), F.array(power(2.0), power(3.0), power(4.0)).alias("structure"))
-    scored = protocol.ablation(rows, "vec_id", "grp", seeds=(42,), n=3, trees=10)
+    scored = protocol.ablation(rows, "vec_id", "grp", seeds=(42,), n=2, trees=10, rounds=20)
     by = ["feature_set", *protocol.SCORED]
     return E.metrics(E.cells(scored, by), by)
 
