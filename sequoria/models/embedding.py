@@ -51,19 +51,53 @@ def pooled(states: np.ndarray, residues: np.ndarray) -> np.ndarray:
         return (states * mask).sum(axis=1) / mask.sum(axis=1)
 
 
+def _vectors(embedder: Embedder, texts: list[str], tokens: int) -> np.ndarray:
+    """The pooled vectors of the texts, in their order."""
+    out = np.empty((len(texts), embedder.size))
+    for part in planned(np.fromiter(map(len, texts), np.int64, len(texts)), tokens):
+        vectors = pooled(*embedder.states([texts[i] for i in part]))
+        if vectors.shape != (len(part), embedder.size):
+            raise ValueError(f"the embedder gave {vectors.shape} for {len(part)} sequences of width {embedder.size}")
+        out[part] = vectors
+    return out
+
+
+def _rows(keys: pa.Array, vectors: np.ndarray, name: str) -> pa.RecordBatch:
+    offsets = pa.array(np.arange(len(vectors) + 1, dtype=np.int32) * vectors.shape[1])
+    return pa.RecordBatch.from_arrays([keys, pa.ListArray.from_arrays(offsets, pa.array(vectors.ravel()))], names=[name, "embedding"])
+
+
 def _embedded(embedder: Embedder, tokens: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         embedder.load()
         for batch in batches:
-            texts = batch.column(0).to_pylist()
-            out = np.empty((len(texts), embedder.size))
-            for part in planned(np.fromiter(map(len, texts), np.int64, len(texts)), tokens):
-                vectors = pooled(*embedder.states([texts[i] for i in part]))
-                if vectors.shape != (len(part), embedder.size):
-                    raise ValueError(f"the embedder gave {vectors.shape} for {len(part)} sequences of width {embedder.size}")
-                out[part] = vectors
-            offsets = pa.array(np.arange(len(texts) + 1, dtype=np.int32) * embedder.size)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.ListArray.from_arrays(offsets, pa.array(out.ravel()))], names=["seq", "embedding"])
+            yield _rows(batch.column(0), _vectors(embedder, batch.column(0).to_pylist(), tokens), "seq")
+
+    return run
+
+
+#: Rings that a task turns at once; all their rotations are in memory.
+UNITS = 512
+
+
+def _turns(unit: str) -> list[str]:
+    """What a unit is averaged over: all distinct rotations of a ring (`o` before it), else the sequence (`-`)."""
+    text = unit[1:]
+    return [text[i:] + text[:i] for i in range((text + text).index(text, 1))] if unit[0] == "o" else [text]
+
+
+def _averaged(embedder: Embedder, tokens: int):
+    """Means of the units' vectors, each made of rotations within its task."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        embedder.load()
+        for batch in batches:
+            for start in range(0, batch.num_rows, UNITS):
+                units = batch.column(0).slice(start, UNITS)
+                turns = [_turns(u) for u in units.to_pylist()]
+                counts = np.array([len(t) for t in turns])
+                vectors = _vectors(embedder, [t for each in turns for t in each], tokens)
+                yield _rows(units, np.add.reduceat(vectors, np.cumsum(counts) - counts) / counts[:, None], "_unit")
 
     return run
 
@@ -83,12 +117,17 @@ def embed_rows(rows: DataFrame, embedder: Embedder, cache: DataFrame | None = No
     """rows (seq, cyclization_type, ...) with `embedding`: of a head-to-tail ring the mean over all its distinct
     rotations, of anything else that of seq. Empty and null sequences get none.
 
-    A mean is made once for each ring, whatever rotation it is given in. Sums are grouped by ring, each of a row of
-    numbers, so a ring's rotations (as many as residues) meet in one group and no more.
+    A mean is made once for each ring, whatever rotation it is given in. Rotations are made where they are embedded: two
+    rings share none, so only rings are dealt out. Those that a cache has are looked up, which takes rows of rotations.
     """
     kind = S.cyclization_type(F.coalesce("cyclization_type", F.lit("")))
     keyed = sealed(rows.withColumn("_ring", (kind == RING) & (F.coalesce("seq", F.lit("")) != "")), *rows.columns, F.when(F.col("_ring"), F.concat(F.lit("o"), S.canonical(F.col("seq")))).otherwise(F.concat(F.lit("-"), "seq")).alias("_unit"))
+    keyed = stored(keyed, "units")
     units = distinct_dealt(keyed.filter("_unit is not null and _unit <> '-'"), "_unit")
+    if cache is None:
+        importable(rows.sparkSession)
+        means = units.mapInArrow(_averaged(embedder, tokens), "_unit string, embedding array<double>")
+        return keyed.join(means, "_unit", "left").drop("_unit")
     bare = F.substring("_unit", 2, 1 << 20)
     turns = sealed(units, "_unit", F.when(F.col("_unit").startswith("o"), S.distinct_rotations(bare)).otherwise(F.array(bare)).alias("turns"))
     turns = stored(turns.select("_unit", F.explode("turns").alias("seq")), "rotations")
@@ -109,11 +148,10 @@ class LetterEmbedder:
             self.value[ord(letter)] = v
 
     def states(self, sequences: list[str]) -> tuple[np.ndarray, np.ndarray]:
-        width = max(map(len, sequences)) + 2
-        states, residues = np.full((len(sequences), width, self.size), 1e6), np.zeros((len(sequences), width), bool)
-        for i, text in enumerate(sequences):
-            n, v = len(text), self.value[np.frombuffer(text.encode("ascii"), np.uint8)]
-            place = np.arange(1, n + 1)
-            states[i, 1 : n + 1] = np.stack([v, v * place, place / n], axis=1)
-            residues[i, 1 : n + 1] = True
+        n = np.fromiter(map(len, sequences), np.int64, len(sequences))
+        states, residues = np.full((len(n), int(n.max()) + 2, self.size), 1e6), np.zeros((len(n), int(n.max()) + 2), bool)
+        residues[:, 1:-1] = np.arange(1, n.max() + 1) <= n[:, None]
+        v = self.value[np.frombuffer("".join(sequences).encode("ascii"), np.uint8)]
+        place = np.nonzero(residues)[1]
+        states[residues] = np.stack([v, v * place, place / np.repeat(n, n)], axis=1)
         return states, residues
