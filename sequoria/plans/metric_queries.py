@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from sequoria.functions.plan import stored
 from sequoria.operators import evaluation as E
 from sequoria.operators import scoring as R
 
@@ -141,7 +142,7 @@ def fold_sizes(spark, sf_dir):
     """Folds that have too few rows of a label (here under 4,000)."""
     from .split_queries import _labelled
 
-    rows = _labelled(spark, sf_dir).select("canonical", "label")
+    rows = stored(_labelled(spark, sf_dir).select("canonical", "label"), "labelled")
     return R.fold_size_errors(E.group_splits(rows, "canonical").join(rows, "canonical"), 4000)
 
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from sequoria.functions import sequence as S
-from sequoria.functions.plan import sealed
+from sequoria.functions.plan import sealed, stored
 from sequoria.operators import cleaning as K
 from sequoria.operators import curation as C
 
@@ -46,7 +46,7 @@ def _labelled(spark, sf_dir):
 @query(_GROUPS + " SELECT canonical, label, " + ", ".join(_FOLD.format(s) for s in (42, 43, 44)) + " FROM groups")
 def fold_assign(spark, sf_dir):
     """Folds of the groups that have one label; see group_conflicts for the others."""
-    rows = _labelled(spark, sf_dir)
+    rows = stored(_labelled(spark, sf_dir).select("canonical", "label"), "labelled")
     groups = K.agreed_groups(rows.join(K.group_conflicts(rows, "canonical"), "canonical", "left_anti"), "canonical")
     return C.folds(groups, "label", "canonical")
 
