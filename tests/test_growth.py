@@ -75,3 +75,18 @@ def test_rotations_are_not_stored_to_be_averaged(spark):
     near = lambda a, b: all(abs(x - y) < 1e-9 for x, y in zip(a, b, strict=True))
     assert got[1] == got[2] and near(got[1], mean(["KLVFF"[i:] + "KLVFF"[:i] for i in range(5)]))
     assert near(got[3], value("KLVFF")) and got[4] is None and near(got[5], mean(["ALAL", "LALA"]))
+
+
+def test_signatures_are_slim_and_find_all_pairs(spark):
+    import random
+
+    r, texts = random.Random(5), set()
+    for _ in range(60):
+        t = "".join(r.choice("ACDEF") for _ in range(r.randint(3, 90)))
+        texts |= {t, t[:-1] or t, t + r.choice("ACD"), t[: len(t) // 2] + "G" + t[len(t) // 2 :]}
+    rows = spark.createDataFrame([(t,) for t in sorted(texts)], "seq string")
+    sides = C._sketched(C.with_kmers(rows)).withColumn("classes", F.array(C._size_class(F.col("n"))))
+    assert len(C._signatures(sides, 0.8, True).columns) == 5
+    grams = {t: {t[i : i + 3] for i in range(max(1, len(t) - 2))} for t in texts}
+    like = {(a, b) for a in texts for b in texts if len(grams[a] & grams[b]) / len(grams[a] | grams[b]) >= 0.8}
+    assert {tuple(x) for x in C.similar_pairs(C.with_kmers(rows), C.with_kmers(rows)).collect()} == like
