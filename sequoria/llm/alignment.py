@@ -21,17 +21,17 @@ import pyarrow.compute as pc
 import regex
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import ArrayType, IntegerType, LongType, StructField, StructType
+from pyspark.sql.types import ArrayType, LongType, StructField, StructType
 
 from .bpe import merge
 from .common import BROADCAST_ROWS, importable_on_workers, lean, materialize
 
 #: Bytes of text that a worker has in hand at once; tokens of kept segments at most; segment length from which pre-tokens
-#: are merged here, in n log n.
-SLICE, KEPT, LONG = 2_000_000, 750_000, 2_000
-#: A token is its end offset << BITS | id; a mark between groups has an id that no token has.
+#: are merged here, in n log n; segments that are tokenised as one text.
+SLICE, KEPT, LONG, TOGETHER = 2_000_000, 750_000, 2_000, 4_096
+#: A token is its end offset << BITS | id; an end is a mark, which has an id that no token has.
 BITS, MARK = 20, 999_999
-TOKENS = StructType([StructField("doc_id", LongType())] + [StructField(c, ArrayType(t, False), False) for c, t in (("a", LongType()), ("a_ends", IntegerType()), ("b", LongType()), ("b_ends", IntegerType()))])
+TOKENS = StructType([StructField("doc_id", LongType())] + [StructField(c, ArrayType(LongType(), False), False) for c in ("a", "a_ends", "b", "b_ends")])
 SPACE = "▁"
 
 
@@ -60,6 +60,8 @@ class Tokenizers:
         n = self.pieces.get_piece_size()
         text = [self.pieces.id_to_piece(i) for i in range(n)]
         self.bytes_b = [bytes([int(t[1:-1], 16)]) if self.pieces.is_byte(i) else t.replace(SPACE, " ").encode() for i, t in enumerate(text)]
+        self.len_a, self.len_b = np.zeros(max(self.bytes_a) + 1, np.int64), np.array([len(t) for t in self.bytes_b])
+        self.len_a[list(self.bytes_a)] = [len(t) for t in self.bytes_a.values()]
         if max(n, *self.bytes_a) >= MARK:
             raise ValueError(f"ids must be under {MARK}")
         if any(SPACE in t.lstrip(SPACE) for t in text):
@@ -77,17 +79,42 @@ class Tokenizers:
             return self.fast.encode_ordinary(text)
         return [i for piece in self.form.findall(text) for i in merge(piece.encode(), self.ranks)]
 
+    def ids_together(self, whole: bytes, bounds: np.ndarray) -> tuple[np.ndarray, np.ndarray] | None:
+        """The ids of short segments without more white space, and how many each has, from their common text; bounds:
+        where each ends. None where tokens do not end where segments do."""
+        ids = np.array(self.fast.encode_ordinary(whole.decode()), np.int64)
+        ends = np.cumsum(self.len_a[ids])
+        last = np.searchsorted(ends, bounds)
+        if not len(ids) or ends[-1] != len(whole) or (ends[last] != bounds).any():
+            return None
+        return ids, np.diff(last, prepend=-1)
+
     def learn(self, keys: list[str]) -> None:
-        for key, b in zip(keys, self.pieces.encode(keys, num_threads=1), strict=True):
-            text = " " + key
-            a, whole = self.ids_a(text), text.encode()
-            each_a, each_b = [self.bytes_a[i] for i in a], [self.bytes_b[i] for i in b]
-            self.fits.append(b"".join(each_a) == whole == b"".join(each_b))
-            for c, ids, each in (("a", a, each_a), ("b", b, each_b)):
-                self.flat[c].extend(ids)
-                self.flat[c + "_len"].extend(map(len, each))
-                self.start[c].append(len(self.flat[c]))
-            self.rows[key] = len(self.rows)
+        plain = [len(k) < LONG - 1 and k.split() == [k] for k in keys]
+        for kind in (True, False):
+            part = [k for k, p in zip(keys, plain, strict=True) if p is kind]
+            for i in range(0, len(part), TOGETHER):
+                self._learn(part[i : i + TOGETHER], kind)
+
+    def _learn(self, keys: list[str], plain: bool) -> None:
+        each = [f" {k}".encode() for k in keys]
+        whole, bounds = b"".join(each), np.cumsum([len(x) for x in each])
+        fits = np.ones(len(keys), np.int8)
+        if (got := self.ids_together(whole, bounds) if plain else None) is None:
+            lists = [self.ids_a(" " + k) for k in keys]
+            got = np.array([i for ids in lists for i in ids], np.int64), np.array([len(ids) for ids in lists])
+        lists = self.pieces.encode(keys, num_threads=1)
+        both = (got, (np.array([i for ids in lists for i in ids], np.int64), np.array([len(ids) for ids in lists])))
+        for c, (ids, n), texts, sizes in (("a", both[0], self.bytes_a, self.len_a), ("b", both[1], self.bytes_b, self.len_b)):
+            size, begin = sizes[ids], self.start[c][-1]
+            joined, ends = b"".join(map(texts.__getitem__, ids.tolist())), np.append(0, np.cumsum(size))[np.cumsum(n)]
+            if joined != whole or (ends != bounds).any():
+                fits &= np.array([joined[p:q] == x for p, q, x in zip([0, *ends[:-1].tolist()], ends.tolist(), each, strict=True)], np.int8)
+            self.flat[c].frombytes(ids.astype(np.int32).tobytes())
+            self.flat[c + "_len"].frombytes(size.astype(np.int32).tobytes())
+            self.start[c].frombytes((begin + np.cumsum(n)).astype(np.int64).tobytes())
+        self.fits.frombytes(fits.tobytes())
+        self.rows.update(zip(keys, range(len(self.rows), len(self.rows) + len(keys)), strict=True))
 
     def known(self, keys: list[str]) -> np.ndarray:
         """Row of each key; -1 where it is no segment by itself: empty, or white space stands behind its space."""
@@ -147,15 +174,13 @@ def _tokenised(path_a: str, pattern: str, path_b: str):
         out: list[pa.Array] = [ids]
         for c in ("a", "b"):
             at, n = _ragged(np.frombuffer(tools.start[c], np.int64), rows)
-            total = np.zeros(len(counts) + 1, np.int64)
-            np.add.at(total[1:], doc, n)
-            total = np.cumsum(total)
+            total = np.append(0, np.cumsum(np.bincount(doc, n, len(counts)).astype(np.int64)))
             ends = np.cumsum(np.frombuffer(tools.flat[c + "_len"], np.int32)[at], dtype=np.int64) if len(at) else np.empty(0, np.int64)
             base = np.concatenate([[0], ends])[total[:-1]]
             ends -= np.repeat(base, np.diff(total))
             values = np.frombuffer(tools.flat[c], np.int32)[at] if len(at) else np.empty(0, np.int32)
             offsets = pa.array(total.astype(np.int32))
-            out += [pa.ListArray.from_arrays(offsets, pa.array(ends << BITS | values)), pa.ListArray.from_arrays(offsets, pa.array(ends.astype(np.int32)))]
+            out += [pa.ListArray.from_arrays(offsets, pa.array(ends << BITS | values)), pa.ListArray.from_arrays(offsets, pa.array(ends << BITS | MARK))]
         return pa.RecordBatch.from_arrays(out, names=["doc_id", "a", "a_ends", "b", "b_ends"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -189,7 +214,7 @@ def grouped(tokens: str, marks: str) -> Column:
     """The ids of each group of a side, decimal, joined by commas. Tokens are end << BITS | id; a mark stands behind the
     token that ends at a cut, after one sort of two ascending runs, and the joined ids are split at the marks."""
     ids = F.transform(F.sort_array(F.concat(tokens, marks)), lambda x: x.bitwiseAND(F.lit(2**BITS - 1).cast("long")))
-    return F.split(F.replace(F.array_join(ids.cast("array<string>"), ","), F.lit(f",{MARK},"), F.lit(";")), ";")
+    return F.split(F.array_join(ids.cast("array<string>"), ","), f",{MARK},")
 
 
 def beside(left: str, right: str) -> Column:
@@ -202,8 +227,7 @@ def aligned(tokens: DataFrame) -> DataFrame:
     """(doc_id, n_a, n_b, n_groups, groups_sha256, a_link, b_link) for TOKENS: the ids linked at each cut, in order."""
     df = tokens.withColumn("cuts", F.array_intersect("a_ends", "b_ends"))
     # nothing is behind the last cut, which is the end of both
-    inner = F.slice("cuts", F.lit(1), F.greatest(F.size("cuts") - 1, F.lit(0)))
-    marks = F.transform(inner, lambda c: F.shiftleft(c.cast("long"), BITS).bitwiseOR(F.lit(MARK).cast("long")))
+    marks = F.slice("cuts", F.lit(1), F.greatest(F.size("cuts") - 1, F.lit(0)))
     df = df.select("doc_id", "a", "b", F.size("cuts").cast("long").alias("n_groups"), marks.alias("marks"))
     df = df.select("doc_id", "n_groups", F.size("a").cast("long").alias("n_a"), F.size("b").cast("long").alias("n_b"), grouped("a", "marks").alias("in_a"), grouped("b", "marks").alias("in_b"))
     some = F.col("n_groups") > 0

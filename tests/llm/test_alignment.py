@@ -7,6 +7,7 @@ import os
 import random
 from collections import Counter
 
+import numpy as np
 import pytest
 
 from sequoria.llm import alignment
@@ -102,3 +103,26 @@ def test_rare_pairs_by_a_join_and_long_texts(spark, plain):
 
 def test_empty_table(spark):
     assert alignment.align_documents(spark.createDataFrame([], "doc_id long, text string")).collect() == []
+
+
+def test_segments_are_tokenised_together_as_one_by_one():
+    tools = alignment.Tokenizers(public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.PATTERN, public_tokenizers.path("piece_bpe_32k.model"))
+    calls, fast = [], tools.fast
+
+    class Counted:
+        def encode_ordinary(self, text):
+            calls.append(text)
+            return fast.encode_ordinary(text)
+
+    tools.fast = Counted()
+    keys = [f"w{i}x's" for i in range(500)] + ["a\nb", "c \n", "ﬁne", "é", "日本", "y" * 5000, "<unk>", "1,2", "z\x1cq"]
+    tools.learn(keys)
+    assert len(calls) < 10
+    held = {c: np.frombuffer(tools.flat[c], np.int32) for c in tools.flat}
+    for key in keys:
+        row, text = tools.rows[key], f" {key}".encode()
+        a, b = tools.ids_a(" " + key), tools.pieces.encode(key)
+        for c, ids, names in (("a", a, tools.bytes_a), ("b", b, tools.bytes_b)):
+            at = slice(tools.start[c][row], tools.start[c][row + 1])
+            assert held[c][at].tolist() == ids and held[c + "_len"][at].tolist() == [len(names[i]) for i in ids]
+        assert tools.fits[row] == (b"".join(tools.bytes_a[i] for i in a) == text == b"".join(tools.bytes_b[i] for i in b))
