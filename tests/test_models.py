@@ -85,6 +85,21 @@ def test_calls_run_at_a_time_and_in_order(spark):
     assert P.concurrently(spark, [lambda i=i: (gate.wait(), i)[1] for i in range(6)], 3) == list(range(6))
 
 
+def test_ablation_makes_folds_once_for_all_sets(spark, monkeypatch):
+    rows = [(i, i % 10, (i // 10 + i) % 2, [float(i)], [float(-i), 1.0], [0.5]) for i in range(60)]
+    df = spark.createDataFrame(rows, "id long, grp long, label int, handcrafted array<double>, embedding array<double>, structure array<double>")
+    splits, dealt = P.E.group_splits, []
+    monkeypatch.setattr(P.E, "group_splits", lambda *a, **b: dealt.append(a) or splits(*a, **b))
+
+    def tried(spark, choices, workers):
+        raise RuntimeError(f"{len(choices)} choices")
+
+    monkeypatch.setattr(P, "_tried", tried)
+    with pytest.raises(RuntimeError, match="^16 choices"):
+        P.ablation(df, "id", "grp", seeds=(42,), n=2)
+    assert len(dealt) <= 3
+
+
 def test_ablation_reduces_wide_blocks_within_the_fold(spark):
     r = np.random.default_rng(8)
     rows = []
