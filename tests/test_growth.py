@@ -119,3 +119,56 @@ def test_no_call_a_letter_in_the_engine(spark):
     rows = spark.createDataFrame([("KLVFF",)], "seq string")
     plan = rows.select(S.canonical(F.col("seq")), S.kmers(F.col("seq"), cyclic=True))._jdf.queryExecution().toString()
     assert "lambda" not in plan and "ArrowEvalPython" in plan
+
+
+def shuffle_files(spark) -> int:
+    """Files of shuffles on disk; old ones are only ever removed, so a growth is what is left over."""
+    files = spark.sparkContext._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().getAllFiles()
+    return sum(str(files.apply(i).getName()).endswith(".data") for i in range(files.size()))
+
+
+def near_texts(n: int) -> list[str]:
+    import random
+
+    r, texts = random.Random(7), set()
+    for _ in range(n):
+        t = "".join(r.choice("ACDEFGHIKL") for _ in range(r.randint(3, 120)))
+        texts |= {t, t[:-1] or t, t + r.choice("ACD"), t[: len(t) // 2] + "M" + t[len(t) // 2 :]}
+    return sorted(texts)
+
+
+def test_similarity_join_goes_by_rounds_and_leaves_no_shuffles(spark, monkeypatch):
+    texts, before = near_texts(80), scratched(spark, "pairs")
+    rows = C.with_kmers(spark.createDataFrame([(t,) for t in texts], "seq string"))
+    grams = {t: {t[i : i + 3] for i in range(max(1, len(t) - 2))} for t in texts}
+    like = {(a, b) for a in texts for b in texts if len(grams[a] & grams[b]) / len(grams[a] | grams[b]) >= 0.8}
+    monkeypatch.setattr(C, "ROUND", 1_000)
+    monkeypatch.setattr(C, "ROUNDS", 12)
+    held = shuffle_files(spark)
+    pairs = C.similar_pairs(rows, rows)
+    # the counts of sizes, by four tasks each
+    assert shuffle_files(spark) <= held + 2 * 4
+    assert len(scratched(spark, "pairs") - before) >= 8
+    assert {tuple(x) for x in pairs.collect()} == like
+
+
+def test_rounds_hold_all_groups_of_all_classes(monkeypatch):
+    sizes = [(s, 10 * s, 7 * s) for s in (3, 4, 9, 16, 19, 57, 118)]
+    assert C._rounds(sizes, 0.8) == [((3, 118), (0, 1))]
+    monkeypatch.setattr(C, "ROUND", 100)
+    parts = C._rounds(sizes, 0.8)
+    for size, _, _ in sizes:
+        groups = C._grid(size, 0.8)[0]
+        assert sorted(g for (a, b), (i, n) in parts for g in range(groups) if a <= size <= b and g % n == i) == list(range(groups))
+    assert len(parts) > len(sizes)
+
+
+def test_keys_are_shared_by_few(spark):
+    import random
+
+    r = random.Random(3)
+    words = ["".join(r.choice(S.ALPHABET) for _ in range(r.randint(3, 8))) for _ in range(60)]
+    texts = sorted({"".join(r.choice(words) for _ in range(12))[:70] for _ in range(400)})
+    rows = C._sketched(C.with_kmers(spark.createDataFrame([(t,) for t in texts], "seq string")))
+    made = C._signatures(rows.withColumn("classes", F.array(C._size_class(F.col("n")))), 0.8, True).select("id", "key").distinct()
+    assert made.groupBy("key").count().agg(F.sum(F.col("count") * (F.col("count") - 1))).first()[0] < 2 * len(texts)
