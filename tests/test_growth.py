@@ -172,3 +172,11 @@ def test_keys_are_shared_by_few(spark):
     rows = C._sketched(C.with_kmers(spark.createDataFrame([(t,) for t in texts], "seq string")))
     made = C._signatures(rows.withColumn("classes", F.array(C._size_class(F.col("n")))), 0.8, True).select("id", "key").distinct()
     assert made.groupBy("key").count().agg(F.sum(F.col("count") * (F.col("count") - 1))).first()[0] < 2 * len(texts)
+
+
+def test_leak_reasons_deal_sequences_alone(spark):
+    pre = spark.createDataFrame([(i, t) for i, t in enumerate(near_texts(10))] + [(9_999, None)], "ord long, seq string")
+    got = C.leak_reasons(pre, spark.createDataFrame([(t,) for t in near_texts(5)], "seq string"))
+    # rotations are looked up before, and are not dealt out beside the sequences
+    assert "canonical" not in got._jdf.queryExecution().toString()
+    assert {r.ord: r.reason for r in got.collect()}[9_999] is None
