@@ -180,3 +180,13 @@ def test_leak_reasons_deal_sequences_alone(spark):
     # rotations are looked up before, and are not dealt out beside the sequences
     assert "canonical" not in got._jdf.queryExecution().toString()
     assert {r.ord: r.reason for r in got.collect()}[9_999] is None
+
+
+def test_exclusions_judge_rows_once(spark):
+    from sequoria.operators import cleaning as K
+
+    columns = "ord long, entity string, target string, measured int, reason string, mic_ug_ml double, canonical string, kind string, topology_key string, seq string"
+    given = [(1, "a", "x", 1, None), (2, "a", "x", 0, None), (3, "a", "y", 1, None), (4, None, "x", None, "short"), (5, "b", "x", 0, None)]
+    rows, seen = counted(spark, spark.createDataFrame([(*r, 1.0, "", "", "", "") for r in given], columns))
+    got = {r.ord: r.reason for r in K.core_exclusions(rows).select("ord", "reason").collect()}
+    assert got == {1: "conflicting_labels_same_target", 2: "conflicting_labels_same_target", 4: "short"} and seen.value == 5
